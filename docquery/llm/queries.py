@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquery.llm import bpe_count, mixing, packing, simhash
+from docquery.llm import bpe_count, mixing, packing, quality, simhash, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,13 +31,27 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_count.count_tokens(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Adaptive quality rules over all documents."""
+    judged = quality.judge(_documents(spark, sf_dir))
+    base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return judged.select("doc_id", *base, "base_failed", "kept", "failed")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents, learned outside the held-out fold."""
+    docs = _documents(spark, sf_dir)
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score_documents(docs, model)
+
+
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sum-of-squares packing of all documents into windows of 1024 tokens."""
     return packing.pack(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_simhash, op3_token_counts, op9_pack)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_simhash, op3_token_counts, op4_quality, op5_toxicity, op9_pack)}
 
 
 def oracle_sql() -> dict[str, str]:
