@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquery.llm import bpe_count, mixing, packing, quality, simhash, toxicity
+from docquery.llm import bpe_count, langid, matroska, mixing, packing, quality, simhash, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,13 +45,32 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, model)
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents by compression, learned outside the held-out fold."""
+    docs = _documents(spark, sf_dir)
+    return langid.identify_documents(docs, langid.fit(docs))
+
+
+def op7_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents stored as Matroska sound and read back."""
+    rows = matroska.stored_texts(_documents(spark, sf_dir))
+    payload = F.col("r.payload")
+    parts = ("packets", "clusters", "cues", "seekable", "laced", "duration_ms", "total", "energy")
+    feature = F.concat_ws(";", *(F.concat(F.lit(f"{x}="), F.col(f"r.{x}").cast("string")) for x in parts))
+    return rows.select(
+        "doc_id", "n_bytes", F.length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_sha256"),
+        F.crc32(F.substring(payload, -16, 16)).alias("tail_crc32"), F.length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"), F.col("r.error").alias("error"),
+    )
+
+
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sum-of-squares packing of all documents into windows of 1024 tokens."""
     return packing.pack(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_simhash, op3_token_counts, op4_quality, op5_toxicity, op9_pack)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_simhash, op3_token_counts, op4_quality, op5_toxicity, op6_language, op7_matroska, op9_pack)}
 
 
 def oracle_sql() -> dict[str, str]:
