@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquery.llm import bpe_count, langid, matroska, mixing, packing, quality, simhash, toxicity
+from docquery.llm import bpe_count, langid, matroska, mixing, packing, quality, secrets, simhash, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,17 +64,23 @@ def op7_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents; a document's source is its owner, its language within the source the repository."""
+    docs = _documents(spark, sf_dir)
+    return secrets.scan(docs, owner=F.col("source"), repo=F.concat_ws("/", "source", "lang"))
+
+
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sum-of-squares packing of all documents into windows of 1024 tokens."""
     return packing.pack(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_simhash, op3_token_counts, op4_quality, op5_toxicity, op6_language, op7_matroska, op9_pack)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_simhash, op3_token_counts, op4_quality, op5_toxicity, op6_language, op7_matroska, op8_secrets, op9_pack)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op8_secrets": OP8_SQL}
 
 
 #: Closed form of the water level: sources fill up in order of limit by weight.
@@ -105,3 +111,38 @@ placed AS (
 taken AS (SELECT *, whole + CASE WHEN start + size / 2.0::DOUBLE < rest THEN 1 ELSE 0 END AS copies FROM placed)
 SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken, CAST(copies AS BIGINT) AS copies FROM taken
 """
+
+
+def _op8_sql() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    parts = [
+        f"""SELECT doc_id, owner, repo, '{k.name}' AS kind, {n} AS k, {str(k.base).lower()} AS base, {k.least} AS least, {k.value} AS grp,
+                unnest(range(1, len(hits) + 1)) AS pos, unnest(hits) AS hit, unnest(list_transform(gaps[1:len(hits)], lambda x: length(x))) AS gap,
+                {quoted(k.pattern)} AS pattern
+         FROM (SELECT *, regexp_extract_all(t, {quoted(k.pattern)}) AS hits, string_split_regex(t, {quoted(k.pattern)}) AS gaps FROM d)
+         WHERE len(hits) > 0"""
+        for n, k in enumerate(secrets.KINDS)
+    ]
+    value = " ".join(f"WHEN kind = '{k.name}' THEN regexp_extract(hit, {quoted(k.pattern)}, {k.value})" for k in secrets.KINDS if k.value)
+    needs = " AND ".join(f"(kind <> '{k.name}' OR regexp_matches(v, '{x}'))" for k in secrets.KINDS for x in k.needs)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, source AS owner, concat_ws('/', source, lang) AS repo FROM documents),
+m AS ({" UNION ALL ".join(parts)}),
+p AS (SELECT *, sum(gap + length(hit)) OVER (PARTITION BY doc_id, kind ORDER BY pos ROWS UNBOUNDED PRECEDING)::BIGINT AS e,
+             CASE {value} ELSE hit END AS v FROM m),
+f AS (SELECT *, e - length(hit) AS s, length(list_distinct(string_split(v, ''))) >= 8 AND NOT regexp_matches(lower(v), '{secrets.PLACEHOLDERS}') AS live
+      FROM p WHERE length(v) >= least AND {needs}),
+o AS (SELECT v, count(DISTINCT coalesce(owner, '')) AS owners FROM f GROUP BY v),
+c AS (SELECT f.*, CASE WHEN owners >= 3 THEN 'example' WHEN live THEN 'live' ELSE 'dull' END AS verdict FROM f JOIN o USING (v)),
+g AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+             string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (base) AS b,
+             string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) AS spans,
+             count(*) FILTER (verdict = 'live') AS n_live, count(*) FILTER (verdict = 'example') AS n_example
+      FROM c WHERE base OR verdict = 'live' GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+       sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0)::BIGINT AS n_live, coalesce(n_example, 0)::BIGINT AS n_example
+FROM d LEFT JOIN g USING (doc_id)
+"""
+
+
+OP8_SQL = _op8_sql()
