@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquery.llm import bpe_count, langid, matroska, mixing, packing, quality, secrets, simhash, toxicity
+from docquery.llm import bpe_count, langid, matroska, mixing, packing, quality, secrets, sharding, simhash, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,8 +75,14 @@ def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight shards of near equal bytes, equal texts together."""
+    placed = sharding.shard_documents(_documents(spark, sf_dir))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_simhash, op3_token_counts, op4_quality, op5_toxicity, op6_language, op7_matroska, op8_secrets, op9_pack)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_simhash, op3_token_counts, op4_quality, op5_toxicity, op6_language, op7_matroska, op8_secrets, op9_pack, op10_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
