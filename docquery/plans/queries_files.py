@@ -423,9 +423,13 @@ def stream_dedup(spark, sf_dir):
     return stateful.replay(passed, f"{at}/state", f"{at}/out").select("user_id", "event_id")
 
 
-@query()
+@query(f"""WITH g AS (SELECT user_id, {_T} AS t, CASE WHEN {_T} - lag({_T}) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 3600 THEN 0 ELSE 1 END AS n FROM events),
+s AS (SELECT user_id, t, sum(n) OVER (PARTITION BY user_id ORDER BY t RANGE UNBOUNDED PRECEDING) AS spell FROM g),
+e AS (SELECT user_id, spell, count(*) AS touches, max(t) AS ended, max(t) - min(t) AS seconds FROM s GROUP BY ALL)
+SELECT user_id, touches, round(seconds, 3) AS seconds FROM e QUALIFY lead(spell) OVER (PARTITION BY user_id ORDER BY spell) IS NOT NULL OR ended + 3600 < (SELECT max({_T}) FROM events) - 600""")
 def stream_spells(spark, sf_dir):
-    """Spells of users as a stream, each given once it has ended."""
+    """Spells of users as a stream, each given once it has ended by the watermark."""
     at = _folder(spark)
-    spells = stateful.spell_stream(_event_stream(spark, sf_dir), "user_id", "ts", 3600)
-    return stateful.replay(spells, f"{at}/state", f"{at}/out")
+    spells = stateful.replay(stateful.spell_stream(_event_stream(spark, sf_dir), "user_id", "ts", 3600), f"{at}/state", f"{at}/out")
+    length = F.unix_micros("ended") - F.unix_micros("started")
+    return spells.select("user_id", "touches", F.round(length / 1e6, 3).alias("seconds"))

@@ -32,7 +32,7 @@ def filled(col: Column) -> Column:
 
 
 def segments(messages: DataFrame, keys: list[str], body: str = "body", kinds: tuple[str, ...] = KINDS) -> DataFrame:
-    """keys, place, pos and the fields of each file segment; body is a JSON message.
+    """keys, pos, seg_type and seg (all fields of SEGMENT) of each file segment; body is a JSON message.
 
     All places where messages keep segments are read in one pass; objects that
     stand alone under raw_message count as segments without a type test.
@@ -43,7 +43,7 @@ def segments(messages: DataFrame, keys: list[str], body: str = "body", kinds: tu
         F.struct(*(F.col(f"s.seg.{f}").alias(f) for f in _FIELDS))
     )
     kept = rows.where(F.lower(F.coalesce("s.seg.type", F.lit(""))).isin(*kinds) | F.col("s.alone"))
-    return kept.select(*keys, "pos", F.lower("s.seg.type").alias("seg_type"), inner.alias("p")).select(*keys, "pos", "seg_type", *(F.col(f"p.{f}").alias(f) for f in _FIELDS if f != "type"))
+    return kept.select(*keys, "pos", F.lower("s.seg.type").alias("seg_type"), inner.alias("seg"))
 
 
 _PLACED = f"array<struct<seg: {_SEGMENTS[6:-1]}, alone: boolean>>"
@@ -60,9 +60,9 @@ def _segment_list(body: Column, place: str) -> Column:
 
 def file_records(segs: DataFrame, keys: list[str]) -> DataFrame:
     """keys, pos, name, channel, content, path, url, file_id, size_hint, busid: the first usable source of each segment; none drops it."""
-    f = lambda *names: F.coalesce(*(filled(F.col(n)) for n in names))
-    name = F.coalesce(f("name", "file_name", "filename", "title"), filled(base_name(F.col("file"))), filled(F.col("file_id")), F.lit("unnamed_file"))
-    link = F.coalesce(f("url", "file_url"), F.when(F.col("file").rlike("^https?://"), F.col("file")))
+    f = lambda *names: F.coalesce(*(filled(F.col(f"seg.{n}")) for n in names))
+    name = F.coalesce(f("name", "file_name", "filename", "title"), filled(base_name(F.col("seg.file"))), f("file_id"), F.lit("unnamed_file"))
+    link = F.coalesce(f("url", "file_url"), F.when(F.col("seg.file").rlike("^https?://"), F.col("seg.file")))
     number = lambda c: F.coalesce(F.trim(c).try_cast("long"), F.lit(0))
     out = segs.select(
         *keys, "pos", name.alias("name"), F.try_to_binary(f("base64", "content_base64"), F.lit("base64")).alias("content"),

@@ -40,31 +40,31 @@ class GreedyWindow(StatefulProcessor):
 
 
 class IdleSpells(StatefulProcessor):
-    """Emits a spell (key, started, ended, touches) once a touch comes more than `idle` seconds after the one before, or a timer finds the key idle."""
+    """Times in microseconds.  Emits a spell (key, started, ended, touches) once a touch comes more than `idle` seconds after the one before, or a timer finds the key idle."""
 
     def __init__(self, key: str, time: str, idle: float):
         self.key, self.time, self.idle = key, time, idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.spell = handle.getValueState("spell", "started double, ended double, touches long")
+        self.spell = handle.getValueState("spell", "started long, ended long, touches long")
 
     def _row(self, key, spell) -> pd.DataFrame:
-        times = pd.to_datetime([spell[0], spell[1]], unit="s")
+        times = pd.to_datetime([spell[0], spell[1]], unit="us").astype("datetime64[us]")
         return pd.DataFrame({self.key: [key[0]], "started": times[:1], "ended": times[1:], "touches": [spell[2]]})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        times = sorted(pd.concat(list(rows))[self.time].astype("datetime64[us]").astype("int64") / 1e6)
+        times = sorted(int(x) for x in pd.concat(list(rows))[self.time].astype("datetime64[us]").astype("int64"))
         spell = tuple(self.spell.get()) if self.spell.exists() else None
         for at in times:
-            if spell and at - spell[1] > self.idle:
+            if spell and at - spell[1] > self.idle * 1_000_000:
                 yield self._row(key, spell)
                 spell = None
             spell = (spell[0], max(at, spell[1]), spell[2] + 1) if spell else (at, at, 1)
         self.spell.update(spell)
         for timer in self.handle.listTimers():
             self.handle.deleteTimer(timer)
-        self.handle.registerTimer(int((spell[1] + self.idle) * 1000) + 1)
+        self.handle.registerTimer(spell[1] // 1000 + int(self.idle * 1000) + 1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.spell.exists():
