@@ -86,7 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL, "op8_secrets": OP8_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op4_quality": OP4_SQL, "op8_secrets": OP8_SQL}
 
 
 #: Closed form of the water level: sources fill up in order of limit by weight.
@@ -152,3 +152,45 @@ FROM d LEFT JOIN g USING (doc_id)
 
 
 OP8_SQL = _op8_sql()
+
+
+def _op4_sql() -> str:
+    per = lambda part, whole: f"CASE WHEN {whole} > 0 THEN floor({part} * 1000 / {whole})::BIGINT ELSE 0 END"
+    measures = {
+        "symbols": per("n_symbols", "word_chars"), "capitals": per("n_capitals", "word_chars"), "dup_lines": per("n_dup_lines", "n_lines"),
+        "repeats": per("n_repeat_words", "n_words"), "word_length": per("word_chars", "n_words"),
+    }
+    floors = ", ".join(f"('{m}', {f}, {str(both).lower()})" for m, (f, both) in quality.MEASURES.items())
+    longer = " UNION ALL ".join(f"SELECT doc_id, lang, source, base_failed, '{m}' AS m, {m} AS v FROM b" for m in quality.MEASURES)
+    failed = " || ".join(f"coalesce(max(CASE WHEN m = '{m}' AND out THEN ',{m}' END), '')" for m in quality.MEASURES)
+    value = "(CASE WHEN place < 64 THEN place ELSE (place % 64) * pow(2, place // 64) END)"
+    marks = lambda keys, source: f"""SELECT {keys} m, max(docs) AS docs, min(CASE WHEN upto * 4 >= docs THEN {value} END)::BIGINT AS q1, min(CASE WHEN upto * 4 >= docs * 3 THEN {value} END)::BIGINT AS q3
+      FROM (SELECT *, sum(n) OVER (PARTITION BY {keys} m ORDER BY place) AS upto, sum(n) OVER (PARTITION BY {keys} m) AS docs FROM ({source})) GROUP BY {keys} m"""
+    return rf"""
+WITH t AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS a, unnest(range(len(ws))) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM t)),
+g AS (SELECT doc_id, i, a, lead(a, 1) OVER o AS b, lead(a, 2) OVER o AS c FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+k AS (SELECT doc_id, i FROM g WHERE c IS NOT NULL QUALIFY count(*) OVER (PARTITION BY doc_id, a, b, c) > 1),
+r AS (SELECT doc_id, count(DISTINCT i + d) AS n FROM k, range(3) x(d) GROUP BY doc_id),
+l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM t),
+f AS (SELECT t.doc_id, lang, source, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+        length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_capitals, len(ls) AS n_lines,
+        (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words
+      FROM t JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {", ".join(f"{x} AS {m}" for m, x in measures.items())} FROM f),
+v AS ({longer}),
+s AS (SELECT lang, source, m, greatest(length(bin(v)) - 6, 0) * 64 + (v >> greatest(length(bin(v)) - 6, 0)::INT) AS place, count(*) AS n FROM v WHERE NOT base_failed GROUP BY ALL),
+q1 AS ({marks("lang, source,", "SELECT * FROM s")}),
+q2 AS ({marks("lang,", "SELECT lang, m, place, sum(n) AS n FROM s GROUP BY ALL")}),
+q3 AS ({marks("", "SELECT m, place, sum(n) AS n FROM s GROUP BY ALL")}),
+h AS (SELECT q1.lang, q1.source, q1.m, both_sides, CASE WHEN q1.docs >= {quality.LEAST_DOCS} THEN q1.q1 WHEN q2.docs >= {quality.LEAST_DOCS} THEN q2.q1 ELSE q3.q1 END AS a,
+        CASE WHEN q1.docs >= {quality.LEAST_DOCS} THEN q1.q3 WHEN q2.docs >= {quality.LEAST_DOCS} THEN q2.q3 ELSE q3.q3 END AS z, least_range
+      FROM q1 JOIN q2 ON q1.lang IS NOT DISTINCT FROM q2.lang AND q1.m = q2.m JOIN q3 ON q1.m = q3.m JOIN (VALUES {floors}) x(m, least_range, both_sides) ON x.m = q1.m),
+e AS (SELECT v.doc_id, v.m, v.v > z + 3 * greatest(z - a, least_range) OR (both_sides AND v.v < a - 3 * greatest(z - a, least_range)) AS out
+      FROM v JOIN h ON v.lang IS NOT DISTINCT FROM h.lang AND v.source IS NOT DISTINCT FROM h.source AND v.m = h.m),
+d AS (SELECT doc_id, substr({failed}, 2) AS failed FROM e GROUP BY doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(failed, '') AS failed, NOT base_failed AND coalesce(failed, '') = '' AS kept FROM b LEFT JOIN d USING (doc_id)
+"""
+
+
+OP4_SQL = _op4_sql()
