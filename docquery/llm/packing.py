@@ -30,8 +30,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries of a worker's cache of encoded words; it is emptied when full.
-CACHE = 800_000
+#: Entries of a task's cache of encoded words; it is emptied when full.
+CACHE = 500_000
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _ODD_SPACE = re.compile(r"\s\s|^\s|\s\Z")
 
@@ -80,6 +80,10 @@ class Encoder:
         self.first: dict[str, bytes] = {}  # of a text
         self.later: dict[str, bytes] = {}  # after a space
 
+    def forget(self) -> None:
+        self.first.clear()
+        self.later.clear()
+
     def learn(self, parts: set[str], lead: str, known: dict[str, bytes]) -> None:
         """Encode lead + part for each part; the library takes them in batches."""
         new = list(parts)
@@ -87,9 +91,8 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         cut = [_LONE_SPACE.split(x) if _ODD_SPACE.search(x) else x.split(" ") for x in texts]
-        for known in (self.first, self.later):
-            if len(known) > CACHE:
-                known.clear()
+        if len(self.first) + len(self.later) > CACHE:
+            self.forget()
         first, later = self.first, self.later
         self.learn({parts[0] for parts in cut}.difference(first), "", first)
         self.learn(set().union(*(parts[1:] for parts in cut)).difference(later), " ", later)
@@ -194,6 +197,7 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, size: int, end: int) ->
                 yield flush()
     for window in windows.rest():
         close(window)
+    encode.forget()  # workers outlive their tasks
     yield flush()
 
 

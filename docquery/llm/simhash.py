@@ -167,7 +167,11 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     least = F.col("doc_id").eqNullSafe(F.col("component_id"))
     per_id = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or(least).alias("keep"))
     per_id = materialise(per_id.withColumnRenamed("doc_id", "__id"), "simhash-ids")
-    once = docs.join(per_id.where("n = 1 and keep and __id is not null"), F.col(id_col) == F.col("__id"), "left_semi")
+    # a shuffle at any size: the ids grow with the documents
+    kept = per_id.where("n = 1 and keep and __id is not null").hint("merge")
+    once = docs.join(kept, F.col(id_col) == F.col("__id"), "left_semi")
+    if per_id.where("n > 1 or __id is null").isEmpty():
+        return once
 
     repeated = per_id.where("n > 1 and __id is not null").select("__id")
     odd = docs.join(repeated, F.col(id_col) == F.col("__id"), "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
@@ -176,5 +180,5 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     odd_ids = odd_ids.unionByName(found.where(least & F.col("doc_id").isNull()))
     firsts = odd_ids.groupBy("root").agg(F.min("doc_id").alias("__id"), F.min("fp").alias("__fp"))
     firsts = firsts.withColumnRenamed("root", "__root")
-    kept = odd.join(firsts, (F.col("__own") == F.col("__fp")) & F.col(id_col).eqNullSafe(F.col("__id")))
-    return once.unionByName(kept.dropDuplicates(["__root"]).select(*docs.columns))
+    thin = odd.join(firsts, (F.col("__own") == F.col("__fp")) & F.col(id_col).eqNullSafe(F.col("__id")))
+    return once.unionByName(thin.dropDuplicates(["__root"]).select(*docs.columns))

@@ -4,7 +4,7 @@ A word's embedding is the sum of hashed ones: of the whole lower-case word and
 of its beginnings, so that inflected and compound forms share evidence.
 Filters of several widths run over the whole text, each keeps its maximum, and
 a logistic layer reads those.  Scores are shifted by a threshold for each
-language, calibrated on training rows set aside; the language is the one whose
+language, calibrated mostly on training rows set aside; the language is the one whose
 word statistics (learned from the same rows) fit the text best, never a column.
 
 Training takes a bounded sample: at most `per_class` rows of each label with up
@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -36,12 +37,24 @@ BEGINNINGS = (3, 4, 5, 6, 7)
 WIDTHS = (1, 2, 3)
 FILTERS = 8
 DIMENSIONS = 12
+#: Training texts that must have a feature for it to be learned: what one text has alone would be learned by heart.
+LEAST_TEXTS = 3
 #: Entries of a worker's table of known words; it is emptied when full.
-CACHE = 300_000
+CACHE = 150_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 _LANG_BUCKETS = 1 << 15
 
 
+#: A language with fewer rows of either label shares the threshold of all.
+LEAST_CALIBRATION = 6
+#: Slope below zero, so that a filter that finds nothing still learns.
+LEAK = 0.2
+
+
+def _leak(x: np.ndarray) -> np.ndarray:
+    return np.where(x > 0, x, LEAK * x)
+
+
 def word_features(raw: str) -> list[int]:
     """Bucket numbers of a run of text between white space."""
     word = "".join(_LETTERS.findall(raw.lower()))
@@ -67,7 +80,9 @@ class Model:
         rng = np.random.default_rng(seed)
         conv = [rng.normal(0, 0.3, (w, DIMENSIONS, FILTERS)).astype("f4") for w in WIDTHS]
         n = len(WIDTHS) * FILTERS
-        return Model(rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype("f4"), conv, np.full(n, -0.1, "f4"), rng.normal(0, 0.3, n).astype("f4"))
+        embed = rng.normal(0, 0.05, (BUCKETS + 1, DIMENSIONS)).astype("f4")
+        embed[BUCKETS] = 0  # of features that say nothing
+        return Model(embed, conv, np.full(n, -0.1, "f4"), rng.uniform(0.2, 0.6, n).astype("f4"), -1.0)
 
     def project(self, features: np.ndarray) -> np.ndarray:
         """What each word adds to each filter at each offset: words x (sum of widths) x FILTERS."""
@@ -90,22 +105,28 @@ _PAD = len(WIDTHS) - 1
 
 
 class Words(dict):
-    """Numbers words as they come; number 0 is the padding."""
+    """Numbers words as they come; number 0 is the padding. Features of new words gather in one compact array."""
 
     def __init__(self):
-        self.features: list[list[int]] = []
+        self.features = array("i")
 
     def __missing__(self, word: str) -> int:
-        self.features.append(word_features(word))
+        self.features.extend(word_features(word))
         n = self[word] = len(self) + 1
         return n
 
     def number(self, text: str | None) -> np.ndarray:
         return np.array([*map(self.__getitem__, (text or "").split()), *[0] * _PAD], np.int32)
 
+    def take_features(self) -> np.ndarray:
+        """Features of the words that came since the last call, a row each."""
+        rows = np.array(self.features, np.int32).reshape(-1, 1 + len(BEGINNINGS))
+        self.features = array("i")
+        return rows
+
 
-def train(texts: list[str], labels: list[int], langs: list, *, weights: tuple[float, float], seed: int = 5, epochs: int = 6) -> Model:
-    """Fit on three quarters of the rows, calibrate thresholds on the rest. weights: rows that a row of label 0 or 1 stands for."""
+def train(texts: list[str], labels: list[int], langs: list, *, weights: tuple[float, float], seed: int = 5, epochs: int = 10) -> Model:
+    """Fit on four fifths of the rows, calibrate thresholds on the rest. weights: rows that a row of label 0 or 1 stands for."""
     y = np.array(labels, "f4")
     model = Model.fresh(seed)
     if len(set(labels)) < 2:
@@ -113,10 +134,14 @@ def train(texts: list[str], labels: list[int], langs: list, *, weights: tuple[fl
         return model
     words = Words()
     numbered = [words.number(x) for x in texts]
-    features = np.array([[0] * (1 + len(BEGINNINGS)), *words.features], np.int64)
+    features = np.concatenate([np.zeros((1, 1 + len(BEGINNINGS)), np.int32), words.take_features()])
+    seen_in = np.zeros(BUCKETS + 1, np.int64)
+    for seq in numbered:
+        seen_in[np.unique(features[np.unique(seq)])] += 1
+    every, features = features, np.where(seen_in[features] >= LEAST_TEXTS, features, BUCKETS)
     rng = np.random.default_rng(seed)
     aside = np.zeros(len(y), bool)
-    aside[rng.permutation(len(y))[: len(y) // 4]] = len(y) >= 200
+    aside[rng.permutation(len(y))[: len(y) // 5]] = len(y) >= 200
     fit = np.flatnonzero(~aside)
     by = [fit[y[fit] == c] for c in (0, 1)]
     most = max(map(len, by))
@@ -140,12 +165,12 @@ def train(texts: list[str], labels: list[int], langs: list, *, weights: tuple[fl
             ends = np.cumsum([len(s) for s in seqs])
             places = np.stack([e - len(s) + resp[e - len(s) : e].argmax(axis=0) for e, s in zip(ends, seqs)])
             pooled = np.take_along_axis(resp, places, axis=0) + model.bias
-            hidden = np.maximum(pooled, 0)
+            hidden = _leak(pooled)
             keep = rng.random(hidden.shape) > 0.2
             used = hidden * keep / 0.8
             p = 1 / (1 + np.exp(-(used @ model.out + model.base)))
             g = (p - y[rows]) / len(rows)
-            dh = (g[:, None] * model.out * keep / 0.8) * (pooled > 0)
+            dh = (g[:, None] * model.out * keep / 0.8) * np.where(pooled > 0, 1, LEAK)
             grads, dx = [], np.zeros_like(x)
             for k, (width, conv) in enumerate(zip(WIDTHS, model.conv)):
                 cols = slice(k * FILTERS, (k + 1) * FILTERS)
@@ -159,46 +184,46 @@ def train(texts: list[str], labels: list[int], langs: list, *, weights: tuple[fl
             for p_, s_, g_ in zip((*model.conv, model.bias, model.out), sums, grads):
                 s_ += g_ * g_
                 p_ -= rate * g_ / np.sqrt(s_)
+            np.maximum(model.out, 0, out=model.out)  # a filter is evidence for toxicity or none; nothing excuses what another found
             base_sum += float(g.sum()) ** 2
             model.base -= rate * float(g.sum()) / math.sqrt(base_sum)
             moved = np.flatnonzero(np.abs(dx).sum(axis=1) * (uniq > 0))
             spots = features[uniq[moved]].ravel()
-            step = np.zeros((len(spots), DIMENSIONS), "f4")
-            step[:] = np.repeat(dx[moved], features.shape[1], axis=0)
+            step = np.repeat(dx[moved], features.shape[1], axis=0).astype("f4")
+            spots, step = spots[spots < BUCKETS], step[spots < BUCKETS]
             np.add.at(embed_sum, spots, step * step)
             np.subtract.at(model.embed, spots, rate * step / np.sqrt(embed_sum[spots]))
 
-    _fit_languages(model, numbered, words, langs)
+    model.embed[embed_sum[:, 0] <= np.float32(1e-4)] = 0  # never learned
+    features = every
+    _fit_languages(model, numbered, features, langs)
     logits, lang = _score(model, numbered, features)
-    judged = aside if aside.any() else np.ones(len(y), bool)
-    overall = _threshold(logits[judged], y[judged], weights)
-    model.shift = np.full(max(1, len(model.langs)), overall, "f4")
+    # rows set aside count four times, so that few of them in a language still outweigh what the fit has seen
+    trust = np.where(aside, 4.0, 1.0) * np.where(y > 0, weights[1], weights[0])
+    model.shift = np.full(max(1, len(model.langs)), _threshold(logits, y, trust), "f4")
     for k in range(len(model.langs)):
-        own = judged & (lang == k)
-        if y[own].sum() >= 15 and (1 - y[own]).sum() >= 15:
-            model.shift[k] = _threshold(logits[own], y[own], weights)
+        own = lang == k
+        if min(y[own].sum(), (1 - y[own]).sum()) >= LEAST_CALIBRATION:
+            model.shift[k] = _threshold(logits[own], y[own], trust[own])
     return model
 
 
-def _fit_languages(model: Model, numbered: list[np.ndarray], words: Words, langs: list) -> None:
+def _fit_languages(model: Model, numbered: list[np.ndarray], features: np.ndarray, langs: list) -> None:
     """Smoothed word frequencies by language."""
     model.langs = sorted({x for x in langs if x is not None})
     counts = np.full((_LANG_BUCKETS, max(1, len(model.langs))), 0.1)
-    bucket = np.array([0, *(f[0] % _LANG_BUCKETS for f in words.features)])
+    bucket = features[:, 0] % _LANG_BUCKETS
     for seq, lang in zip(numbered, langs):
         if lang is not None:
             np.add.at(counts[:, model.langs.index(lang)], bucket[seq[:-_PAD]], 1)
     model.lang_fit = np.log(counts / counts.sum(axis=0)).astype("f4")
 
 
-def _threshold(logits: np.ndarray, y: np.ndarray, weights: tuple[float, float]) -> float:
-    """The cut of least weighted error; of several, the middle one."""
-    order = np.argsort(logits, kind="stable")
-    z, t = logits[order], y[order]
-    errors = np.concatenate([[0], np.cumsum(t * weights[1])]) + np.concatenate([[0], np.cumsum(((1 - t) * weights[0])[::-1])])[::-1]
-    edges = np.concatenate([[z[0] - 2], (z[1:] + z[:-1]) / 2, [z[-1] + 2]])
-    best = np.flatnonzero(errors <= errors.min() + 1e-9)
-    return float(edges[best[len(best) // 2]])
+def _threshold(logits: np.ndarray, y: np.ndarray, weights: np.ndarray) -> float:
+    """The cut of least weighted error, where a row near the cut counts in part; so one odd row moves it little."""
+    cuts = np.linspace(logits.min() - 2, logits.max() + 2, 600)
+    wrong = 1 / (1 + np.exp(np.clip((logits[None, :] - cuts[:, None]) * np.where(y > 0, 1, -1), -30, 30)))
+    return float(cuts[(wrong * weights).sum(axis=1).argmin()])
 
 
 def _score(model: Model, numbered: list[np.ndarray], features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -221,7 +246,7 @@ def _pool(model: Model, numbered: list[np.ndarray], table: np.ndarray, fit: np.n
             at += 1
         starts = np.cumsum([0, *map(len, some[:-1])])
         ids = np.concatenate(some)
-        hidden = np.maximum(np.maximum.reduceat(model.responses(table[ids]), starts, axis=0) + model.bias, 0)
+        hidden = _leak(np.maximum.reduceat(model.responses(table[ids]), starts, axis=0) + model.bias)
         logits.append(hidden @ model.out + model.base)
         langs.append(np.add.reduceat(fit[ids], starts, axis=0).argmax(axis=1))
     return np.concatenate(logits), np.concatenate(langs)
@@ -245,17 +270,15 @@ class Scorer:
         if self.ready > CACHE:
             self.clear()
         numbered = [self.words.number(x) for x in texts]
-        total = len(self.words.features) + 1
+        new = self.words.take_features()
+        total = self.ready + len(new)
         if total > len(self.table):
             grow = lambda a: np.concatenate([a, np.zeros((max(total, 2 * len(a)) - len(a), a.shape[1]), "f4")])
             self.table, self.fit = grow(self.table), grow(self.fit)
-        for a in range(self.ready, total, 20_000):
-            b = min(total, a + 20_000)
-            new = np.array(self.words.features[a - 1 : b - 1], np.int64)
-            self.table[a:b] = self.model.project(new)
-            self.fit[a:b] = self.model.lang_fit[new[:, 0] % _LANG_BUCKETS]
-        for k in range(self.ready - 1, total - 1):
-            self.words.features[k] = ()  # only its row of the table is needed now
+        for k in range(0, len(new), 20_000):
+            some = slice(self.ready + k, self.ready + min(len(new), k + 20_000))
+            self.table[some] = self.model.project(new[k : k + 20_000])
+            self.fit[some] = self.model.lang_fit[new[k : k + 20_000, 0] % _LANG_BUCKETS]
         self.ready = total
         logits, langs = _pool(self.model, numbered, self.table, self.fit)
         return 1 / (1 + np.exp(-np.clip(logits - self.model.shift[langs], -30, 30).astype(float)))
