@@ -33,8 +33,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 TOKENS = """flatten(list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z_][A-Za-z0-9_]*(?:[._-][A-Za-z0-9_]+)*|[0-9]+'),
   lambda w: CASE WHEN regexp_matches(w, '[._-]') THEN list_concat([lower(w)], list_filter(string_split_regex(lower(w), '[._-]'), lambda p: p <> '')) ELSE [lower(w)] END))"""
-DOC_TOKENS = f"d AS (SELECT doc_id, {TOKENS} AS toks FROM documents)"
-POSTINGS = f"{DOC_TOKENS}, tf AS (SELECT doc_id, len(any_value(toks))::INT AS dl, t AS token, count(*) AS tf FROM (SELECT doc_id, toks, unnest(toks) AS t FROM d) GROUP BY doc_id, t)"
+DOC_TOKENS = f"d AS MATERIALIZED (SELECT doc_id, {TOKENS} AS toks FROM documents)"
+POSTINGS = f"{DOC_TOKENS}, tf AS MATERIALIZED (SELECT doc_id, dl, token, count(*) AS tf FROM (SELECT doc_id, len(toks)::INT AS dl, unnest(toks) AS token FROM d) GROUP BY ALL)"
 
 
 @query(f"WITH {POSTINGS} SELECT doc_id, token, tf, dl FROM tf")
@@ -167,18 +167,18 @@ st AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM d),
 df AS (SELECT token, count(*) AS df FROM tf GROUP BY token),
 ls AS (SELECT query_id, doc_id, sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl)))) AS score
        FROM asked JOIN tf USING (token) JOIN df USING (token), st GROUP BY query_id, doc_id),
-lex AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM ls QUALIFY rank <= 20)"""
+lex AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM ls QUALIFY rank <= 20)"""
 FUSED = f"""{BM25},
 vs AS (SELECT item_id AS query_id, e.vec_id AS doc_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score
        FROM benchmark JOIN embeddings q ON q.vec_id = item_id, embeddings e WHERE EXISTS (SELECT 1 FROM documents WHERE doc_id = e.vec_id)),
-vec AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM vs QUALIFY rank <= 20),
-fused AS (SELECT query_id, doc_id, coalesce(1.0::DOUBLE / (60 + vec.rank), 0) + coalesce(1.0::DOUBLE / (60 + lex.rank), 0) AS score,
+vec AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM vs QUALIFY rank <= 20),
+fused AS MATERIALIZED (SELECT query_id, doc_id, coalesce(1.0::DOUBLE / (60 + vec.rank), 0) + coalesce(1.0::DOUBLE / (60 + lex.rank), 0) AS score,
                  vec.score AS vector_score, lex.score AS lexical_score,
                  CASE WHEN vec.rank IS NULL THEN 'lexical' WHEN lex.rank IS NULL THEN 'vector' ELSE 'both' END AS source
           FROM vec FULL JOIN lex USING (query_id, doc_id))"""
 GATED = f"""{FUSED}, g1 AS (SELECT * FROM fused WHERE vector_score IS NULL OR vector_score >= 0.15),
-gated AS (SELECT * FROM g1 QUALIFY score >= 0.5 * max(score) OVER (PARTITION BY query_id)),
-kept AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM gated QUALIFY rank <= 6)"""
+gated AS MATERIALIZED (SELECT * FROM g1 QUALIFY score >= 0.5 * max(score) OVER (PARTITION BY query_id)),
+kept AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM gated QUALIFY rank <= 6)"""
 _HITS = "query_id, doc_id, round(score, 6) AS score, round(vector_score, 6) AS vector_score, round(lexical_score, 6) AS lexical_score, source"
 
 
