@@ -65,7 +65,7 @@ def parsing_notice(records: DataFrame, now: Column, group: str = "session_id") -
     return announced(live, [group]).join(waited, group).select(group, "listed", span.alias("waited"))
 
 
-def already_injected(items: DataFrame, prefix: str = "file-reader:", marker: str = "【") -> DataFrame:
+def already_injected(items: DataFrame, prefix: str = "docquery:", marker: str = "【") -> DataFrame:
     """items (query_id, item_id, text) -> query_id, injected."""
     hit = F.coalesce(F.startswith("item_id", F.lit(prefix)), F.lit(False)) | F.coalesce(F.contains("text", F.lit(marker)), F.lit(False))
     return items.groupBy("query_id").agg(F.bool_or(hit).alias("injected"))
