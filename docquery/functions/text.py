@@ -25,7 +25,9 @@ def identifiers(text: Column) -> Column:
     found = F.regexp_extract_all(text, F.lit(IDENTIFIER), F.lit(0))
     parts = lambda w: F.filter(F.split(w, "[._-]"), lambda p: p != "")
     with_parts = lambda w: F.when(w.rlike("[._-]"), F.concat(F.array(w), parts(w))).otherwise(F.array(w))
-    return F.flatten(F.transform(F.transform(found, F.lower), with_parts))
+    words = F.transform(found, F.lower)
+    # most texts have no compound, and are spared the test of each word
+    return F.when(text.rlike("_|[A-Za-z0-9][.-][A-Za-z0-9_]"), F.flatten(F.transform(words, with_parts))).otherwise(words)
 
 
 def tokens(text: Column) -> Column:
