@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Ideographs that are indexed as overlapping pairs.
 IDEOGRAPHS = "[\\x{3400}-\\x{4dbf}\\x{4e00}-\\x{9fff}]+"
+#: What a text with compound identifiers has somewhere.
+COMPOUND = "_|[A-Za-z0-9][.-][A-Za-z0-9_]"
 #: Identifiers, with their dotted, dashed or underscored parts, and numbers.
 IDENTIFIER = "[A-Za-z_][A-Za-z0-9_]*(?:[._-][A-Za-z0-9_]+)*|[0-9]+"
 
@@ -27,7 +29,7 @@ def identifiers(text: Column) -> Column:
     with_parts = lambda w: F.when(w.rlike("[._-]"), F.concat(F.array(w), parts(w))).otherwise(F.array(w))
     words = F.transform(found, F.lower)
     # most texts have no compound, and are spared the test of each word
-    return F.when(text.rlike("_|[A-Za-z0-9][.-][A-Za-z0-9_]"), F.flatten(F.transform(words, with_parts))).otherwise(words)
+    return F.when(text.rlike(COMPOUND), F.flatten(F.transform(words, with_parts))).otherwise(words)
 
 
 def tokens(text: Column) -> Column:
@@ -37,6 +39,13 @@ def tokens(text: Column) -> Column:
     return F.when(text.rlike(IDEOGRAPHS), F.concat(ideograph_pairs(text), identifiers(text))).otherwise(identifiers(text))
 
 
+def token_count(text: Column) -> Column:
+    """Number of index tokens, without making them where each match is one."""
+    text = F.coalesce(text, F.lit(""))
+    plain = ~text.rlike(f"{COMPOUND}|{IDEOGRAPHS}")
+    return F.when(plain, F.regexp_count(text, F.lit(IDENTIFIER))).otherwise(F.size(tokens(text)))
+
+
 def strip(text: Column) -> Column:
     """Cut white space as Unicode knows it, and the separators U+001C to U+001F, from both ends."""
     return F.regexp_replace(text, "(?U)^[\\s\\x1c-\\x1f]+|[\\s\\x1c-\\x1f]+$", "")

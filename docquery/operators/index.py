@@ -31,7 +31,7 @@ def postings(chunks: DataFrame, keys: list[str], text_col: str = "text") -> Data
 
 def doc_stats(chunks: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
     """keys, dl: tokens of each chunk, repeats included."""
-    return tokenised(chunks, keys, text_col).select(*keys, "dl")
+    return chunks.select(*keys, T.token_count(F.col(text_col)).alias("dl"))
 
 
 def corpus_stats(stats: DataFrame, *group: str) -> DataFrame:

@@ -42,7 +42,7 @@ def bm25(chunks: DataFrame, keys: list[str], queries: DataFrame, k: int | None =
     small = asked.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
     near = F.broadcast if small else (lambda df: df)
     rows = chunks.select(*keys, T.tokens(F.col(text_col)).alias("tokens"))
-    stats = rows.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
+    stats = chunks.agg(F.count("*").alias("n"), F.avg(T.token_count(F.col(text_col))).alias("avgdl"))
     posted = rows.select(*keys, F.size("tokens").alias("dl"), F.explode("tokens").alias("token"))
     posted = posted.join(near(asked.select("token").distinct()), "token", "left_semi")
     posted = posted.groupBy(*keys, "dl", "token").agg(F.count("*").alias("tf"))

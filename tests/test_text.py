@@ -53,6 +53,8 @@ def test_tokens(spark):
     }
     rows = spark.createDataFrame([(x,) for x in cases], "text string").select("text", T.tokens(F.col("text")).alias("t")).collect()
     assert {r.text: r.t for r in rows} == cases
+    rows = spark.createDataFrame([(x,) for x in cases], "text string").select("text", T.token_count(F.col("text")).alias("n")).collect()
+    assert {r.text: r.n for r in rows} == {x: len(t) for x, t in cases.items()}
 
 
 def test_full_text(spark):
