@@ -150,7 +150,12 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, seed: int = 42, id_col
     rows = docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col), shingle, seed).alias("fp"))
     rows = materialise(rows, "simhash-rows")
     nodes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
-    roots = connected_components(links(nodes.select("fp")), "simhash-components").withColumnRenamed("node", "fp")
+    return component_rows(rows, nodes, links(nodes.select("fp")))
+
+
+def component_rows(rows: DataFrame, nodes: DataFrame, linked: DataFrame) -> DataFrame:
+    """rows (doc_id, fp) with root and component_id, from nodes (fp, least id) and their links (u, v)."""
+    roots = connected_components(linked, "simhash-components").withColumnRenamed("node", "fp")
     nodes = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
     named = nodes.join(ids, "root").select(F.col("fp").alias("__fp"), "root", "component_id")
@@ -164,6 +169,11 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     Where that id is null or repeated, rows are told apart by fingerprint and one of the equal ones stays.
     """
     found = materialise(near_duplicates(docs, id_col=id_col, text_col=text_col, **options), "simhash-found")
+    return keep_least(docs, found, fingerprint(F.col(text_col), **options), id_col=id_col)
+
+
+def keep_least(docs: DataFrame, found: DataFrame, own: Column, *, id_col: str = "doc_id") -> DataFrame:
+    """docs' row of the smallest id of each component in found (doc_id, fp, root, component_id); own: a row's fp."""
     least = F.col("doc_id").eqNullSafe(F.col("component_id"))
     per_id = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or(least).alias("keep"))
     per_id = materialise(per_id.withColumnRenamed("doc_id", "__id"), "simhash-ids")
@@ -175,7 +185,7 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
 
     repeated = per_id.where("n > 1 and __id is not null").select("__id")
     odd = docs.join(repeated, F.col(id_col) == F.col("__id"), "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
-    odd = odd.withColumn("__own", fingerprint(F.col(text_col), **options))
+    odd = odd.withColumn("__own", own)
     odd_ids = found.where(least).join(repeated, F.col("doc_id") == F.col("__id"), "left_semi")
     odd_ids = odd_ids.unionByName(found.where(least & F.col("doc_id").isNull()))
     firsts = odd_ids.groupBy("root").agg(F.min("doc_id").alias("__id"), F.min("fp").alias("__fp"))
