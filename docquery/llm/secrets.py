@@ -3,7 +3,7 @@
 Every text is scanned for credential patterns.  A match's value is hashed, and
 the hashes are counted over distinct repositories and owners: a value that
 many owners hold is a widely copied example, one that few hold and that looks
-live (varied characters, no placeholder words) is somebody's credential.
+live (varied characters, of a login in a URL any; no placeholder words) is somebody's credential.
 Patterns of the base kinds always count as spans; the wider, noisier kinds add a span only where the frequency says it is owned.
 
 Positions are code points.  They come from the lengths of the matches and of
@@ -30,7 +30,7 @@ def _either_case(word: str) -> str:
 
 @dataclass(frozen=True)
 class Kind:
-    """pattern: matches leftmost and apart; value: group that is the credential; needs: what a value must match; least: its length."""
+    """pattern: matches leftmost and apart; value: group that is the credential; needs: what a value must match; least: its length; varied: distinct characters of a live one."""
 
     name: str
     pattern: str
@@ -38,6 +38,7 @@ class Kind:
     least: int = 0
     needs: tuple[str, ...] = ()
     base: bool = True
+    varied: int = 8
 
 
 #: Letters of these words in either case, as classes: the same in any regex dialect.
@@ -47,7 +48,7 @@ KINDS = (
     Kind("access", r"AKIA[A-Z0-9]{16,}"),
     Kind("hex", r"[0-9a-f]{24,}"),
     Kind("mixed", r"[A-Za-z0-9_-]{24,}", needs=("[a-z]", "[A-Z]", "[0-9]"), base=False),
-    Kind("login", r"://[^\x00-\x20:/@]+:([^\x00-\x20:/@]+)@", value=1, least=4, base=False),
+    Kind("login", r"://[^\x00-\x20:/@]+:([^\x00-\x20:/@]+)@", value=1, least=4, base=False, varied=1),
     Kind("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\x0A\x0D]*", least=64, base=False),
 )
 #: Words that show a made-up value.
@@ -78,7 +79,7 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", own
     upto = Window.partitionBy("doc_id", "text_hash", "owner", "repo", "kind").orderBy("pos")
     end = F.sum(F.col("gap") + F.length("hit")).over(upto)
     rows = rows.withColumn("end", end.cast("int")).withColumn("start", F.col("end") - F.length("hit"))
-    value, holds = F.col("hit"), F.lit(True)
+    value, holds, varied = F.col("hit"), F.lit(True), F.lit(8)
     for k in KINDS:
         own = F.regexp_extract("hit", k.pattern, k.value) if k.value else F.col("hit")
         value = F.when(F.col("kind") == k.name, own).otherwise(value)
@@ -86,7 +87,8 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", own
         for need in k.needs:
             fits = fits & own.rlike(need)
         holds = F.when(F.col("kind") == k.name, fits).otherwise(holds)
-    live = (F.size(F.array_distinct(F.split(value, ""))) >= 8) & ~F.lower(value).rlike(PLACEHOLDERS)
+        varied = F.when(F.col("kind") == k.name, k.varied).otherwise(varied)
+    live = (F.size(F.array_distinct(F.split(value, ""))) >= varied) & ~F.lower(value).rlike(PLACEHOLDERS)
     return rows.where(holds).select("doc_id", "text_hash", "kind", "start", "end", F.xxhash64(value).alias("value_hash"), live.alias("live"), "owner", "repo")
 
 
