@@ -7,8 +7,10 @@ are matched by moves the other way or by free room, so sizes stay within the
 capacity; which of the wanted moves happen is drawn by a seeded hash at the
 allowed rate.  So that neighbours don't swap places for ever, a document with
 at least as many links as each neighbour (of equals, the least) is an anchor that stays, and in odd rounds half of the others rest.
-Documents without links (and, where a shard is above its size, some of its linked ones) come
-last and fill every shard up to the same size, in seeded order, cut where the running size reaches it.
+Then every group of links that fits a shard goes whole to the shard that has
+most of it, or whole to another with room; of what is still above a shard's
+size, one group gives up a part.  Groups bigger than a shard take the room that is left.
+Documents without links (and the parts given up) come last and fill every shard up to the same size, in seeded order, cut where the running size reaches it.
 
 A table of links and labels is written each round; the driver holds one sum per pair of shards.
 
@@ -71,6 +73,11 @@ def _rates(flows: dict[tuple[int, int], float], room: dict[int, float]) -> dict[
     return {(a, b): (matched[a, b] + over[a, b] * min(1.0, room[b] / into[b] if into[b] else 0.0)) / w for (a, b), w in flows.items()}
 
 
+def _full(rows: DataFrame, shard: str = "shard") -> dict[int, float]:
+    """Sum of sizes in each shard."""
+    return {r[0]: float(r[1]) for r in rows.groupBy(shard).agg(F.sum("size")).collect()}
+
+
 def _range(u: str) -> Column:
     return F.floor(F.col(u) / _WIDTH).cast("int")
 
@@ -110,15 +117,52 @@ def shard_documents(docs: DataFrame, *, shards: int = 8, rounds: int = 4, seed:
     linked = materialise(linked.withColumn("shard", (unit_hash(seed, F.col("node")) % shards).cast("int")), "shard-linked")
     total = rows.agg(F.sum("size")).first()[0] or 0
     goal = total / shards
-    links = linked.where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))
-    labels = propagate(linked.select("node", "size", "shard"), links, goal, shards, rounds=rounds, seed=seed)
-
-    # shards above their size give up a seeded part of their linked documents
-    full = {r.shard: float(r.w) for r in labels.groupBy("shard").agg(F.sum("size").alias("w")).collect()}
-    spare = F.create_map(*(F.lit(x) for s, w in full.items() for x in (s, max(0.0, 1 - goal / w)))) if full else F.create_map(F.lit(0), F.lit(0.0))
-    stays = unit_hash(seed + 1, F.col("node")) >= F.coalesce(spare[F.col("shard")], F.lit(0.0)) * 2.0**52
-    labels = materialise(labels.where(stays).select(F.col("node").alias("__node"), F.col("shard").alias("__shard"), "size"), "shard-stays")
-    full = {r["__shard"]: float(r.w) for r in labels.groupBy("__shard").agg(F.sum("size").alias("w")).collect()}
+    sizes = linked.groupBy("hub").agg(F.sum("size").alias("group_size"))
+    linked = materialise(linked.join(sizes, "hub"), "shard-sized")
+    small = linked.where(F.col("group_size") <= goal)
+    links = small.where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))
+    labels = propagate(small.select("node", "size", "shard"), links, goal, shards, rounds=rounds, seed=seed)
+
+    # a group that fits a shard goes whole to where most of it is; shards above their size give up a seeded part of their groups
+    at = labels.join(small.select(F.col("node").alias("__node"), "hub"), F.col("node") == F.col("__node"))
+    at = at.groupBy("hub", "shard").agg(F.sum("size").alias("w"))
+    whole = at.groupBy("hub").agg(F.sum("w").alias("size"), F.max(F.struct("w", (-F.col("shard")).alias("s"))).alias("best"))
+    whole = materialise(whole.select("hub", "size", (-F.col("best.s")).alias("shard")), "shard-whole")
+    full = _full(whole)
+    spare = F.create_map(*(F.lit(x) for s in range(shards) for x in (s, max(0.0, 1 - goal / max(goal, full.get(s, 0.0), 1.0)))))
+    stays = unit_hash(seed + 1, F.col("hub")) >= spare[F.col("shard")] * 2.0**52
+    stay = materialise(whole.where(stays), "shard-stay")
+    full = _full(stay)
+    moved = whole.where(~stays).select(F.lit(0).alias("doc_id"), F.col("hub").alias("text_hash"), "size", unit_hash(seed + 2, F.col("hub")).alias("u"))
+    moved = _fill(moved, [max(0.0, goal - full.get(s, 0.0)) for s in range(shards)])
+    whole = materialise(stay.unionByName(moved.select(F.col("text_hash").alias("hub"), "size", "shard")), "shard-whole")
+
+    # what is still too much is one group's part in each shard
+    free = {}
+    for s, w in sorted(_full(whole).items()):
+        over = w - goal
+        if over > 0:
+            pick = F.struct((F.col("size") >= over).alias("enough"), F.when(F.col("size") >= over, -F.col("size")).otherwise(F.col("size")).alias("o"), "hub", "size")
+            cut = whole.where(F.col("shard") == s).agg(F.max(pick).alias("p")).first().p
+            free[cut.hub] = min(1.0, over / cut.size)
+    part = F.lit(0.0)
+    for hub, share in free.items():
+        part = F.when(F.col("hub") == hub, share).otherwise(part)
+    named = small.select("node", "hub", "size").join(whole.select("hub", "shard"), "hub").where(unit_hash(seed + 3, F.col("node")) >= part * 2.0**52)
+    named = materialise(named.select("node", "size", "shard"), "shard-named")
+
+    # groups too big for a shard take what room is left, the largest first; each is more than a shard, so they are few
+    full = _full(named)
+    room = {s: goal - full.get(s, 0.0) for s in range(shards)}
+    for big in linked.where(F.col("group_size") > goal).select("hub", "group_size").distinct().orderBy(F.desc("group_size"), "hub").collect():
+        takes, rest = [0.0] * shards, float(big.group_size)
+        for s in sorted(room, key=lambda s: (-room[s], s)):
+            takes[s] = min(max(0.0, room[s]), rest)
+            room[s], rest = room[s] - takes[s], rest - takes[s]
+        own = linked.where(F.col("hub") == big.hub).select("node", "size", unit_hash(seed + 4, F.col("node")).alias("u"), F.lit(0).alias("doc_id"), F.col("node").alias("text_hash"))
+        named = named.unionByName(_fill(own, takes).select("node", "size", "shard"))
+    labels = materialise(named.select(F.col("node").alias("__node"), F.col("shard").alias("__shard"), "size"), "shard-stays")
+    full = _full(labels, "__shard")
     needs = [max(0.0, goal - full.get(s, 0.0)) for s in range(shards)]
 
     marked = rows.join(labels.drop("size"), F.col("node") == F.col("__node"), "left")
