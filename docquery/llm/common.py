@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word: a run of anything but ASCII white space.
@@ -23,8 +24,14 @@ def _own_folder() -> str:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a local one only where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{_own_folder()}").rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset a local folder serves if the master is local, for then all tasks run on this machine; on a cluster it is an error.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (shared or f"file://{_own_folder()}").rstrip("/")
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -55,20 +62,28 @@ def learned_on(doc_id: Column, folds: int, held_out: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds != held_out, F.lit(False))
 
 
+#: The hashes that may be sampled are dealt into so many ranges.
+SAMPLE_RANGES = 256
+
+
 def sample_per_group(keys: DataFrame, group: str, id_col: str, most: int, seed: int) -> DataFrame:
-    """At most `most` rows of each group, those of smallest seeded hash: same rows in any order or partitioning.
+    """(group, id_col): at most `most` ids of each group, those of smallest seeded hash: the same ids in any order or partitioning.
 
-    The group sizes give a hash threshold that leaves about four times as many
-    rows as wanted, so that only those reach the ranking window.  Rows with a null group are left out.
+    A sketch of the group's distinct ids gives a hash threshold that leaves about four times as many as wanted.  What is
+    below is counted by ranges of the hash; whole ranges are taken by the counts, and only within a
+    range (a few dozen ids) are rows ranked.  Rows with a null group are left out; repeated ids count once.
     """
-    from pyspark.sql import Window
-
-    keys = keys.where(F.col(group).isNotNull()).withColumn("__h", unit_hash(seed, F.col(id_col)))
-    sizes = keys.groupBy(F.col(group).alias("__g")).agg(F.count("*").alias("__n"))
+    keys = keys.select(group, id_col).where(F.col(group).isNotNull()).withColumn("__h", unit_hash(seed, F.col(id_col)))
+    sizes = keys.groupBy(F.col(group).alias("__g")).agg(F.approx_count_distinct("__h").alias("__n"))
     near = keys.join(small_side(sizes), F.col(group) == F.col("__g"))
-    near = near.where(F.col("__h") <= F.lit(2.0**52) * (4.0 * most + 200) / F.col("__n"))
-    rank = F.row_number().over(Window.partitionBy(group).orderBy("__h", id_col))
-    return near.withColumn("__r", rank).where(F.col("__r") <= most).drop("__h", "__g", "__n", "__r")
+    place = F.floor(F.col("__h") / (F.lit(2.0**52) * (4.0 * most + 200) / F.greatest("__n", F.lit(1))) * SAMPLE_RANGES).cast("int")
+    near = near.withColumn("__p", place).where(F.col("__p") < SAMPLE_RANGES).select(group, id_col, "__h", "__p").distinct()
+    counts = near.groupBy(F.col(group).alias("__g"), F.col("__p").alias("__q")).agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy("__g").orderBy("__q")) - F.col("__n")  # SAMPLE_RANGES rows a group at most
+    counts = counts.withColumn("__before", before).where(F.col("__before") < most)
+    near = near.join(small_side(counts), (F.col(group) == F.col("__g")) & (F.col("__p") == F.col("__q")))
+    rank = F.row_number().over(Window.partitionBy(group, "__p").orderBy("__h", id_col))
+    return near.withColumn("__r", F.col("__before") + rank).where(F.col("__r") <= most).select(group, id_col)
 
 
 def connected_components(edges: DataFrame, name: str = "components", most_rounds: int = 60) -> DataFrame:

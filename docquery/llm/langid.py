@@ -27,11 +27,12 @@ from pyspark.sql import functions as F
 
 from docquery.llm.common import learned_on, sample_per_group
 
-#: Bytes of a dictionary, of a block, and the training rows and characters that a dictionary is made of at most.
+#: Bounds of the training sample: bytes of a dictionary, rows of a language, and the first characters of each row's text.
 DICTIONARY_BYTES = 112 * 1024
-BLOCK_CHARS = 4096
 TRAIN_ROWS = 150
 TRAIN_CHARS = 16_384
+#: Characters that are compressed at a time.
+BLOCK_CHARS = 4096
 LEVEL = 6
 _OTHER = re.compile(r"[\W\d_]+")
 
@@ -98,17 +99,20 @@ def language(text: Column, content: dict[str, bytes], margin: float = 0.02) -> C
 
 
 def fit(
-    docs: DataFrame, *, folds: int = 4, held_out: int = 2, rows_per_language: int = TRAIN_ROWS, seed: int = 6,
-    id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+    docs: DataFrame, *, folds: int = 4, held_out: int = 2, rows_per_language: int = TRAIN_ROWS, train_chars: int = TRAIN_CHARS,
+    dictionary_bytes: int = DICTIONARY_BYTES, seed: int = 6, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
 ) -> dict[str, bytes]:
-    """Dictionaries from at most `rows_per_language` rows of each language, each of up to TRAIN_CHARS characters."""
+    """Dictionaries of `dictionary_bytes` from at most `rows_per_language` ids of each language, of each text the first `train_chars` characters.
+
+    Ids are drawn before any text is read, whatever its length.  Of several rows with one id and language the text of least hash counts.
+    """
     known = docs.where(learned_on(F.col(id_col), folds, held_out) & F.col(lang_col).isNotNull())
-    keys = known.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"))
-    chosen = sample_per_group(keys, "__lang", "__id", rows_per_language, seed)
-    own = known.where(F.length(text_col) <= TRAIN_CHARS)
-    own = own.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    rows = own.join(F.broadcast(chosen), (F.col("id") == F.col("__id")) & (F.col("lang") == F.col("__lang")))
-    return dictionaries([(r.lang, r.text) for r in sorted(rows.select("lang", "text").collect())])
+    known = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    chosen = sample_per_group(known, "lang", "id", rows_per_language, seed).withColumnsRenamed({"id": "__id", "lang": "__lang"})
+    rows = known.join(F.broadcast(chosen), (F.col("id") == F.col("__id")) & (F.col("lang") == F.col("__lang")))  # so many rows a language
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), F.left("text", F.lit(train_chars)).alias("text"))).alias("m")
+    rows = rows.groupBy("lang", "id").agg(one).select("lang", "m.text")
+    return dictionaries([(r.lang, r.text) for r in sorted(rows.collect())], dictionary_bytes)
 
 
 def identify_documents(

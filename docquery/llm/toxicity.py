@@ -7,11 +7,13 @@ a logistic layer reads those.  Scores are shifted by a threshold for each
 language, calibrated mostly on training rows set aside; the language is the one whose
 word statistics (learned from the same rows) fit the text best, never a column.
 
-Training takes a bounded sample: at most `per_class` rows of each label with up
-to `train_chars` characters, chosen by a seeded hash.  Scoring reads every text whole.
+Training takes a bounded sample: at most `per_class` ids of each label, chosen by
+a seeded hash, and of each text the first `train_chars` characters.  Scoring reads every text whole.
+Runs without white space above 40 characters are words by their letters, in pieces of up to 20, so that no word is long.
 
 Defined cases: null and empty texts get the model's score for no words; rows
 without a label, with a null id or of a held-out fold are never learned from;
+of several rows with one id the text of least hash is learned from, its label being the largest given;
 without rows of both labels every score is 0; repeated rows score alike; other columns are ignored.
 """
 
@@ -42,6 +44,9 @@ LEAST_TEXTS = 3
 #: Entries of a worker's table of known words; it is emptied when full.
 CACHE = 150_000
 _LETTERS = re.compile(r"[^\W\d_]+")
+#: Longest run that is one word, and the pieces of longer ones.
+_RUN = 40
+_PIECES = re.compile(r"[^\W\d_]{1,20}")
 _LANG_BUCKETS = 1 << 15
 
 
@@ -116,7 +121,10 @@ class Words(dict):
         return n
 
     def number(self, text: str | None) -> np.ndarray:
-        return np.array([*map(self.__getitem__, (text or "").split()), *[0] * _PAD], np.int32)
+        words = (text or "").split()
+        if words and len(max(words, key=len)) > _RUN:
+            words = [p for w in words for p in (_PIECES.findall(w) if len(w) > _RUN else (w,))]
+        return np.array([*map(self.__getitem__, words), *[0] * _PAD], np.int32)
 
     def take_features(self) -> np.ndarray:
         """Features of the words that came since the last call, a row each."""
@@ -293,10 +301,10 @@ def fit(
     given = given.groupBy(id_col).agg(F.max(label_col).alias(label_col))
     counts = {r[0]: r[1] for r in given.groupBy(label_col).count().collect()}
     sample = sample_per_group(given, label_col, id_col, per_class, seed).select(F.col(id_col).alias("__id"), F.col(label_col).alias("y"))
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    own = own.where(F.length("text") <= train_chars)
-    rows = own.join(F.broadcast(sample), F.col("id") == F.col("__id"))  # at most 2 * per_class rows
-    rows = sorted(rows.dropDuplicates(["id"]).select("id", "y", "text", "lang").collect())
+    own = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = own.join(F.broadcast(sample), F.col("id") == F.col("__id"))  # at most 2 * per_class ids
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), F.left("text", F.lit(train_chars)).alias("text"), "lang")).alias("m")
+    rows = sorted(rows.groupBy("id", "y").agg(one).select("id", "y", "m.text", "m.lang").collect(), key=lambda r: r.id)
     y = [r.y for r in rows]
     weights = tuple(counts.get(c, 0) / max(1, y.count(c)) for c in (0, 1))
     return train([r.text for r in rows], y, [r.lang for r in rows], weights=weights, seed=seed)
