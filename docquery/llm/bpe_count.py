@@ -6,8 +6,9 @@ in a doubly linked list and pushes the pairs that this forms.  The count is the
 initial number of symbols less the number of merges; no token ids arise.
 
 The tokenizer file's own normalizer and pre-tokenizer are run by its library,
-on one space-separated run of text at a time; counts of runs and words are
-kept per worker, in tables of bounded size.
+on one space-separated run of text at a time.  Counts of short runs and words are
+kept per worker, in two tables of at most CACHE entries of up to CACHE_BYTES each, so of bounded
+size; long ones (texts without blanks) are counted anew each time.
 
 Defined cases: null and empty texts have 0 tokens and 0 bytes; special strings
 inside a text count as one token each, as the library does by default; other columns are ignored.
@@ -25,8 +26,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Entries of a worker's tables of known runs and words; a table is emptied when full.
-CACHE = 800_000
+#: Entries of each of a worker's tables of known runs and words (a table is emptied when full), and the longest key that is kept.
+CACHE = 400_000
+CACHE_BYTES = 48
 _PLACE = (1 << 40) - 1
 
 
@@ -49,13 +51,17 @@ def _plain_rules(spec: dict) -> tuple:
 
 
 class _Known(dict):
-    """Remembers what a function gave."""
+    """Remembers what a function gave for short keys."""
 
     def __init__(self, function):
         self.function = function
 
     def __missing__(self, key):
-        value = self[key] = self.function(key)
+        value = self.function(key)
+        if len(key) <= CACHE_BYTES:
+            if len(self) >= CACHE:
+                self.clear()
+            self[key] = value
         return value
 
 
@@ -131,13 +137,9 @@ class Counter:
             total = len(parts) - 1
         for part in parts:
             total += sum(map(self.words.__getitem__, self.split(part)))
-        if len(self.words) >= CACHE:
-            self.words.clear()
         return total
 
     def __call__(self, text: str | None) -> int:
-        if len(self.runs) >= CACHE:
-            self.runs.clear()
         # bytes split at ASCII white space; no word of the vocabulary spans it
         return sum(map(self.runs.__getitem__, (text or "").encode("utf-8", "surrogatepass").split()))
 

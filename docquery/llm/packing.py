@@ -30,8 +30,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries of a task's cache of encoded words; it is emptied when full.
-CACHE = 500_000
+#: Entries of a task's cache of encoded words (it is emptied when full), and the longest word that is kept.
+CACHE = 400_000
+CACHE_CHARS = 40
+#: Documents and characters that are encoded at a time.
+AT_ONCE, CHARS_AT_ONCE = 512, 1 << 20
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _ODD_SPACE = re.compile(r"\s\s|^\s|\s\Z")
 
@@ -84,19 +87,37 @@ class Encoder:
         self.first.clear()
         self.later.clear()
 
-    def learn(self, parts: set[str], lead: str, known: dict[str, bytes]) -> None:
-        """Encode lead + part for each part; the library takes them in batches."""
+    def learn(self, parts: set[str], lead: str, known: dict[str, bytes]) -> list[str]:
+        """Encode lead + part for each part; the library takes them in batches. Returns the long ones, which are not to be kept."""
         new = list(parts)
         known.update(zip(new, (array("I", ids).tobytes() for ids in self.encode([lead + p for p in new])), strict=True))
+        return [p for p in new if len(p) > CACHE_CHARS]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         cut = [_LONE_SPACE.split(x) if _ODD_SPACE.search(x) else x.split(" ") for x in texts]
         if len(self.first) + len(self.later) > CACHE:
             self.forget()
         first, later = self.first, self.later
-        self.learn({parts[0] for parts in cut}.difference(first), "", first)
-        self.learn(set().union(*(parts[1:] for parts in cut)).difference(later), " ", later)
-        return [first[parts[0]] + b"".join([later[p] for p in parts[1:]]) for parts in cut]
+        long_first = self.learn({parts[0] for parts in cut}.difference(first), "", first)
+        long_later = self.learn(set().union(*(parts[1:] for parts in cut)).difference(later), " ", later)
+        out = [first[parts[0]] + b"".join([later[p] for p in parts[1:]]) for parts in cut]
+        for known, parts in ((first, long_first), (later, long_later)):
+            for p in parts:
+                del known[p]
+        return out
+
+
+def some_texts(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """(first row, texts) of a few texts each, by their number and length; null is empty."""
+    at, part, chars = 0, [], 0
+    for n, x in enumerate(texts):
+        part.append(x.as_py() or "")
+        chars += len(part[-1])
+        if len(part) == AT_ONCE or chars >= CHARS_AT_ONCE:
+            yield at, part
+            at, part, chars = n + 1, [], 0
+    if part:
+        yield at, part
 
 
 @lru_cache(maxsize=4)
@@ -183,9 +204,9 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, size: int, end: int) ->
         return batch
 
     for batch in batches:
-        rows, texts = batch.column(0).to_pylist(), batch.column(1)
-        for at in range(0, len(rows), 512):
-            for row, ids in zip(rows[at : at + 512], encode([x or "" for x in texts.slice(at, 512).to_pylist()]), strict=True):
+        rows = batch.column(0).to_pylist()
+        for at, texts in some_texts(batch.column(1)):
+            for row, ids in zip(rows[at : at + len(texts)], encode(texts), strict=True):
                 ids += tail
                 total = len(ids) // 4
                 full = total - total % size
