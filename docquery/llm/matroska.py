@@ -2,13 +2,14 @@
 
 A file is a tree of EBML elements, each with a variable-length id and size.
 `packet_table` walks Segment, Cluster, SimpleBlock and BlockGroup, undoes Xiph,
-fixed and EBML lacing, and gives one row per frame with its track, timestamp and
-byte range, so that samples can later be read by range.  `cue_table` gives the
+fixed and EBML lacing, and gives one row per frame with its track, timestamp,
+duration (of raw sound, else 0) and byte range, so that samples can later be read by range.  `cue_table` gives the
 index entries with the absolute place of their cluster.  `mux` stores raw 8-bit
-samples as a PCM track in clusters of laced blocks with cues.
+samples as a PCM track in clusters of laced blocks with cues.  `stored_texts` writes and reads
+back in one pass and hands rows on in batches of a few MB, however long the texts are.
 
-Defined cases: null and empty media have no rows in the tables and `error` null
-in `read_back`; broken or cut files keep the packets before the break and report it in
+Defined cases: null and empty media have no rows in the tables; null text is the empty one, stored as one unit
+of blanks; broken or cut files keep the packets before the break and report it in
 `error`; elements of unknown size end where a sibling or parent ends; repeated rows repeat; other columns are ignored.
 """
 
@@ -20,6 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -179,7 +181,7 @@ def frames(data: bytes, at: int, end: int) -> tuple[int, int, int, list[tuple[in
 
 
 def demux(data: bytes) -> tuple[list[tuple], list[tuple], str | None]:
-    """Packets (track, timestamp in ms, start, length, lacing, keyframe, cluster), cues (ms, track, cluster), what broke off."""
+    """Packets (track, timestamp in ms, start, length, lacing, keyframe, cluster, ms long), cues (ms, track, cluster), what broke off."""
     packets: list[tuple] = []
     cues: list[tuple] = []
     rates: dict[int, float] = {}  # bytes per ms of raw audio tracks
@@ -217,7 +219,7 @@ def demux(data: bytes) -> tuple[list[tuple], list[tuple], str | None]:
                             ms, done, rate = (base + relative) * scale / 1e6, 0, rates.get(track)
                             for start, n in ranges:
                                 time = round(ms + (done / rate if rate else 0))
-                                packets.append((track, time, start, n, flags >> 1 & 3, bool(flags & 0x80) if key is None else key, a))
+                                packets.append((track, time, start, n, flags >> 1 & 3, bool(flags & 0x80) if key is None else key, a, n / rate if rate else 0.0))
                                 done += n
                 elif kind == CUES:
                     for _, x, y in elements(data, a, b):
@@ -243,7 +245,7 @@ def store(payload: Column) -> Column:
     return stored(payload)
 
 
-PACKETS = "array<struct<track:int,timestamp_ms:long,start:long,length:long,lacing:int,keyframe:boolean,cluster:long>>"
+PACKETS = "array<struct<track:int,timestamp_ms:long,start:long,length:long,lacing:int,keyframe:boolean,cluster:long,duration_ms:double>>"
 CUE_ROWS = "array<struct<timestamp_ms:long,track:int,cluster:long>>"
 
 
@@ -252,7 +254,7 @@ def read(media: Column) -> Column:
 
     @F.pandas_udf(f"packets {PACKETS}, cues {CUE_ROWS}, error string")
     def parsed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        names = ("track", "timestamp_ms", "start", "length", "lacing", "keyframe", "cluster")
+        names = ("track", "timestamp_ms", "start", "length", "lacing", "keyframe", "cluster", "duration_ms")
         for files in batches:
             rows = [demux(bytes(x)) if x else ([], [], None) for x in files]
             yield pd.DataFrame(
@@ -267,7 +269,7 @@ def read(media: Column) -> Column:
 
 
 def packet_table(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
-    """One row per packet: id, packet (from 0), track, timestamp_ms, start, length, lacing, keyframe, cluster."""
+    """One row per packet: id, packet (from 0), track, timestamp_ms, start, length, lacing, keyframe, cluster, duration_ms."""
     rows = media.select(F.col(id_col).alias("id"), read(F.col(media_col)).alias("r"))
     return rows.select("id", F.posexplode("r.packets").alias("packet", "p")).select("id", "packet", "p.*")
 
@@ -278,23 +280,14 @@ def cue_table(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
     return rows.select("id", F.explode("r.cues").alias("c")).select("id", "c.*")
 
 
-def read_back(media: Column) -> Column:
-    """struct(payload, packets, clusters, cues, seekable, laced, duration_ms, total, energy, error) from the stored bytes.
-
-    The payload is what the packets' byte ranges hold; total and energy are sums over its samples; seekable: every cue points at a cluster of its time.
-    """
-
-    @F.pandas_udf(
-        "payload binary, packets long, clusters long, cues long, seekable boolean, laced long, duration_ms long, total long, energy long, error string"
-    )
-    def back(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for files in batches:
-            yield pd.DataFrame([_summary(bytes(x) if x else b"") for x in files], columns=list(_NAMES))
-
-    return back(media)
-
-
-_NAMES = ("payload", "packets", "clusters", "cues", "seekable", "laced", "duration_ms", "total", "energy", "error")
+#: What is read back: the payload that the packets' byte ranges hold, counts, sums over its samples; seekable: every cue points at a cluster.
+_BACK = pa.struct(
+    [("payload", pa.binary()), ("packets", pa.int64()), ("clusters", pa.int64()), ("cues", pa.int64()), ("seekable", pa.bool_()), ("laced", pa.int64()),
+     ("duration_ms", pa.int64()), ("total", pa.int64()), ("energy", pa.int64()), ("error", pa.string())]
+)
+_BACK_DDL = "struct<payload:binary,packets:long,clusters:long,cues:long,seekable:boolean,laced:long,duration_ms:long,total:long,energy:long,error:string>"
+#: Bytes of media that are handed on at a time.
+BATCH_BYTES = 4 << 20
 
 
 def _summary(data: bytes) -> tuple:
@@ -307,21 +300,35 @@ def _summary(data: bytes) -> tuple:
     # a cue names the cluster's element, a packet its body: the head between has at most 12 bytes
     heads = {body - k for body in first for k in range(5, 13) if data[body - k : body - k + 4] == CLUSTER.to_bytes(4, "big")}
     seekable = all(c[2] in heads for c in cues)
-    last = packets[-1][1] + packets[-1][3] * 1000 // RATE if packets else 0
+    last = int(packets[-1][1] + packets[-1][7]) if packets else 0
     laced = sum(p[4] > 0 for p in packets)
     return payload, len(packets), len(first), len(cues), seekable, laced, last, int(samples.sum()), int((samples * samples).sum()), error
 
 
-def as_payload(text: Column, unit: int = UNIT) -> Column:
+def as_payload(text: str | None, unit: int = UNIT) -> bytes:
     """UTF-8 bytes, filled with blanks up to a positive multiple of the unit."""
-    raw = F.encode(F.coalesce(text, F.lit("")), "utf-8")
-    short = (unit - F.length(raw) % unit) % unit + F.when(F.length(raw) == 0, unit).otherwise(0)
-    return F.concat(raw, F.encode(F.repeat(F.lit(" "), short), "utf-8"))
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    return raw + b" " * (-len(raw) % unit or (0 if raw else unit))
 
 
 def stored_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, media and what read_back gives of it as `r`."""
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"), F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_bytes"), store(as_payload(F.col(text_col))).alias("media")
-    )
-    return rows.select("doc_id", "n_bytes", "media", read_back(F.col("media")).alias("r"))
+    """doc_id, n_bytes, media (each text's bytes as a Matroska file) and what reading that back gives as `r`."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+
+    def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, first, sizes, media, back, held = batch.column(0), 0, [], [], [], 0
+            for n, text in enumerate(batch.column(1)):
+                raw = text.as_py()
+                file = mux(as_payload(raw))
+                sizes.append(len((raw or "").encode("utf-8", "surrogatepass")))
+                media.append(file)
+                back.append(dict(zip(_BACK.names, _summary(file))))
+                held += len(file)
+                if held >= BATCH_BYTES or n == len(batch) - 1:
+                    columns = [ids.slice(first, n + 1 - first), pa.array(sizes, pa.int64()), pa.array(media, pa.binary()), pa.array(back, _BACK)]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "media", "r"])
+                    first, sizes, media, back, held = n + 1, [], [], [], 0
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(stored, f"doc_id {kind}, n_bytes long, media binary, r {_BACK_DDL}")
