@@ -1,13 +1,19 @@
 """Quality rules with thresholds that adapt to language and source.
 
-Each document has whole-number measures per thousand (symbols, repeated lines,
-repeated three-word windows, capitals, word length).  Their distribution is
+Each document has rates per million: symbols, capitals and word characters,
+repeated lines, words in repeated three-word windows, characters a word.
+Rates are smoothed, (count + 1) / (whole + 1), so that even a measure that most
+documents lack has a spread: that of their lengths.  The distribution of a rate is
 kept per language and source as a quantile sketch: counts of logarithmic
 buckets of relative width 1/32.  Sketches merge by adding counts, in any order,
 so a source with few documents falls back on its language's sketch and that on
-the sketch of all, and a rerun gives the same thresholds.  A document fails a
-measure beyond `reach` times the quartile range (at least the measure's floor)
-above the third quartile; for word length also below the first.  Thresholds are joined to the documents by language and source.
+the sketch of all, and a rerun gives the same thresholds.
+
+The fence is set on the sketch's own logarithmic scale: a document fails a
+measure above q3 * (q3 / q1)^reach, for word length also below
+q1 / (q3 / q1)^reach, with the quartiles q1 and q3 of its group.  The reach of a measure says how
+heavy its tail is in clean text; no cutoff is fixed.  A ratio below one bucket counts as one
+bucket.  Thresholds are joined to the documents by language and source.
 
 Defined cases: null text is an empty one and fails the base rule; null language
 or source is a group of its own; repeated rows count and are judged alike; other columns are ignored.
@@ -24,14 +30,16 @@ from pyspark.sql import functions as F
 
 from docquery.llm.common import materialise, small_side
 
-#: measure -> (least quartile range that counts, judged below as well)
+#: measure -> (how many ratios of the quartiles the fence is away, judged below as well)
 MEASURES = {
-    "symbols": (20, False),
-    "capitals": (60, False),
-    "dup_lines": (100, False),
-    "repeats": (80, False),
-    "word_length": (450, True),
+    "symbols": (2, False),
+    "capitals": (4, False),
+    "dup_lines": (2, False),
+    "repeats": (3, False),
+    "word_length": (6, True),
 }
+#: Width of a bucket: the least ratio of the quartiles that counts.
+LEAST_RATIO = 33 / 32
 #: A group with fewer documents uses the next wider group's sketch.
 LEAST_DOCS = 50
 
@@ -74,8 +82,9 @@ def features(text: Column) -> Column:
     return measured(text)
 
 
-def _per_thousand(part: str, whole: str) -> Column:
-    return F.when(F.col(whole) > 0, F.floor(F.col(part) * 1000 / F.col(whole))).otherwise(0).cast("long")
+def _rate(part: str, whole: str) -> Column:
+    """Smoothed rate per million, 1 at least."""
+    return F.expr(f"greatest(1L, ({part} + 1) * 1000000 div ({whole} + 1))")
 
 
 def bucket(value: str) -> Column:
@@ -114,38 +123,41 @@ def quartiles(sketch: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def thresholds(sketch: DataFrame, reach: int = 3, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """(lang, source, docs, lo_<measure>, hi_<measure>), a row per language and source."""
-    own = quartiles(sketch, "lang", "source").withColumn("level", F.lit(0))
+def thresholds(sketch: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
+    """(lang, source, group_docs, lo_<measure>, hi_<measure>), a row per language and source."""
+    own = quartiles(sketch, "lang", "source")
     langs = quartiles(merge(sketch, "lang"), "lang").select(F.col("lang").alias("l2"), F.col("measure").alias("m2"), F.col("docs").alias("d2"), F.struct("q1", "q3").alias("w2"))
     every = quartiles(merge(sketch)).select(F.col("measure").alias("m3"), F.struct("q1", "q3").alias("w3"))
     joined = own.join(langs, F.col("lang").eqNullSafe(F.col("l2")) & (F.col("measure") == F.col("m2")))
     joined = joined.join(F.broadcast(every), F.col("measure") == F.col("m3"))  # a row per measure
     use = F.when(F.col("docs") >= least_docs, F.struct("q1", "q3")).when(F.col("d2") >= least_docs, F.col("w2")).otherwise(F.col("w3"))
-    joined = joined.withColumn("use", use)
-    floor = F.create_map(*(F.lit(x) for m, (f, _) in MEASURES.items() for x in (m, f)))
-    margin = F.greatest(F.col("use.q3") - F.col("use.q1"), floor[F.col("measure")]) * reach
-    joined = joined.withColumn("hi", F.col("use.q3") + margin).withColumn("lo", F.col("use.q1") - margin)
-    picks = [F.max(F.when(F.col("measure") == m, F.col(x))).alias(f"{x}_{m}") for m in MEASURES for x in ("lo", "hi")]
-    return joined.groupBy("lang", "source").agg(F.max("docs").alias("group_docs"), *picks)
-
-
-def judge(docs: DataFrame, *, reach: int = 3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    joined = joined.withColumn("use", use).select("lang", "source", "measure", "docs", "use.q1", "use.q3")
+    joined = joined.withColumn("ratio", F.greatest(F.col("q3") / F.col("q1"), F.lit(LEAST_RATIO)))
+    picks = [F.max("docs").alias("group_docs")]
+    for m, (reach, _) in MEASURES.items():
+        hi, lo = F.col("q3").cast("double"), F.col("q1").cast("double")
+        for _ in range(reach):
+            hi, lo = hi * F.col("ratio"), lo / F.col("ratio")
+        picks += [F.max(F.when(F.col("measure") == m, x)).alias(f"{name}_{m}") for name, x in (("lo", lo), ("hi", hi))]
+    return joined.groupBy("lang", "source").agg(*picks)
+
+
+def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """doc_id, features, measures, base_failed, failed (names of the measures beyond their thresholds), kept."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), features(F.col(text_col)).alias("f"))
     rows = rows.select("doc_id", "lang", "source", "f.*")
     rows = rows.withColumns(
         {
-            "symbols": _per_thousand("n_symbols", "word_chars"),
-            "capitals": _per_thousand("n_capitals", "word_chars"),
-            "dup_lines": _per_thousand("n_dup_lines", "n_lines"),
-            "repeats": _per_thousand("n_repeat_words", "n_words"),
-            "word_length": _per_thousand("word_chars", "n_words"),
+            "symbols": _rate("n_symbols", "word_chars"),
+            "capitals": _rate("n_capitals", "word_chars"),
+            "dup_lines": _rate("n_dup_lines", "n_lines"),
+            "repeats": _rate("n_repeat_words", "n_words"),
+            "word_length": _rate("word_chars", "n_words"),
             "base_failed": (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
         }
     )
     rows = materialise(rows, "quality-rows")
-    limits = materialise(thresholds(sketches(rows.where("not base_failed")), reach), "quality-limits")
+    limits = materialise(thresholds(sketches(rows.where("not base_failed"))), "quality-limits")
     limits = limits.withColumnsRenamed({"lang": "__lang", "source": "__source"})
     same = F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source"))
     joined = rows.join(small_side(limits), same, "left")

@@ -67,7 +67,7 @@ def op7_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of all documents; a document's source is its owner, its language within the source the repository."""
     docs = _documents(spark, sf_dir)
-    return secrets.scan(docs, owner=F.col("source"), repo=F.concat_ws("/", "source", "lang"))
+    return secrets.scan(docs, owner=F.col("source"), repo=F.col("lang"))
 
 
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,23 +131,24 @@ def _op8_sql() -> str:
     ]
     value = " ".join(f"WHEN kind = '{k.name}' THEN regexp_extract(hit, {quoted(k.pattern)}, {k.value})" for k in secrets.KINDS if k.value)
     needs = " AND ".join(f"(kind <> '{k.name}' OR regexp_matches(v, '{x}'))" for k in secrets.KINDS for x in k.needs)
+    varied = " ".join(f"WHEN '{k.name}' THEN {k.varied}" for k in secrets.KINDS)
+    verdicts = ", ".join(f"count(*) FILTER (verdict = '{v}') AS n_{v}" for v in secrets.VERDICTS)
+    more = ", ".join(f"coalesce({c}, 0)::BIGINT AS {c}" for c in ("n_assign", "n_access", "n_hex", *(f"n_{v}" for v in secrets.VERDICTS), "most_owners", "most_repos"))
     return f"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t, source AS owner, concat_ws('/', source, lang) AS repo FROM documents),
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, source AS owner, lang AS repo FROM documents),
 m AS ({" UNION ALL ".join(parts)}),
 p AS (SELECT *, sum(gap + length(hit)) OVER (PARTITION BY doc_id, kind ORDER BY pos ROWS UNBOUNDED PRECEDING)::BIGINT AS e,
              CASE {value} ELSE hit END AS v FROM m),
-f AS (SELECT *, e - length(hit) AS s, length(list_distinct(string_split(v, ''))) >= 8 AND NOT regexp_matches(lower(v), '{secrets.PLACEHOLDERS}') AS live
+f AS (SELECT *, e - length(hit) AS s, length(list_distinct(string_split(v, ''))) >= CASE kind {varied} END AND NOT regexp_matches(lower(v), '{secrets.PLACEHOLDERS}') AS live
       FROM p WHERE length(v) >= least AND {needs}),
-o AS (SELECT v, count(DISTINCT coalesce(owner, '')) AS owners FROM f GROUP BY v),
-c AS (SELECT f.*, CASE WHEN owners >= 3 THEN 'example' WHEN live THEN 'live' ELSE 'dull' END AS verdict FROM f JOIN o USING (v)),
+o AS (SELECT v, count(DISTINCT coalesce('=' || owner, '')) AS owners, count(DISTINCT coalesce('=' || owner, '') || chr(0) || coalesce('=' || repo, '')) AS repos FROM f GROUP BY v),
+c AS (SELECT f.*, owners, repos, CASE WHEN owners >= {secrets.EXAMPLE_OWNERS} OR owners > 1 AND repos >= {secrets.EXAMPLE_REPOS} THEN 'example' WHEN NOT live THEN 'dull' WHEN owners > 1 THEN 'shared' ELSE 'live' END AS verdict
+      FROM f JOIN o USING (v)),
 g AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
              string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (base) AS b,
-             string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) AS spans,
-             count(*) FILTER (verdict = 'live') AS n_live, count(*) FILTER (verdict = 'example') AS n_example
-      FROM c WHERE base OR verdict = 'live' GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
-       sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0)::BIGINT AS n_live, coalesce(n_example, 0)::BIGINT AS n_example
-FROM d LEFT JOIN g USING (doc_id)
+             string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) AS spans, max(owners) AS most_owners, max(repos) AS most_repos, {verdicts}
+      FROM c WHERE base OR verdict IN ('live', 'shared') GROUP BY doc_id)
+SELECT d.doc_id, {more}, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)
 """
 
 
@@ -155,12 +156,13 @@ OP8_SQL = _op8_sql()
 
 
 def _op4_sql() -> str:
-    per = lambda part, whole: f"CASE WHEN {whole} > 0 THEN floor({part} * 1000 / {whole})::BIGINT ELSE 0 END"
+    per = lambda part, whole: f"greatest(1, ({part} + 1) * 1000000 // ({whole} + 1))::BIGINT"
     measures = {
         "symbols": per("n_symbols", "word_chars"), "capitals": per("n_capitals", "word_chars"), "dup_lines": per("n_dup_lines", "n_lines"),
         "repeats": per("n_repeat_words", "n_words"), "word_length": per("word_chars", "n_words"),
     }
-    floors = ", ".join(f"('{m}', {f}, {str(both).lower()})" for m, (f, both) in quality.MEASURES.items())
+    fence = lambda start, step: "CASE m " + " ".join(f"WHEN '{m}' THEN {start}::DOUBLE{f' {step} ratio' * reach}" for m, (reach, _) in quality.MEASURES.items()) + " END"
+    both = ", ".join(f"'{m}'" for m, (_, below) in quality.MEASURES.items() if below)
     longer = " UNION ALL ".join(f"SELECT doc_id, lang, source, base_failed, '{m}' AS m, {m} AS v FROM b" for m in quality.MEASURES)
     failed = " || ".join(f"coalesce(max(CASE WHEN m = '{m}' AND out THEN ',{m}' END), '')" for m in quality.MEASURES)
     value = "(CASE WHEN place < 64 THEN place ELSE (place % 64) * pow(2, place // 64) END)"
@@ -183,11 +185,12 @@ s AS (SELECT lang, source, m, greatest(length(bin(v)) - 6, 0) * 64 + (v >> great
 q1 AS ({marks("lang, source,", "SELECT * FROM s")}),
 q2 AS ({marks("lang,", "SELECT lang, m, place, sum(n) AS n FROM s GROUP BY ALL")}),
 q3 AS ({marks("", "SELECT m, place, sum(n) AS n FROM s GROUP BY ALL")}),
-h AS (SELECT q1.lang, q1.source, q1.m, both_sides, CASE WHEN q1.docs >= {quality.LEAST_DOCS} THEN q1.q1 WHEN q2.docs >= {quality.LEAST_DOCS} THEN q2.q1 ELSE q3.q1 END AS a,
-        CASE WHEN q1.docs >= {quality.LEAST_DOCS} THEN q1.q3 WHEN q2.docs >= {quality.LEAST_DOCS} THEN q2.q3 ELSE q3.q3 END AS z, least_range
-      FROM q1 JOIN q2 ON q1.lang IS NOT DISTINCT FROM q2.lang AND q1.m = q2.m JOIN q3 ON q1.m = q3.m JOIN (VALUES {floors}) x(m, least_range, both_sides) ON x.m = q1.m),
-e AS (SELECT v.doc_id, v.m, v.v > z + 3 * greatest(z - a, least_range) OR (both_sides AND v.v < a - 3 * greatest(z - a, least_range)) AS out
-      FROM v JOIN h ON v.lang IS NOT DISTINCT FROM h.lang AND v.source IS NOT DISTINCT FROM h.source AND v.m = h.m),
+h AS (SELECT q1.lang, q1.source, q1.m, CASE WHEN q1.docs >= {quality.LEAST_DOCS} THEN q1.q1 WHEN q2.docs >= {quality.LEAST_DOCS} THEN q2.q1 ELSE q3.q1 END AS a,
+        CASE WHEN q1.docs >= {quality.LEAST_DOCS} THEN q1.q3 WHEN q2.docs >= {quality.LEAST_DOCS} THEN q2.q3 ELSE q3.q3 END AS z
+      FROM q1 JOIN q2 ON q1.lang IS NOT DISTINCT FROM q2.lang AND q1.m = q2.m JOIN q3 ON q1.m = q3.m),
+y AS (SELECT lang, source, m, {fence("z", "*")} AS hi, {fence("a", "/")} AS lo FROM (SELECT *, greatest(z / a, 33::DOUBLE / 32) AS ratio FROM h)),
+e AS (SELECT v.doc_id, v.m, v.v > hi OR (v.m IN ({both}) AND v.v < lo) AS out
+      FROM v JOIN y ON v.lang IS NOT DISTINCT FROM y.lang AND v.source IS NOT DISTINCT FROM y.source AND v.m = y.m),
 d AS (SELECT doc_id, substr({failed}, 2) AS failed FROM e GROUP BY doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(failed, '') AS failed, NOT base_failed AND coalesce(failed, '') = '' AS kept FROM b LEFT JOIN d USING (doc_id)
 """

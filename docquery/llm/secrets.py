@@ -1,10 +1,12 @@
 """Secret scans with corpus-wide ownership frequency, in DataFrame functions only.
 
 Every text is scanned for credential patterns.  A match's value is hashed, and
-the hashes are counted over distinct repositories and owners: a value that
-many owners hold is a widely copied example, one that few hold and that looks
-live (varied characters, of a login in a URL any; no placeholder words) is somebody's credential.
-Patterns of the base kinds always count as spans; the wider, noisier kinds add a span only where the frequency says it is owned.
+the hashes are counted over distinct repositories and owners.  A value that
+EXAMPLE_OWNERS owners hold, or several owners in EXAMPLE_REPOS repositories together, is a widely copied
+example; one owner's value is that owner's in however many repositories it lies.  What is no example and looks
+live (varied characters, of a login in a URL any; no placeholder words) is somebody's credential:
+`live` if it has one owner, `shared` if more.
+Patterns of the base kinds always count as spans; the wider, noisier kinds add a span only where the verdict is live or shared.
 
 Positions are code points.  They come from the lengths of the matches and of
 the text between, summed up by a window over the matches of one document, so no step is worse than linear in a text.
@@ -55,6 +57,11 @@ KINDS = (
 PLACEHOLDERS = "example|sample|dummy|changeme|placeholder|your|test|xxxx|1234567|abcdef"
 
 
+#: Owners, or repositories of several owners, from which on a value is an example.
+EXAMPLE_OWNERS, EXAMPLE_REPOS = 3, 6
+VERDICTS = ("example", "live", "shared", "dull")
+
+
 def _matches(text: Column, kind: Kind) -> Column:
     """array<struct<kind, gap, hit>>: each match and the length of the text since the one before."""
     hits = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
@@ -93,32 +100,34 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", own
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """(value_hash, owners, repos): distinct owners and repositories of each value. Equal rows meet on the map side."""
-    pairs = found.groupBy("value_hash", F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repo", F.lit("")).alias("repo")).agg(F.lit(1))
+    """(value_hash, owners, repos): distinct owners and repositories (each within its owner) of each value. Equal rows meet on the map side."""
+    pairs = found.groupBy("value_hash", "owner", "repo").agg(F.lit(1))
     by_owner = pairs.groupBy("value_hash", "owner").agg(F.count("*").alias("n"))
     return by_owner.groupBy("value_hash").agg(F.count("*").alias("owners"), F.sum("n").alias("repos"))
 
 
-def classify(found: DataFrame, *, example_owners: int = 3) -> DataFrame:
-    """found with owners, repos and verdict: `example` from that many owners on, else `live` or `dull`; spans of noisy kinds stay only if live."""
+def classify(found: DataFrame, *, example_owners: int = EXAMPLE_OWNERS, example_repos: int = EXAMPLE_REPOS) -> DataFrame:
+    """found with owners, repos and verdict: `example`, `live`, `shared` or `dull`; spans of noisy kinds stay only if live or shared."""
     found = materialise(found, "secret-matches")
     freq = ownership(found).withColumnRenamed("value_hash", "__hash")
     rows = found.join(freq, F.col("value_hash") == F.col("__hash")).drop("__hash")
-    verdict = F.when(F.col("owners") >= example_owners, "example").when(F.col("live"), "live").otherwise("dull")
+    copied = (F.col("owners") >= example_owners) | ((F.col("owners") > 1) & (F.col("repos") >= example_repos))
+    verdict = F.when(copied, "example").when(~F.col("live"), "dull").when(F.col("owners") > 1, "shared").otherwise("live")
     rows = rows.withColumn("verdict", verdict).withColumn("base", F.col("kind").isin([k.name for k in KINDS if k.base]))
-    return rows.where(F.col("base") | (F.col("verdict") == "live"))
+    return rows.where(F.col("base") | F.col("verdict").isin("live", "shared"))
 
 
 def per_document(docs: DataFrame, spans: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_<base kind>, base_sha256, spans, n_live, n_example; one row per row of docs."""
+    """doc_id, n_<base kind>, base_sha256, spans, n_<verdict>, most_owners and most_repos of its values; one row per row of docs."""
     place = F.create_map(*(F.lit(x) for n, k in enumerate(KINDS) for x in (k.name, n)))
-    spans = spans.select("doc_id", "text_hash", "kind", "start", "end", "verdict", "base").distinct()
+    spans = spans.select("doc_id", "text_hash", "kind", "start", "end", "verdict", "base", "owners", "repos").distinct()
     item = F.struct("start", place[F.col("kind")].alias("k"), F.concat_ws(":", "kind", "start", "end").alias("s"), "base")
     by_doc = spans.groupBy("doc_id", "text_hash").agg(
         *(F.count_if(F.col("kind") == k.name).alias(f"n_{k.name}") for k in KINDS if k.base),
         F.array_sort(F.collect_list(item)).alias("items"),
-        F.count_if(F.col("verdict") == "live").alias("n_live"),
-        F.count_if(F.col("verdict") == "example").alias("n_example"),
+        *(F.count_if(F.col("verdict") == v).alias(f"n_{v}") for v in VERDICTS),
+        F.max("owners").alias("most_owners"),
+        F.max("repos").alias("most_repos"),
     )
     by_doc = by_doc.withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"))
@@ -127,14 +136,14 @@ def per_document(docs: DataFrame, spans: DataFrame, *, id_col: str = "doc_id", t
     return rows.select(
         "doc_id", *(F.coalesce(f"n_{k.name}", F.lit(0)).cast("long").alias(f"n_{k.name}") for k in KINDS if k.base),
         F.sha2(joined(F.filter("items", lambda x: x["base"])), 256).alias("base_sha256"), joined(F.col("items")).alias("spans"),
-        F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_example", F.lit(0)).alias("n_example"),
+        *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in (*(f"n_{v}" for v in VERDICTS), "most_owners", "most_repos")),
     )
 
 
-def scan(docs: DataFrame, *, owner: Column, repo: Column, example_owners: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """find, classify and per_document in one."""
+def scan(docs: DataFrame, *, owner: Column, repo: Column, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
+    """find, classify (limits: its options) and per_document in one."""
     found = find(docs, id_col=id_col, text_col=text_col, owner=owner, repo=repo)
-    return per_document(docs, classify(found, example_owners=example_owners), id_col=id_col, text_col=text_col)
+    return per_document(docs, classify(found, **limits), id_col=id_col, text_col=text_col)
 
 
 def redact(docs: DataFrame, spans: DataFrame, *, mark: str = "[secret]", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
