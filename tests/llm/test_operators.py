@@ -220,6 +220,43 @@ def test_quality_verdicts(spark, docs_of):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == plain_measures(r.text)
 
 
+def test_quality_against_sql(spark):
+    agree(queries.op4_quality(spark, SF), queries.OP4_SQL)
+    agree(queries.op4_quality(spark, SF.replace("0.001", "0.01")), queries.OP4_SQL, SF.replace("0.001", "0.01"))
+
+
+def test_thresholds_follow_their_group(docs_of):
+    """The same text is kept where its group writes like it, and fails where the group does not."""
+    rng = random.Random(8)
+
+    def text(share):
+        words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(100)]
+        return " ".join(w.upper() if i < share else w for i, w in enumerate(words))
+
+    plain = [(i, text(rng.randint(8, 10)), "plain") for i in range(100)]
+    loud = [(200 + i, text(rng.randint(40, 50)), "loud") for i in range(100)]
+    few = [(400 + i, text(45), "few") for i in range(5)]  # too few for a sketch of their own
+    got = {r.doc_id: r for r in quality.judge(docs_of([*plain, *loud, *few, (500, text(45), "plain"), (501, text(45), "loud")])).collect()}
+    assert "capitals" in got[500].failed and got[501].kept
+    assert all(r.kept for i, r in got.items() if i < 400)
+    hi = {r.source: r.hi_capitals for r in got.values()}
+    assert hi["loud"] > 2 * hi["plain"] and hi["few"] not in (hi["loud"], hi["plain"])
+
+
+def test_thresholds_differ_by_group(spark):
+    """Over the tables most thresholds come from the groups' own spread, not from the least ratio of one bucket."""
+    rows = quality.judge(spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet"))
+    limits = rows.select("lang", "source", *(f"hi_{m}" for m in quality.MEASURES), *(f"lo_{m}" for m in quality.MEASURES)).distinct().collect()
+    narrow = total = 0
+    for m, (reach, _) in quality.MEASURES.items():
+        # hi / lo is ratio ** (2 * reach + 1), or more where the least ratio took the place of a smaller one
+        least = quality.LEAST_RATIO ** (2 * reach + 1)
+        narrow += sum(r[f"hi_{m}"] / r[f"lo_{m}"] <= least * 1.001 for r in limits)
+        total += len(limits)
+        assert len({r[f"hi_{m}"] for r in limits}) > 2
+    assert narrow < total / 4
+
+
 # -- 5 ---------------------------------------------------------------------------------------------
 
 
@@ -245,6 +282,53 @@ def test_toxicity_odd(spark, docs_of):
     assert seen[0] > seen[1] and seen[2] > 0.5 > seen[3]
 
 
+def test_toxicity_learns_from_long_and_repeated_rows(spark, docs_of):
+    """Rows are drawn whatever their length; of several texts of one id the same one counts in any order."""
+    long = lambda word, i: f"{word} " * 9 + f"filler{i} " * 9000
+    rows = [(i, long("vile" if i % 2 else "kind", i % 5)) for i in range(40)] + [(1, "another text"), (1, "a third")] * 3
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    model = toxicity.fit(docs_of(rows), labels, folds=1, held_out=9)
+    again = toxicity.fit(docs_of(rows[::-1]).repartition(3), labels, folds=1, held_out=9)
+    texts = ["vile", "kind", "another text"]
+    assert not model.empty and (toxicity.Scorer(model)(texts) == toxicity.Scorer(again)(texts)).all()
+    seen = toxicity.Scorer(model)(texts)
+    assert seen[0] > seen[1]
+
+
+def plain_score(model, text):
+    """The model's score in plain Python: every filter at every place, its maximum, the logistic layer, the language's threshold."""
+    words = [p for w in (text or "").split() for p in (re.findall(r"[^\W\d_]{1,20}", w) if len(w) > 40 else [w])]
+    features = [toxicity.word_features(w) for w in words]
+    embedded = [model.embed[f].sum(axis=0) for f in features] + [np.zeros(toxicity.DIMENSIONS)] * (len(toxicity.WIDTHS) - 1)
+    hidden = []
+    for width, conv in zip(toxicity.WIDTHS, model.conv):
+        at = range(len(embedded))
+        hidden += [max(sum(embedded[i + o] @ conv[o][:, f] for o in range(width) if i + o < len(embedded)) for i in at) for f in range(toxicity.FILTERS)]
+    hidden = [h + b for h, b in zip(hidden, model.bias)]
+    logit = sum((h if h > 0 else toxicity.LEAK * h) * o for h, o in zip(hidden, model.out)) + model.base
+    fit = sum((model.lang_fit[f[0] % toxicity._LANG_BUCKETS] for f in features), np.zeros(len(model.langs)))
+    return 1 / (1 + np.exp(-(logit - model.shift[int(np.argmax(fit))])))
+
+
+def test_scores_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(60).collect()
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    known = [r for r in docs if r.doc_id in labels]
+    model = toxicity.train([r.text for r in known], [labels[r.doc_id] for r in known], [r.lang for r in known], weights=(1, 1))
+    texts = [r.text for r in docs][:30] + ["", "one", "日本語" * 200]
+    assert np.allclose(toxicity.Scorer(model)(texts), [plain_score(model, t) for t in texts], atol=1e-4)
+
+
+def test_ids_are_drawn_by_least_hash(spark):
+    rows = [(g, i) for g, n in (("a", 3000), ("b", 40), (None, 9)) for i in range(n)] + [("a", 5)] * 5000
+    df = spark.createDataFrame(rows, "g string, i long")
+    hashed = {r.i: r.h for r in df.select("i", common.unit_hash(3, F.col("i")).alias("h")).distinct().collect()}
+    for part in (df, df.repartition(9)):
+        got = common.sample_per_group(part, "g", "i", 50, 3).collect()
+        want = {("a", i) for i in sorted(range(3000), key=hashed.get)[:50]} | {("b", i) for i in range(40)}
+        assert len(got) == 90 and {(r.g, r.i) for r in got} == want
+
+
 # -- 6 ---------------------------------------------------------------------------------------------
 
 
@@ -267,6 +351,38 @@ def test_language_odd(docs_of):
     assert langid.identify_documents(empty(docs), content).count() == 0 and langid.fit(empty(docs)) == {}
 
 
+def test_language_of_long_or_repeated_rows(docs_of):
+    """A language that has long texts only is learned; an id that is repeated brings one text to the driver."""
+    rng = random.Random(9)
+    french, english = "le chat est dans la maison avec une souris".split(), "the cat sits in a house with some mouse".split()
+    rows = [(i, " ".join(rng.choices(french, k=4000)), "s", "fr") for i in range(60)] + [(100 + i, " ".join(rng.choices(english, k=30)), "s", "en") for i in range(60)]
+    rows += [(7, " ".join(rng.choices(french, k=3000)), "s", "fr")] * 400
+    docs = docs_of(rows)
+    content = langid.fit(docs, folds=1, held_out=9, dictionary_bytes=50_000)
+    assert content.keys() == {"en", "fr"} and all(len(x) <= 51_000 for x in content.values())
+    assert content == langid.fit(docs.repartition(5), folds=1, held_out=9, dictionary_bytes=50_000)
+    got = langid.identify_documents(docs, content).select("lang_pred", "doc_id").distinct().collect()
+    assert all(r.lang_pred == ("en" if r.doc_id >= 100 else "fr") for r in got) and len(got) == 120
+
+
+def test_languages_against_brute_force(spark):
+    """Whole texts in blocks against every dictionary, the fewest bytes first."""
+    import zstandard
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    content = langid.fit(docs)
+    made = {}
+    for lang, raw in sorted(content.items()):
+        known = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        made[lang] = zstandard.ZstdCompressor(dict_data=known, level=langid.LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
+    got = {r.doc_id: r.lang_pred for r in langid.identify_documents(docs, content).collect()}
+    for r in docs.collect():
+        plain = " ".join(re.findall(r"[^\W\d_]+", (r.text or "").lower()))
+        blocks = [plain[a : a + langid.BLOCK_CHARS].encode() for a in range(0, len(plain), langid.BLOCK_CHARS)]
+        sizes = {lang: sum(len(c.compress(b)) for b in blocks) for lang, c in made.items()}
+        assert got[r.doc_id] == (min(sizes, key=lambda x: (sizes[x], x)) if plain else "und")
+
+
 # -- 7 ---------------------------------------------------------------------------------------------
 
 
@@ -302,22 +418,77 @@ def test_unknown_sizes_groups_and_big_laces():
     assert [(p[0], p[1], p[3], p[4], p[5]) for p in packets] == [(1, 12, 300, 3, False), (1, 12, 20, 3, False), (1, 12, 500, 3, False), (2, 7, 3, 0, True)]
 
 
+def plain_ebml(data, at, end):
+    """(id, first, last + 1) of elements of known size."""
+    while at < end:
+        width = 9 - data[at].bit_length()
+        kind, at = data[at : at + width].hex(), at + width
+        width = 9 - data[at].bit_length()
+        size = int.from_bytes(data[at : at + width], "big") - (1 << 7 * width)
+        at += width
+        yield kind, at, at + size
+        at += size
+
+
+def plain_demux(data):
+    """The frames' bytes in order, blocks by lacing and number of clusters, read apart from the operator."""
+    out, lacings, clusters = b"", Counter(), 0
+    for kind, a, b in plain_ebml(data, 0, len(data)):
+        for top, c, d in plain_ebml(data, a, b) if kind == "18538067" else ():
+            clusters += top == "1f43b675"
+            for block, x, y in plain_ebml(data, c, d) if top == "1f43b675" else ():
+                if block != "a3":
+                    continue
+                assert data[x] == 0x81  # track 1
+                lacing = data[x + 3] >> 1 & 3
+                x += 4
+                count = data[x] + 1 if lacing else 1
+                x += bool(lacing)
+                lacings[lacing] += count
+                if lacing == 1:  # sizes in bytes of 255 and a rest
+                    for _ in range(count - 1):
+                        while data[x] == 255:
+                            x += 1
+                        x += 1
+                elif lacing == 3:  # a number and differences
+                    for _ in range(count - 1):
+                        x += 9 - data[x].bit_length()
+                out += data[x:y]
+    return out, lacings, clusters
+
+
 def test_media_query(spark, docs_of):
     docs = docs_of(odd_rows())
     rows = matroska.stored_texts(docs).collect()
+    assert sorted(r.n_bytes for r in rows) == sorted(len((t or "").encode()) for _, t in odd_rows())
     for r in rows:
-        text = next(t for i, t in odd_rows() if i == r.doc_id) if r.doc_id is not None else None
-        if r.doc_id is not None:
-            raw = (text or "").encode()
-            assert r.n_bytes == len(raw) and bytes(r.r.payload) == raw + b" " * (192 * max(1, -(-len(raw) // 192)) - len(raw)) and r.r.error is None
+        payload, lacings, clusters = plain_demux(bytes(r.media))
+        assert bytes(r.r.payload) == payload and r.r.error is None and r.r.packets == sum(lacings.values()) and r.r.clusters == clusters == r.r.cues and r.r.seekable
+        assert payload[: r.n_bytes].decode() in {t or "" for i, t in odd_rows() if i == r.doc_id}
+        assert payload[r.n_bytes :].strip(b" ") == b"" and len(payload) % 192 == 0 and r.r.duration_ms == len(payload) // 8
     assert matroska.stored_texts(empty(docs)).count() == 0
     table = matroska.packet_table(matroska.stored_texts(docs), "doc_id", "media")
-    assert table.where("doc_id = 7" if "doc_id" in table.columns else "id = 7").count() > 100
-    first = queries.op7_matroska(spark, SF).orderBy("doc_id").first()
-    raw = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").first().text.encode()
-    payload = raw + b" " * (-len(raw) % 192)
-    assert first.payload_sha256 == hashlib.sha256(payload).hexdigest() and first.tail_crc32 == zlib.crc32(payload[-16:])
-    assert first.media_sha256 == hashlib.sha256(matroska.mux(payload)).hexdigest()
+    assert table.where("id = 7").count() > 100 and table.where("duration_ms <= 0").count() == 0
+    assert matroska.cue_table(matroska.stored_texts(docs), "doc_id", "media").where("id = 7").count() > 1
+
+
+def test_media_of_all_documents(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = queries.op7_matroska(spark, SF).collect()
+    assert {r.doc_id for r in rows} == texts.keys() and len(rows) == len(texts)
+    for r in rows:
+        raw = (texts[r.doc_id] or "").encode()
+        payload = raw + b" " * (192 * max(1, -(-len(raw) // 192)) - len(raw))
+        media = matroska.mux(payload)
+        read, lacings, _ = plain_demux(media)
+        assert read == payload and (r.n_bytes, r.payload_bytes, r.media_bytes) == (len(raw), len(payload), len(media)) and r.error is None
+        assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.tail_crc32 == zlib.crc32(payload[-16:]) and r.media_sha256 == hashlib.sha256(media).hexdigest()
+        assert f"packets={sum(lacings.values())};" in r.feature and f"total={sum(payload)};" in r.feature
+
+
+def test_media_batches_are_small(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "long text " * 3000) for i in range(12)], "doc_id long, text string")
+    assert matroska.stored_texts(docs.coalesce(1)).selectExpr("sum(r.packets)", "count(distinct sha2(media, 256))").first()[1] == 1
 
 
 # -- 8 ---------------------------------------------------------------------------------------------
@@ -356,6 +527,18 @@ def test_ownership_separates_examples(docs_of):
     assert got[9].spans == f"mixed:4:{4 + len(own_key)}" and got[9].n_live == 1 and got[0].spans == ""
 
 
+def test_repositories_count(docs_of):
+    """One owner's key in many repositories is the owner's; two owners' key in many is an example; null parts are kept apart."""
+    one, two, few = "Zx9kLm2Qw8Er5Ty7Ui3Op1As", "Bv4nMq8Wz2Xc6Vb9Nm1Lk5Jh", "Qa7wSx3Ed9Rf5Tg1Yh8Uj2Ik"
+    rows = [(i, f"key {one}", "mine", f"r{i}") for i in range(9)]
+    rows += [(20 + i, f"key {two}", f"s{i % 2}", f"r{i}") for i in range(6)]
+    rows += [(40, f"key {few}", None, "en"), (41, f"key {few}", "en", None), (42, f"key {few}", "en", None)]
+    got = {r.doc_id: r for r in secrets.scan(docs_of(rows), owner=F.col("source"), repo=F.col("lang")).collect()}
+    assert got[0].n_live == 1 and (got[0].most_owners, got[0].most_repos) == (1, 9) and got[0].spans == "mixed:4:28"
+    assert got[20].spans == "" and got[20].n_shared == 0
+    assert got[40].n_shared == 1 and (got[41].most_owners, got[41].most_repos) == (2, 2)
+
+
 def test_redaction(docs_of):
     docs = docs_of([(1, "a token = \"0123456789abcdef01234567\" b password:hunter22 c"), (2, "nothing"), (3, None), (1, "other")])
     found = secrets.classify(secrets.find(docs, owner=F.col("source"), repo=F.col("lang")))
@@ -415,6 +598,35 @@ def test_encoder_is_the_librarys(text):
 _BYTES = _library("byte_bpe_50k.json")
 
 
+def test_texts_without_blanks_are_not_kept():
+    """20,000 texts without a blank: what stays in the tables is bounded by bytes, and the memory with it."""
+    import tracemalloc
+
+    rng = random.Random(12)
+    text = lambda: "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(200))
+    words, pieces = bpe_count.Counter(public_tokenizers.path("word_bpe_49k.json")), packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    first = text()
+    assert words(first) == len(_WORDS.encode(first, add_special_tokens=False).ids)
+    tracemalloc.start()
+    for _ in range(200):
+        some = [text() for _ in range(100)]
+        pieces(some)
+        if _ % 20 == 0:
+            sum(map(words, some))
+    kept, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert kept < 20 << 20 and max(map(len, [*words.runs, *words.words]), default=0) <= bpe_count.CACHE_BYTES and not pieces.first and not pieces.later
+
+
+def test_encoding_a_few_at_a_time():
+    import pyarrow as pa
+
+    texts = [None, "a"] * 700 + ["b" * 700_000] * 3 + ["c"]
+    parts = list(packing.some_texts(pa.array(texts)))
+    assert [x for _, part in parts for x in part] == [x or "" for x in texts]
+    assert [at for at, _ in parts] == [sum(len(p) for _, p in parts[:k]) for k in range(len(parts))] and all(len(p) <= packing.AT_ONCE for _, p in parts)
+
+
 def test_level_choice_is_the_least_sum_of_squares():
     rng, w = random.Random(5), packing.Windows(64)
     for i in range(2000):
