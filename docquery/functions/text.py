@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Ideographs that are indexed as overlapping pairs.
@@ -46,6 +46,21 @@ def token_count(text: Column) -> Column:
     return F.when(plain, F.regexp_count(text, F.lit(IDENTIFIER))).otherwise(F.size(tokens(text)))
 
 
+def term_counts(rows: DataFrame, tokens: str) -> DataFrame:
+    """rows with token and tf in place of the array column `tokens`: a row per distinct token, counted within the row.
+
+    The sorted array is cut where its value changes.  The explode is an outer one, as an inner one would have the optimizer test
+    the counts' size below, with the sort copied into every step; rows without tokens are dropped behind it.
+    """
+    s, at = F.col("__sorted"), F.col("__starts")
+    changes = F.filter(F.sequence(F.lit(0), F.greatest(F.size(s) - 1, F.lit(0))), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+    counts = F.zip_with(at, F.concat(F.slice(at, F.lit(2), F.size(at)), F.array(F.size(s))), lambda a, b: F.struct(F.get(s, a).alias("token"), (b - a).cast("long").alias("tf")))
+    rest = [c for c in rows.columns if c != tokens]
+    cut = rows.withColumn("__sorted", F.sort_array(tokens)).withColumn("__starts", changes)
+    out = cut.select(*rest, counts.alias("__counts")).select(*rest, F.explode_outer("__counts").alias("__c"))
+    return out.select(*rest, "__c.token", "__c.tf").where("token is not null")
+
+
 def strip(text: Column) -> Column:
     """Cut white space as Unicode knows it, and the separators U+001C to U+001F, from both ends."""
     return F.regexp_replace(text, "(?U)^[\\s\\x1c-\\x1f]+|[\\s\\x1c-\\x1f]+$", "")
@@ -75,11 +90,6 @@ def full_text(chunks: Column, overlap: int) -> Column:
     return F.array_join(F.transform(whole, cut), "")
 
 
-def total_chars(source_chars: Column, text_chars: Column) -> Column:
-    """Characters of the source where known, else of the text."""
-    return F.when(source_chars > 0, source_chars).otherwise(text_chars)
-
-
 def sample_for_summary(text: Column, most: int) -> Column:
     """The text itself up to `most` characters, else a third each of its head, middle and tail."""
     part = most // 3

@@ -6,6 +6,8 @@ hits is score (rounded to nine places) descending, then the chunk's keys.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,12 +15,20 @@ from docquery.functions import text as T
 from docquery.functions import vector as V
 
 K1, B = 1.2, 0.75
-#: Queries of one batch are broadcast up to this many tokens or vectors; beyond, Spark joins by shuffle.
-MOST_BROADCAST = 100_000
+#: A block of queries is broadcast: at most so many tokens, or bytes of vectors.  More queries go in several blocks.
+MOST_TOKENS = 100_000
+MOST_VECTOR_BYTES = 8 << 20
+
+
+def _blocks(queries: DataFrame, size: Column, most: int) -> list[DataFrame]:
+    """queries in parts whose sizes sum up to about `most` (a query is never divided)."""
+    total = queries.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    n = -(-int(total) // most) or 1
+    return [queries] if n == 1 else [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == k) for k in range(n)]
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
 
 
 def ranked(hits: DataFrame, keys: list[str], k: int | None = None, score: str = "score") -> DataFrame:
@@ -33,42 +43,52 @@ def query_tokens(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("token"))
 
 
+def token_weights(chunks: DataFrame, asked: DataFrame, text_col: str = "text") -> DataFrame:
+    """token, idf, avgdl of the asked tokens (a broadcast block), from one pass over the chunks.
+
+    Each chunk gives its distinct tokens and one empty token that stands for the chunk; counts combine before the shuffle,
+    and what leaves it is a row per asked token.
+    """
+    words = asked.select("token").distinct().union(asked.sparkSession.createDataFrame([("",)], "token string"))
+    rows = chunks.select(T.tokens(F.col(text_col)).alias("tokens"))
+    rows = rows.select(F.size("tokens").alias("dl"), F.explode(F.array_append(F.array_distinct("tokens"), "")).alias("token"))
+    counts = rows.join(F.broadcast(words), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"), F.sum("dl").alias("dls"))
+    every = Window.partitionBy()  # a row per asked token
+    own = F.col("token") == ""
+    counts = counts.withColumn("n", F.max(F.when(own, F.col("df"))).over(every)).withColumn("avgdl", F.max(F.when(own, F.col("dls"))).over(every) / F.col("n"))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return counts.where(~own).select("token", idf.alias("idf"), "avgdl")
+
+
 def bm25(chunks: DataFrame, keys: list[str], queries: DataFrame, k: int | None = 20, text_col: str = "text") -> DataFrame:
     """query_id, keys, score, rank: BM25 over all chunks.
 
-    Postings are built for the queries' tokens only: other tokens are dropped by a broadcast semi-join before any shuffle.
+    Tokens are counted within a chunk's row and cut to the asked ones by a broadcast semi-join; those are shuffled once, by chunk,
+    which serves the sum over a query's tokens too, and every task keeps k rows a query before the ranks' shuffle.
     """
-    asked = query_tokens(queries)
-    small = asked.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    near = F.broadcast if small else (lambda df: df)
-    rows = chunks.select(*keys, T.tokens(F.col(text_col)).alias("tokens"))
-    stats = chunks.agg(F.count("*").alias("n"), F.avg(T.token_count(F.col(text_col))).alias("avgdl"))
-    posted = rows.select(*keys, F.size("tokens").alias("dl"), F.explode("tokens").alias("token"))
-    posted = posted.join(near(asked.select("token").distinct()), "token", "left_semi")
-    posted = posted.groupBy(*keys, "dl", "token").agg(F.count("*").alias("tf"))
-    posted = posted.withColumn("df", F.count("*").over(Window.partitionBy("token")))
-    return ranked(score_postings(posted, near(asked), stats, keys), keys, k)
-
-
-def score_postings(posted: DataFrame, asked: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
-    """query_id, keys, score from postings (keys, token, tf, dl, df), query tokens and a row (n, avgdl)."""
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    met = posted.join(asked, "token").crossJoin(F.broadcast(stats))  # stats is one row
-    return met.groupBy("query_id", *keys).agg(F.sum(idf * weight).alias("score"))
+    hits = []
+    for block in _blocks(query_tokens(queries), F.lit(1), MOST_TOKENS):
+        weights = block.join(F.broadcast(token_weights(chunks, block, text_col)), "token")
+        rows = chunks.select(*keys, T.tokens(F.col(text_col)).alias("tokens")).withColumn("dl", F.size("tokens"))
+        rows = T.term_counts(rows, "tokens").select(*keys, "dl", "token", "tf")
+        posted = rows.join(F.broadcast(block.select("token").distinct()), "token", "left_semi").repartition(*keys)
+        weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+        met = posted.join(F.broadcast(weights), "token")
+        hits.append(met.groupBy("query_id", *keys).agg(F.sum(F.col("idf") * weight).alias("score")))
+    return ranked(_union(hits), keys, k)
 
 
 def cosine_top_k(vectors: DataFrame, keys: list[str], queries: DataFrame, k: int | None = 20, vector_col: str = "embedding") -> DataFrame:
     """query_id, keys, score, rank: exact cosine of queries (query_id, embedding) with every vector.
 
     A query without length has no hits; a vector of no or another length scores 0.
-    The queries are a stated, bounded set against all rows; each task keeps k per query before the shuffle (WindowGroupLimit).
+    The queries are a stated set against all rows, broadcast in blocks of bounded bytes; each task keeps k per query before the shuffle (WindowGroupLimit).
     """
     q = queries.select("query_id", F.col("embedding").alias("__q"), V.norm(F.col("embedding")).alias("__qn")).where("__qn > 0")
     rows = vectors.select(*keys, F.col(vector_col).alias("__v"), V.norm(F.col(vector_col)).alias("__vn"))
-    pairs = rows.crossJoin(_small(q))
     score = V.cosine(F.col("__v"), F.col("__q"), F.col("__vn"), F.col("__qn"))
-    return ranked(pairs.select("query_id", *keys, score.alias("score")), keys, k)
+    hits = [rows.crossJoin(F.broadcast(block)).select("query_id", *keys, score.alias("score")) for block in _blocks(q, 4 * F.size("__q") + 32, MOST_VECTOR_BYTES)]
+    return ranked(_union(hits), keys, k)
 
 
 def rrf(vector_hits: DataFrame, lexical_hits: DataFrame, keys: list[str], rrf_k: int = 60) -> DataFrame:

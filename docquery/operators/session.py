@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docquery.operators.keys import join_on
 
 def first_conversation(files: DataFrame, session: str = "session_id", conversation: str = "conversation_id", created: str = "upload_time") -> DataFrame:
     """Rows of each session's oldest conversation."""
     ages = files.groupBy(session, conversation).agg(F.min(created).alias("__born"))
     order = Window.partitionBy(session).orderBy("__born", conversation)
     first = ages.withColumn("__r", F.row_number().over(order)).where("__r = 1").select(session, conversation)
-    return files.join(first, [session, conversation], "left_semi")
+    return join_on(files, first, [session, conversation], "left_semi")
 
 
 def resolve(requests: DataFrame, files: DataFrame) -> DataFrame:
@@ -38,7 +39,7 @@ def direct_text(files: DataFrame, session: str, limit: int = 6000) -> DataFrame:
     """session, context: the full texts of sessions that fit; only those sessions' texts are gathered, so a group is bounded by the limit."""
     fit = direct_fits(files, session, limit).where("direct").select(session)
     items = F.array_sort(F.collect_list(F.struct("file_name", F.concat(F.lit("《"), F.col("file_name"), F.lit("》全文：\n"), F.col("text")).alias("t"))))
-    rows = files.join(fit, session, "left_semi").groupBy(session).agg(items.alias("__i"))
+    rows = join_on(files, fit, [session], "left_semi").groupBy(session).agg(items.alias("__i"))
     return rows.select(session, F.array_join(F.transform("__i", lambda x: x["t"]), "\n").alias("context"))
 
 
@@ -51,7 +52,7 @@ def announced(files: DataFrame, group: list[str], name: str = "file_name", most:
     first = files.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= most)
     first = first.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("__r", name))).alias("__i"))
     sums = files.groupBy(*group).agg(F.count("*").alias("n_files"), F.sum("total_chars").alias("total_chars"))
-    both = sums.join(first, group)
+    both = join_on(sums, first, group)
     names = F.array_join(F.transform("__i", lambda x: F.concat(F.lit("《"), x[name], F.lit("》"))), "、")
     rest = F.when(F.col("n_files") > most, F.concat(F.lit(" 等 "), F.col("n_files").cast("string"), F.lit(" 个"))).otherwise("")
     return both.withColumn("listed", F.concat(names, rest)).drop("__i")

@@ -1,53 +1,125 @@
 """Keyed event state in batch form: each operator replays a table of events.
 
-Rules that depend only on neighbours are windows.  Greedy rules, where an
-accepted event moves the window, fold the sorted times of one key; a fold
-holds one key's events, and keys are cut at gaps that no window can span, so that a hot key is many small folds.
+A key may hold a third of all events, so no step gathers the events of a key.
+Time is cut into slots as wide as the rule's window; a slot's events combine to
+one row, and what crosses slots is decided on those rows, whose number is bounded by the time that the key spans.
+Greedy rules, where an accepted event moves the window, are folded within short
+runs; long runs are cut into slices of slots that are solved for every possible entry, stitched, and solved again for the real one.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docquery.operators.keys import join_on, placed
+from docquery.plans.scratch import written
+
+#: Events of a run, or rows of a session, that are folded in one row at most.
+MOST_FOLDED = 2000
+#: Slots of a slice.
+SLICE = 64
+
+
+def micros(ts: Column) -> Column:
+    """Local time as microseconds since 1970; the session's time zone plays no part for zoneless times."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts.cast("timestamp_ntz"))
+
 
 def seconds(ts: Column) -> Column:
-    """Local time as seconds since 1970, with fractions; the session's time zone plays no part for zoneless times."""
-    start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    return F.timestamp_diff("MICROSECOND", start, ts.cast("timestamp_ntz")) / 1_000_000.0
+    """Local time as seconds since 1970, with fractions."""
+    return micros(ts) / 1_000_000.0
+
 
+def _slots(events: DataFrame, keys: list[str], width: int, *more: Column) -> DataFrame:
+    """keys, __slot, first, last, n and `more` of each slot; events have __at in microseconds."""
+    rows = events.withColumn("__slot", F.floor(F.col("__at") / width))
+    return rows.groupBy(*keys, "__slot").agg(F.min("__at").alias("first"), F.max("__at").alias("last"), F.count("*").alias("n"), *more)
 
-def greedy_window(events: DataFrame, keys: list[str], time: str, seconds_apart: float, tie: str) -> DataFrame:
-    """events that are accepted: at least seconds_apart after the last accepted one of their key.
 
-    An event that follows its predecessor by that much is accepted whatever came before, so each such event
-    starts a run of its own and folds stay short even for keys with a large share of all rows.
+def _runs(slots: DataFrame, keys: list[str], apart: int, out: str) -> DataFrame:
+    """slots numbered by run: a run ends where the next event comes `apart` or more later. No gap within a slot is that long."""
+    order = Window.partitionBy(*keys).orderBy("__slot")
+    new = F.when(F.col("first") - F.lag("last").over(order) < apart, 0).otherwise(1)
+    return slots.withColumn("__new", new).withColumn(out, F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+
+
+def greedy_window(events: DataFrame, keys: list[str], time: str, seconds_apart: float, tie: str, most: int = MOST_FOLDED) -> DataFrame:
+    """events that are accepted: at least seconds_apart after the last accepted one of their key; without a time none is.
+
+    The first event of a run is accepted whatever came before, so runs are independent.  Runs of up to `most` events are folded;
+    longer ones go slice by slice, in parallel.
     """
-    at = seconds(F.col(time))
-    order = Window.partitionBy(*keys).orderBy(time, tie)
-    runs = events.withColumn("__at", at).withColumn("__gap", F.col("__at") - F.lag("__at").over(order))
-    starts = F.when(F.col("__gap").isNull() | (F.col("__gap") >= seconds_apart), 1).otherwise(0)
-    runs = runs.withColumn("__run", F.sum(starts).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    sure = runs.where(F.col("__gap").isNull() | (F.col("__gap") >= seconds_apart))
-    rest = runs.groupBy(*keys, "__run").agg(F.array_sort(F.collect_list(F.struct("__at", tie))).alias("__e")).where(F.size("__e") > 1)
-    zero = F.struct(F.col("__e")[0]["__at"].alias("last"), F.array().cast(f"array<{dict(events.dtypes)[tie]}>").alias("ok"))
-    take = lambda acc, e: F.when(
-        e["__at"] - acc["last"] >= seconds_apart, F.struct(e["__at"].alias("last"), F.concat(acc["ok"], F.array(e[tie])).alias("ok"))
-    ).otherwise(acc)
-    more = rest.select(*keys, F.explode(F.aggregate("__e", zero, take)["ok"]).alias(tie))
-    accepted = sure.select(*keys, tie).unionByName(more)
-    return events.join(accepted, [*keys, tie], "left_semi")
+    apart = max(1, round(seconds_apart * 1_000_000))
+    rows = events.select(*keys, tie, micros(F.col(time)).alias("__at")).where("__at is not null")
+    runs = _runs(_slots(rows, keys, apart), keys, apart, "__run")
+    runs = runs.withColumn("__size", F.sum("n").over(Window.partitionBy(*keys, "__run"))).select(*keys, "__slot", "__run", "__size")
+    rows = join_on(rows.withColumn("__slot", F.floor(F.col("__at") / apart)), runs, [*keys, "__slot"])
+
+    folded = rows.where(F.col("__size") <= most).groupBy(*keys, "__run").agg(F.array_sort(F.collect_list(F.struct("__at", tie))).alias("__e"))
+    zero = F.struct(F.lit(-(1 << 62)).cast("long").alias("last"), F.array().cast(f"array<{dict(events.dtypes)[tie]}>").alias("ok"))
+    take = lambda acc, e: F.when(e["__at"] - acc["last"] >= apart, F.struct(e["__at"].alias("last"), F.concat(acc["ok"], F.array(e[tie])).alias("ok"))).otherwise(acc)
+    accepted = folded.select(*keys, F.explode(F.aggregate("__e", zero, take)["ok"]).alias(tie))
+    accepted = accepted.unionByName(_sliced(rows.where(F.col("__size") > most), keys, tie, apart))
+    return join_on(events, accepted, [*keys, tie], "left_semi")
+
+
+def _sliced(rows: DataFrame, keys: list[str], tie: str, apart: int) -> DataFrame:
+    """keys and tie of the accepted events of long runs (keys, tie, __at, __slot, __run)."""
+    kinds = dict(rows.dtypes)
+    named = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+    rows = rows.withColumn("__slice", F.floor(F.col("__slot") / SLICE))
+
+    def summed(group: pd.DataFrame) -> pd.DataFrame:
+        """For each event that may be the slice's first accepted one, the last accepted one; equal outcomes once."""
+        t = np.unique(group["__at"].to_numpy())
+        after = np.searchsorted(t, t + apart)
+        end = np.where(after < len(t), after, np.arange(len(t)))
+        while (end[end] != end).any():
+            end = end[end]
+        entries = min(len(t), np.searchsorted(t, (group["__slice"].iloc[0] * SLICE + 1) * apart) + 1)
+        last = np.flatnonzero(np.append(np.diff(end[:entries]) != 0, True))
+        out = group[[*keys, "__run", "__slice"]].head(1).copy()
+        out["entry"], out["exit"] = [t[last]], [t[end[last]]]
+        return out
+
+    def stitched(group: pd.DataFrame) -> pd.DataFrame:
+        group, carry, before = group.sort_values("__slice"), -(1 << 62), []
+        for entry, leave in zip(group["entry"], group["exit"]):
+            before.append(carry)
+            at = bisect_left(entry, carry + apart)
+            carry = int(leave[at]) if at < len(entry) else carry
+        return group[[*keys, "__run", "__slice"]].assign(carry=before)
+
+    def solved(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["__at", tie])
+        t, ok = group["__at"].to_numpy(), []
+        at = np.searchsorted(t, group["carry"].iloc[0] + apart)
+        while at < len(t):
+            ok.append(at)
+            at = np.searchsorted(t, t[at] + apart)
+        return group[[*keys, tie]].iloc[ok]
+
+    place = [*keys, "__run", "__slice"]
+    slices = rows.groupBy(*place).applyInPandas(summed, f"{named}, __run long, __slice long, entry array<long>, exit array<long>")
+    carried = slices.groupBy(*keys, "__run").applyInPandas(stitched, f"{named}, __run long, __slice long, carry long")
+    rows = join_on(rows.select(*place, tie, "__at"), carried, place)
+    return rows.groupBy(*place).applyInPandas(solved, f"{named}, `{tie}` {kinds[tie]}")
 
 
 def content_dedup(files: DataFrame, scope: list[str], content: Column, order: list[str]) -> DataFrame:
-    """files with sha256 and reused: whether equal bytes came before in the same scope.
+    """files with sha256 and reused: whether equal bytes came before in the same scope; null is a scope, and null content is never reused.
 
     The first of each content is found by a combining aggregate, not by sorting copies in one task.
     """
     hashed = files.withColumn("sha256", F.sha2(content, 256))
-    first = hashed.groupBy(*scope, "sha256").agg(F.min(F.struct(*order)).alias("__first"))
-    joined = hashed.join(first, [*scope, "sha256"])
-    return joined.withColumn("reused", F.struct(*order) != F.col("__first")).drop("__first")
+    first = hashed.where("sha256 is not null").groupBy(*scope, "sha256").agg(F.min(F.struct(*order)).alias("__first"))
+    joined = join_on(hashed, first, [*scope, "sha256"], "left")
+    return joined.withColumn("reused", F.coalesce(F.struct(*order) != F.col("__first"), F.lit(False))).drop("__first")
 
 
 def split_known(new: DataFrame, known: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -66,21 +138,21 @@ def in_flight(events: DataFrame, scope: list[str], file_id: str, url: str, name:
 
 
 def daily_quota(events: DataFrame, time: str, tie: str, most: int, *scope: str) -> DataFrame:
-    """events with day, place (from 1) and admitted: the first `most` of each calendar day; 0 is no limit."""
-    rows = events.withColumn("day", F.to_date(time))
-    place = F.row_number().over(Window.partitionBy(*scope, "day").orderBy(time, tie))
-    return rows.withColumn("place", place).withColumn("admitted", F.lit(most == 0) | (F.col("place") <= most))
+    """events with day, place (from 1) and admitted: the first `most` of each calendar day; 0 is no limit. A task ranks a minute of a day."""
+    rows = placed(events.withColumn("day", F.to_date(time)), [*scope, "day"], F.date_trunc("minute", time), [time, tie], "place")
+    return rows.withColumn("admitted", F.lit(most == 0) | (F.col("place") <= most))
 
 
 def activity(touches: DataFrame, keys: list[str], time: str, idle_seconds: float) -> DataFrame:
-    """keys, spell, started, ended, touches: spells in which no gap exceeds idle_seconds (a gap of exactly that stays inside)."""
-    at = seconds(F.col(time))
-    order = Window.partitionBy(*keys).orderBy("__at")
-    rows = touches.withColumn("__at", at)
-    starts = F.when(F.col("__at") - F.lag("__at").over(order) <= idle_seconds, 0).otherwise(1)
-    rows = rows.withColumn("__new", starts)
-    rows = rows.withColumn("spell", F.sum("__new").over(order.rangeBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy(*keys, "spell").agg(F.min(time).alias("started"), F.max(time).alias("ended"), F.count("*").alias("touches"))
+    """keys, spell, started, ended, touches: spells in which no gap exceeds idle_seconds (a gap of exactly that stays inside); touches without a time don't count.
+
+    Slots of that width combine to a row each, and only those are put in order by key.
+    """
+    idle = max(1, round(idle_seconds * 1_000_000))
+    rows = touches.withColumn("__at", micros(F.col(time))).where("__at is not null")
+    slots = _slots(rows, keys, idle, F.min(time).alias("started"), F.max(time).alias("ended"))
+    spells = _runs(slots, keys, idle + 1, "spell")
+    return spells.groupBy(*keys, "spell").agg(F.min("started").alias("started"), F.max("ended").alias("ended"), F.sum("n").alias("touches"))
 
 
 def expired(files: DataFrame, now: Column, *, retention: float, max_rounds: int, absolute_ttl: float = 0) -> DataFrame:
@@ -93,7 +165,7 @@ def expired(files: DataFrame, now: Column, *, retention: float, max_rounds: int,
 def memo(requests: DataFrame, keys: list[str], time: str, ttl_seconds: float, tie: str) -> DataFrame:
     """requests with hit: an answer written at most ttl_seconds ago; hits don't renew it."""
     misses = greedy_window(requests, keys, time, ttl_seconds + 1e-6, tie)
-    marked = requests.join(misses.select(*keys, tie, F.lit(True).alias("__m")), [*keys, tie], "left")
+    marked = join_on(requests, misses.select(*keys, tie, F.lit(True).alias("__m")), [*keys, tie], "left")
     return marked.withColumn("hit", F.col("__m").isNull()).drop("__m")
 
 
@@ -132,25 +204,41 @@ def cooldown(rows: DataFrame, time: str, tie: str, now: Column, *, hours: float
     return young.orderBy(F.col(time).desc(), F.col(tie).desc()).limit(most)
 
 
-def budget_admission(files: DataFrame, session: str, order: list[str], size: str, budget: int) -> DataFrame:
-    """files with admitted: taken while the admitted ones of the session still fit; a rejected one takes no room.
+def budget_admission(files: DataFrame, session: str, order: list[str], size: str, budget: int, slot: Column | None = None) -> DataFrame:
+    """files with admitted: taken in order while they still fit into what the session has left; a rejected one takes no room.
 
-    A session's sizes are folded in order; where the plain running sum fits, no fold is needed and the window decides.
+    Room only shrinks, so what exceeds it once is out for good.  A round takes, of what is small enough, all before the
+    first that does not fit; running sums are built by slots (which must not fall along the order, such as a date), so that
+    one task adds up a slot, not a session.  Once few candidates are left in every session, a fold decides them in a row each.
     """
-    running = F.sum(size).over(Window.partitionBy(session).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    rows = files.withColumn("__sum", running)
-    sure = rows.where(F.col("__sum") <= budget).withColumn("admitted", F.lit(True))
-    # from the first that did not fit, room is what that session had left
-    late = rows.where(F.col("__sum") > budget)
-    item = F.struct(*order, F.col(size).alias("__size"))
-    used = late.groupBy(session).agg(F.array_sort(F.collect_list(item)).alias("__e"), F.min(F.col("__sum") - F.col(size)).alias("__used"))
-    kind = used.schema["__e"].dataType.simpleString()
-    zero = F.struct(F.col("__used").alias("used"), F.array().cast(kind).alias("ok"))
-    fits = lambda acc, e: acc["used"] + e["__size"] <= budget
-    take = lambda acc, e: F.when(
-        fits(acc, e), F.struct((acc["used"] + e["__size"]).alias("used"), F.concat(acc["ok"], F.array(e)).alias("ok"))
-    ).otherwise(acc)
-    ok = used.select(session, F.explode(F.aggregate("__e", zero, take)["ok"]).alias("__ok")).select(session, *[F.col(f"__ok.{c}").alias(c) for c in order])
-    ok = ok.withColumn("__t", F.lit(True))
-    decided = late.join(ok, [session, *order], "left").withColumn("admitted", F.col("__t").isNotNull()).drop("__t")
-    return sure.unionByName(decided).drop("__sum")
+    rows = files.select(session, F.struct(*order).alias("__o"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("__n"), (F.lit(0) if slot is None else slot).alias("__slot"))
+    kind = rows.schema["__o"].dataType.simpleString()
+    state = written(rows.select(session).distinct().select(session, F.lit(None).cast(kind).alias("__from"), F.lit(budget).cast("long").alias("__room")), "budget")
+    rounds = None
+    while True:
+        left = join_on(rows, state, [session]).where("(__from is null or __o > __from) and __n <= __room")
+        if rounds is not None and not (left.groupBy(session).count().agg(F.max("count")).first()[0] or 0) > MOST_FOLDED:
+            break
+        sums = left.groupBy(session, "__slot").agg(F.sum("__n").alias("__s"), F.first("__room").alias("__room"))
+        sums = sums.withColumn("__before", F.sum("__s").over(Window.partitionBy(session).orderBy("__slot")) - F.col("__s"))
+        full = sums.where("__before + __s > __room").groupBy(session).agg(F.min(F.struct("__slot", "__before")).alias("f")).select(session, "f.*")
+        inside = join_on(left, full, [session, "__slot"])
+        running = F.col("__before") + F.sum("__n").over(Window.partitionBy(session, "__slot").orderBy("__o").rowsBetween(Window.unboundedPreceding, 0))
+        misfit = inside.withColumn("__upto", running).where("__upto > __room").groupBy(session)
+        misfit = misfit.agg(F.min(F.struct("__o", (F.col("__upto") - F.col("__n")).alias("used"))).alias("m"))
+        done = written(join_on(state, misfit, [session], "left").withColumn("__to", F.col("m.__o")), "budget")
+        rounds = done if rounds is None else rounds.unionByName(done)
+        state = done.where("m is not null").select(session, F.col("__to").alias("__from"), (F.col("__room") - F.col("m.used")).alias("__room"))
+    spans = rounds.groupBy(session).agg(F.collect_list(F.struct("__from", "__to", "__room")).alias("__spans"))  # a round each
+
+    used = left.groupBy(session).agg(F.array_sort(F.collect_list(F.struct("__o", "__n"))).alias("__e"), F.first("__room").alias("__room"))
+    zero = F.struct(F.col("__room").alias("room"), F.array().cast(f"array<{kind}>").alias("ok"))
+    take = lambda acc, e: F.when(e["__n"] <= acc["room"], F.struct((acc["room"] - e["__n"]).alias("room"), F.concat(acc["ok"], F.array(e["__o"])).alias("ok"))).otherwise(acc)
+    late = used.select(session, F.explode(F.aggregate("__e", zero, take)["ok"]).alias("__o")).withColumn("__late", F.lit(True))
+
+    out = files.withColumn("__o", F.struct(*order)).withColumn("__n", F.coalesce(F.col(size), F.lit(0)))
+    out = join_on(join_on(out, spans, [session], "left"), late, [session, "__o"], "left")
+    o, n = F.col("__o"), F.col("__n")
+    within = lambda s: (s["__from"].isNull() | (o > s["__from"])) & (s["__to"].isNull() | (o < s["__to"])) & (n <= s["__room"])
+    taken = F.exists("__spans", within) | F.col("__late").isNotNull()
+    return out.withColumn("admitted", taken).drop("__o", "__n", "__spans", "__late")

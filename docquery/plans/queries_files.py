@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from docquery.functions import media, urls
 from docquery.functions import text as T
 from docquery.operators import chunk, session, state
 from docquery.plans.queries_index import table
+from docquery.plans.scratch import new_folder
 from docquery.sources import files, formats, messages
 from docquery.streaming import stateful
 
@@ -325,10 +323,10 @@ def tumbling_rounds(spark, sf_dir):
     return state.tumbling_rounds(table(spark, sf_dir, "events"), ["user_id"], "ts", 120)
 
 
-@query("SELECT event_id, ts::DATE AS day, row_number() OVER (PARTITION BY ts::DATE ORDER BY ts, event_id)::INT AS place, row_number() OVER (PARTITION BY ts::DATE ORDER BY ts, event_id) <= 20 AS admitted FROM events WHERE event_type = 'view'")
+@query("SELECT event_id, ts::DATE AS day, row_number() OVER (PARTITION BY ts::DATE ORDER BY ts, event_id)::INT AS place, row_number() OVER (PARTITION BY ts::DATE ORDER BY ts, event_id) <= 20 AS admitted FROM events")
 def daily_quota(spark, sf_dir):
-    """The first twenty views of each day."""
-    rows = state.daily_quota(table(spark, sf_dir, "events").where("event_type = 'view'"), "ts", "event_id", 20)
+    """The first twenty events of each day."""
+    rows = state.daily_quota(table(spark, sf_dir, "events"), "ts", "event_id", 20)
     return rows.select("event_id", "day", "place", "admitted")
 
 
@@ -342,12 +340,12 @@ def session_activity(spark, sf_dir):
     return rows.select("user_id", "spell", "touches", F.round(length, 3).alias("seconds"))
 
 
-@query(f"""WITH u AS (SELECT user_id, min({_T}) AS up, max({_T}) AS used, count(*) AS rounds FROM events WHERE event_type = 'purchase' GROUP BY user_id), n AS (SELECT max({_T}) AS t FROM events)
+@query(f"""WITH u AS (SELECT user_id, min({_T}) AS up, max({_T}) AS used, count(*) AS rounds FROM events GROUP BY user_id), n AS (SELECT max({_T}) AS t FROM events)
 SELECT user_id, rounds, CASE WHEN t - used > 864000 THEN 'idle' WHEN rounds >= 20 THEN 'rounds' WHEN t - up > 2160000 THEN 'age' END AS expiry FROM u, n""")
 def expiry_sliding(spark, sf_dir):
     """Users as files: idle for ten days, used twenty times, or older than 25 days."""
     rows = table(spark, sf_dir, "events")
-    used = rows.where("event_type = 'purchase'").groupBy("user_id").agg(F.min("ts").alias("upload_time"), F.max("ts").alias("last_used"), F.count("*").alias("rounds"))
+    used = rows.groupBy("user_id").agg(F.min("ts").alias("upload_time"), F.max("ts").alias("last_used"), F.count("*").alias("rounds"))
     now = rows.agg(F.max("ts").alias("now"))
     out = state.expired(used.crossJoin(F.broadcast(now)), F.col("now"), retention=864_000, max_rounds=20, absolute_ttl=2_160_000)
     return out.select("user_id", "rounds", "expiry")
@@ -360,14 +358,14 @@ def retry_schedule(spark, sf_dir):
     return rows.select("user_id", "attempt", F.floor(state.seconds(F.col("due"))).alias("due"))
 
 
-@query(f"""WITH x AS (SELECT * FROM events WHERE event_type IN ('error', 'signup', 'click') QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1),
+@query(f"""WITH x AS (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1),
 y AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 2)
 SELECT user_id, event_type, event_id FROM y WHERE (SELECT max({_T}) FROM events) - {_T} <= 432000""")
 def notices_ttl(spark, sf_dir):
     """Two newest notices of a user, one a type, not older than five days."""
     rows = table(spark, sf_dir, "events")
     now = rows.agg(F.max("ts").alias("now"))
-    kept = rows.where("event_type in ('error', 'signup', 'click')").crossJoin(F.broadcast(now))
+    kept = rows.crossJoin(F.broadcast(now))
     out = state.notices(kept, "user_id", "event_type", "ts", "event_id", F.col("now"), ttl=432_000, most=2)
     return out.select("user_id", "event_type", "event_id")
 
@@ -400,16 +398,11 @@ SELECT source, doc_id, admitted FROM w""")
 def budget_admission(spark, sf_dir):
     """Documents that a source may keep within 60000 characters, in order of arrival."""
     rows = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
-    return state.budget_admission(rows, "source", ["doc_id"], "n_chars", 60_000).select("source", "doc_id", "admitted")
-
-
-def _folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    out = state.budget_admission(rows, "source", ["doc_id"], "n_chars", 60_000, slot=F.floor(F.col("doc_id") / 1024))
+    return out.select("source", "doc_id", "admitted")
 
 
 def _event_stream(spark, sf_dir):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", stateful.PROVIDER)
     shape = table(spark, sf_dir, "events").schema
     rows = spark.readStream.schema(shape).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     return rows.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
@@ -418,7 +411,7 @@ def _event_stream(spark, sf_dir):
 @query(_greedy_sql(3600) + " SELECT k AS user_id, event_id FROM w WHERE ok")
 def stream_dedup(spark, sf_dir):
     """dedup_window as a stream over the events that are there."""
-    at = _folder(spark)
+    at = new_folder(spark, "stream")
     passed = stateful.dedup_stream(_event_stream(spark, sf_dir), "user_id", "ts", "event_id", 3600)
     return stateful.replay(passed, f"{at}/state", f"{at}/out").select("user_id", "event_id")
 
@@ -429,7 +422,7 @@ e AS (SELECT user_id, spell, count(*) AS touches, max(t) AS ended, max(t) - min(
 SELECT user_id, touches, round(seconds, 3) AS seconds FROM e QUALIFY lead(spell) OVER (PARTITION BY user_id ORDER BY spell) IS NOT NULL OR ended + 3600 < (SELECT max({_T}) FROM events) - 600""")
 def stream_spells(spark, sf_dir):
     """Spells of users as a stream, each given once it has ended by the watermark."""
-    at = _folder(spark)
+    at = new_folder(spark, "stream")
     spells = stateful.replay(stateful.spell_stream(_event_stream(spark, sf_dir), "user_id", "ts", 3600), f"{at}/state", f"{at}/out")
     length = F.unix_micros("ended") - F.unix_micros("started")
     return spells.select("user_id", "touches", F.round(length / 1e6, 3).alias("seconds"))

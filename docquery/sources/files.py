@@ -34,17 +34,16 @@ def spooled(files: DataFrame, most: int) -> DataFrame:
 
 
 def acquired(records: DataFrame, key: str, *channels: DataFrame) -> DataFrame:
-    """records with content and channel of the first channel that has it; channels: (key, content), in order of precedence."""
+    """records with content and channel of the first channel that has it; channels: (key, content), in order of precedence.
+
+    Where a channel has several contents for a key, the least by bytes counts, so a record stays one row.
+    """
     out = records
     picks = []
     for n, c in enumerate(channels):
-        out = out.join(c.select(F.col(key).alias(f"__k{n}"), F.col("content").alias(f"__c{n}")), F.col(key) == F.col(f"__k{n}"), "left")
+        one = c.groupBy(F.col(key).alias(f"__k{n}")).agg(F.min("content").alias(f"__c{n}"))
+        out = out.join(one, F.col(key) == F.col(f"__k{n}"), "left")
         picks.append(F.when(F.col(f"__c{n}").isNotNull(), n))
     out = out.withColumn("content", F.coalesce(*(F.col(f"__c{n}") for n in range(len(channels)))))
     out = out.withColumn("channel", F.coalesce(*picks))
     return out.drop(*(f"__{x}{n}" for n in range(len(channels)) for x in "kc"))
-
-
-def write_bundles(rows: DataFrame, path: str, session: str = "session_id") -> None:
-    """Retry bundles as JSON in folders by session."""
-    rows.write.mode("append").partitionBy(session).json(path)

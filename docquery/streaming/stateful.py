@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -14,7 +15,8 @@ PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 class GreedyWindow(StatefulProcessor):
     """Lets an event pass if it comes at least `apart` seconds after the last one that passed.
 
-    Within a batch events are taken in order of time; an event older than the last passed one does not pass.
+    Within a batch events are taken in order of time, so a batch's events of one key are held in memory: the
+    source's maxFilesPerTrigger or maxBytesPerTrigger bounds them.  An event older than the last passed one does not pass.
     """
 
     def __init__(self, apart: float, time: str, tie: str):
@@ -54,18 +56,27 @@ class IdleSpells(StatefulProcessor):
         return pd.DataFrame({self.key: [key[0]], "started": times[:1], "ended": times[1:], "touches": [spell[2]]})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        times = sorted(int(x) for x in pd.concat(list(rows))[self.time].astype("datetime64[us]").astype("int64"))
-        spell = tuple(self.spell.get()) if self.spell.exists() else None
-        for at in times:
-            if spell and at - spell[1] > self.idle * 1_000_000:
-                yield self._row(key, spell)
-                spell = None
-            spell = (spell[0], max(at, spell[1]), spell[2] + 1) if spell else (at, at, 1)
+        spans: list[tuple] = [tuple(self.spell.get())] if self.spell.exists() else []
+        for frame in rows:  # spells of what was seen so far; touches may come in any order
+            times = np.sort(frame[self.time].to_numpy("datetime64[us]").astype("int64"))
+            cuts = np.flatnonzero(np.diff(times) > self.idle * 1_000_000) + 1
+            spans = self._merged([*spans, *((int(p[0]), int(p[-1]), len(p)) for p in np.split(times, cuts) if len(p))])
+        yield from (self._row(key, s) for s in spans[:-1])
+        spell = spans[-1]
         self.spell.update(spell)
         for timer in self.handle.listTimers():
             self.handle.deleteTimer(timer)
         self.handle.registerTimer(spell[1] // 1000 + int(self.idle * 1000) + 1)
 
+    def _merged(self, spans: list[tuple]) -> list[tuple]:
+        out: list[tuple] = []
+        for begin, end, n in sorted(spans):
+            if out and begin - out[-1][1] <= self.idle * 1_000_000:
+                out[-1] = (out[-1][0], max(end, out[-1][1]), out[-1][2] + n)
+            else:
+                out.append((begin, end, n))
+        return out
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.spell.exists():
             yield self._row(key, tuple(self.spell.get()))
@@ -89,8 +100,16 @@ def spell_stream(events: DataFrame, key: str, time: str, idle: float, late: str
 
 
 def replay(stream: DataFrame, checkpoint: str, out: str) -> DataFrame:
-    """Run a stream over what is there, write it to a folder and read that: exactly once, by Spark's file sink."""
-    spark = stream.sparkSession
-    query = stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out)
-    query.awaitTermination()
+    """Run a stream over what is there, write it to a folder and read that: exactly once, by Spark's file sink.
+
+    The state store that these operators need is set for the run alone.
+    """
+    spark, key = stream.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, PROVIDER)
+    try:
+        query = stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out)
+        query.awaitTermination()
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
     return spark.read.schema(stream.schema).parquet(out)

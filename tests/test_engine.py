@@ -1,12 +1,14 @@
 """The engine on a small store, and keyed state on small events."""
 
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
 from docquery.config import EngineConfig
-from docquery.operators import state
+from docquery.operators import session, state
 from docquery.plans.engine import Engine
+from docquery.sources import files
 
 T0 = dt.datetime(2026, 1, 1, 12)
 SCHEMA = "session_id string, conversation_id string, file_name string, content binary, upload_time timestamp"
@@ -36,14 +38,68 @@ def test_store(spark, tmp_path):
     assert {r.file_name: r.expiry for r in gone.collect()} == {"note.txt": "idle"}
     e.clear(spark.createDataFrame([("s",)], "session_id string"))
     assert e.files.count() == e.chunks.count() == e.vectors.count() == 0
-    assert e.status().count() >= 0
+    assert [r.files for r in e.status().where("level = 3").collect()] in ([], [None], [0])
 
 
 def test_greedy_window_is_not_sliding(spark):
     rows = [(k, i, T0 + dt.timedelta(seconds=s)) for k in "ab" for i, s in enumerate((0, 6, 10, 12, 19, 20, 100))]
     df = spark.createDataFrame(rows, "k string, id int, ts timestamp")
-    got = sorted((r.k, r.id) for r in state.greedy_window(df, ["k"], "ts", 10, "id").collect())
-    assert got == [(k, i) for k in "ab" for i in (0, 2, 5, 6)]
+    for most in (2000, 1):  # folded, and by slices
+        got = sorted((r.k, r.id) for r in state.greedy_window(df, ["k"], "ts", 10, "id", most).collect())
+        assert got == [(k, i) for k in "ab" for i in (0, 2, 5, 6)]
+
+
+def accepted(rows, apart):
+    last, out = {}, set()
+    for k, i, t in sorted((r for r in rows if r[2] is not None), key=lambda r: (r[2], r[1])):
+        if k not in last or (t - last[k]).total_seconds() >= apart:
+            last[k] = t
+            out.add((k, i))
+    return out
+
+
+def test_a_hot_key_goes_by_slices(spark):
+    """One key has most events, close together over many slices; another is null; some have no time."""
+    rng = random.Random(1)
+    hot = [("hot", i, T0 + dt.timedelta(seconds=rng.uniform(0, 9000))) for i in range(3000)]
+    rest = [(rng.choice(["a", "b", None]), 5000 + i, T0 + dt.timedelta(seconds=rng.uniform(0, 900))) for i in range(300)]
+    dense = [("dense", 7000 + i, T0 + dt.timedelta(seconds=i)) for i in range(2000)]  # entries that never meet
+    rows = [*hot, *rest, *dense, ("a", 9000, None)]
+    df = spark.createDataFrame(rows, "k string, id int, ts timestamp")
+    for apart in (10, 37):
+        for most in (2000, 100):
+            got = {(r.k, r.id) for r in state.greedy_window(df, ["k"], "ts", apart, "id", most).collect()}
+            assert got == accepted(rows, apart)
+    hits = {r.id: r.hit for r in state.memo(df.where("ts is not null"), ["k"], "ts", 10, "id").collect()}
+    assert len(hits) == len(rows) - 1 and not hits[min((r for r in rest if r[0] is None), key=lambda r: r[2])[1]]
+
+
+def test_null_keys_are_keys(spark):
+    held = spark.createDataFrame([(None, "c", "a", b"x", 1), (None, "c", "b", b"x", 2), ("s", "c", "a", None, 3), ("s", "c", "b", None, 4), ("s", None, "d", b"y", 5)], "session_id string, conversation_id string, file_name string, content binary, total_chars int")
+    got = {(r.session_id, r.file_name): r.reused for r in state.content_dedup(held, ["session_id"], F.col("content"), ["file_name"]).collect()}
+    assert got == {(None, "a"): False, (None, "b"): True, ("s", "a"): False, ("s", "b"): False, ("s", "d"): False}
+    assert {(r.session_id, r.n_files, r.listed) for r in session.announced(held, ["session_id"]).collect()} == {(None, 2, "《a》、《b》"), ("s", 3, "《a》、《b》、《d》")}
+    first = session.first_conversation(held, created="total_chars").collect()
+    assert sorted(r.total_chars for r in first) == [1, 2, 3, 4]
+
+
+def test_keys_of_several_rows(spark):
+    records = spark.createDataFrame([(1,), (2,), (3,)], "k int")
+    twice = spark.createDataFrame([(1, b"b"), (1, b"a"), (2, None)], "k int, content binary")
+    last = spark.createDataFrame([(2, b"z"), (2, b"z")], "k int, content binary")
+    got = {r.k: (bytes(r.content) if r.content is not None else None, r.channel) for r in files.acquired(records, "k", twice, last).collect()}
+    assert got == {1: (b"a", 0), 2: (b"z", 1), 3: (None, None)} and files.acquired(records, "k", twice, last).count() == 3
+
+
+def test_quota_and_spells_of_one_day(spark):
+    rows = [(i, T0 + dt.timedelta(seconds=37 * i % 5000)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, ts timestamp")
+    want = {r[0]: n + 1 for n, r in enumerate(sorted(rows, key=lambda r: (r[1], r[0])))}
+    assert {r.id: r.place for r in state.daily_quota(df, "ts", "id", 20).collect()} == want
+    times = sorted(r[1] for r in rows)
+    spells = 1 + sum((b - a).total_seconds() > 12 for a, b in zip(times, times[1:]))
+    got = state.activity(df.withColumn("k", F.lit(None).cast("string")), ["k"], "ts", 12).collect()
+    assert len(got) == spells and sum(r.touches for r in got) == 400
 
 
 def test_rejected_files_take_no_room(spark):
@@ -52,9 +108,25 @@ def test_rejected_files_take_no_room(spark):
     assert got == {0: True, 1: False, 2: True, 3: False, 4: True}
 
 
+def test_budget_in_rounds(spark, monkeypatch):
+    """Rounds, and the fold at their end, admit what a plain loop admits."""
+    rng = random.Random(2)
+    rows = [(rng.choice(["s", "s", "s", "t", None]), i, rng.choice([0, 1, 3, 9, 40, 90, 400])) for i in range(900)]
+    want, left = {}, {}
+    for s, i, n in rows:
+        fits = n <= left.setdefault(s, 1000)
+        left[s] -= n * fits
+        want[i] = fits
+    df = spark.createDataFrame(rows, "s string, i int, n long")
+    for most in (2000, 20):
+        monkeypatch.setattr(state, "MOST_FOLDED", most)
+        got = state.budget_admission(df, "s", ["i"], "n", 1000, slot=F.floor(F.col("i") / 50)).collect()
+        assert {r.i: r.admitted for r in got} == want and len(got) == len(rows)
+
+
 def test_boundaries(spark):
     at = lambda *s: spark.createDataFrame([(1, T0 + dt.timedelta(seconds=x)) for x in s], "k int, ts timestamp")
     assert state.activity(at(0, 60, 121), ["k"], "ts", 60).count() == 2  # a gap of exactly the limit stays inside
-    files = spark.createDataFrame([(T0, None, 0), (T0, T0 + dt.timedelta(seconds=5), 3)], "upload_time timestamp, last_used timestamp, rounds int")
-    got = state.expired(files, F.lit(T0 + dt.timedelta(seconds=10)), retention=10, max_rounds=3).orderBy("rounds").collect()
+    aged = spark.createDataFrame([(T0, None, 0), (T0, T0 + dt.timedelta(seconds=5), 3)], "upload_time timestamp, last_used timestamp, rounds int")
+    got = state.expired(aged, F.lit(T0 + dt.timedelta(seconds=10)), retention=10, max_rounds=3).orderBy("rounds").collect()
     assert [r.expiry for r in got] == [None, "rounds"]

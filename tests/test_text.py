@@ -40,7 +40,7 @@ def test_overlap_and_merging():
     assert split_text("abcdefghijklmnopq", 10, 2) == ["abcdefghij", "ijklmnopqq"]
 
 
-def test_bad_sizes():
+def test_bad_sizes(spark):
     for size, overlap in ((0, 0), (10, 10)):
         with pytest.raises(ValueError):
             chunks_of(F.lit("x"), size, overlap)
