@@ -52,7 +52,7 @@ NOTEBOOK = json.dumps({"cells": [{"cell_type": "markdown", "source": ["# T"]}, {
 CASES = [
     ("a.docx", DOCX, "one\ttwo\nthree"), ("renamed.bin", DOCX, "one\ttwo\nthree"), ("a.xlsx", XLSX, "=== Sales ===\nname\t2\nin"),
     ("a.pptx", PPTX, "=== 幻灯片 1 ===\nslide 2\n=== 幻灯片 2 ===\nslide 10"), ("a.odt", ODT, "Head\nx   y\na\t7"), ("a.ods", ODS, "=== T ===\na\t7"),
-    ("a.odp", ODP, "=== 幻灯片 1 ===\nhello"), ("a.epub", EPUB, "first\n\nsecond"), ("a.ipynb", NOTEBOOK, "[md] # T\n\n[code] x = 1"),
+    ("a.odp", ODP, "=== 幻灯片 1 ===\nhello"), ("a.epub", EPUB, "first\n\nsecond"), ("a.ipynb", NOTEBOOK, "[md] # T\n\n[code] x = 1\n\n[md] r"),
     ("a.csv", b'a,"b\nc"\n1,2', "a\tb\nc\n1\t2"), ("a.eml", b"Subject: Hi\r\nContent-Type: text/plain\r\n\r\nbody", "主题：Hi\n\nbody"),
     ("a.txt.gz", gzip.compress(b"inner"), "inner"), ("a.srt", b"1\nhello", "1\nhello"), ("a.txt", "中文".encode("gbk"), "中文"), (".env", b"K=1", "K=1"),
     ("a.html", b"<head><title>t</title></head><p>a <b>b</b> c</p><script>x()</script><div>d &amp; e</div>", "abc\n\nd & e"), ("noext", ODT, "Head\nx   y\na\t7"),
@@ -61,18 +61,56 @@ CASES = [
 
 @pytest.mark.parametrize("name,data,want", CASES, ids=[c[0] for c in CASES])
 def test_formats(name, data, want):
-    assert formats.parse(data, name)[::2] == (want, None)
+    text, _, error, notes = formats.parse(data, name)
+    assert (text, error, notes) == (want, None, [])
 
 
-def test_refusals(monkeypatch):
+def test_refusals():
     ole = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1" + bytes(20)
     for name, data in (("a.rtf", b"{\\rtf1 x"), ("a.txt", b"{\\rtf1 x"), ("a.docx", ole), ("a.doc", ole), ("a.mp3", b"ID3"), ("a.xyz", b"x"), ("noext", b"x"), ("a.docx", b"PK\x03\x04broken"), ("a.html", b"<script>x</script>"), ("a.pdf", b"%PDF-1.7")):
-        text, _, error = formats.parse(data, name)
+        text, _, error, _ = formats.parse(data, name)
         assert text is None and error, name
-    monkeypatch.setattr(formats, "MEMBER_BYTES", 10)
-    assert "limit" in formats.parse(DOCX, "a.docx")[2] and "limit" in formats.parse(gzip.compress(b"x" * 99), "a.txt.gz")[2]
-    monkeypatch.setattr(formats, "TEXT_CHARS", 3)
-    assert "exceed" in formats.parse(b"long text", "a.txt")[2]
+    small = formats.Limits(member_bytes=10, text_chars=3)
+    assert "limit" in formats.parse(DOCX, "a.docx", limits=small)[2] and "limit" in formats.parse(gzip.compress(b"x" * 99), "a.txt.gz", limits=small)[2]
+    assert "exceed" in formats.parse(b"long text", "a.txt", limits=small)[2]
+    none = formats.Limits(member_bytes=0, text_chars=0)
+    assert formats.parse(DOCX, "a.docx", limits=none)[2] is None and len(formats.parse(gzip.compress(b"x" * 3_000_000), "a.txt.gz", limits=none)[0]) == 3_000_000
+
+
+def test_books():
+    """Without a container the package file is searched for; what is left out is noted."""
+    items = "".join(f'<item id="i{n}" href="{n}.html" media-type="text/html"/>' for n in range(6))
+    spine = "".join(f'<itemref idref="i{n}"/>' for n in range(6))
+    members = {"mimetype": "application/epub+zip", "x/b.opf": f"<package>{items}{spine}</package>"} | {f"x/{n}.html": f"<p>part {n}</p>" for n in range(6)}
+    assert formats.parse(zipped(members), "a.epub")[0].startswith("part 0\n\npart 1")
+    text, _, error, notes = formats.parse(zipped(members), "a.epub", limits=formats.Limits(epub_items=2))
+    assert (text, error) == ("part 0\n\npart 1", None) and "2 of 6" in notes[0]
+    text, _, error, notes = formats.parse(zipped(members), "a.epub", limits=formats.Limits(text_chars=10))
+    assert error is None and "stopped" in notes[0] and text == "part 0\n\npart 1"
+    del members["x/b.opf"]
+    assert "package" in formats.parse(zipped(members), "a.epub")[2]
+
+
+def test_mail_falls_back_to_html():
+    raw = b'Subject: S\r\nContent-Type: multipart/alternative; boundary="b"\r\n\r\n--b\r\nContent-Type: text/plain\r\n\r\n \r\n--b\r\nContent-Type: text/html\r\n\r\n<p>rich</p>\r\n--b--\r\n'
+    assert formats.parse(raw, "a.eml")[0] == "主题：S\n\nrich"
+
+
+def test_encodings():
+    texts = {
+        "gbk": "今天天气很好，我们去公园散步。", "big5": "今天天氣很好，我們去公園散步。學習中文很有意思。", "shift_jis": "今日はとても良い天気です。公園へ散歩に行きましょう。",
+        "euc_kr": "오늘은 날씨가 아주 좋습니다. 공원에 산책하러 갑시다.", "cp1252": "Le café était fermé à midi, déjà réservé pour une fête.", "utf-16": "plain with a mark",
+    }
+    for name, text in texts.items():
+        assert formats.decode(text.encode(name)) == text, name
+
+
+def test_added_parsers_reach_the_workers(spark, monkeypatch):
+    monkeypatch.setattr(formats, "ADDED", {})
+    formats.register("SHOUT", lambda data: data.decode().upper())
+    rows = spark.createDataFrame([("a.shout", bytearray(b"hey"))], "file_name string, content binary")
+    assert formats.parse_files(rows, ["file_name"]).first().text == "HEY" and ("shout", "parsed") in formats.supported()
+    assert dict(formats.supported())["mp4"] == "video" and dict(formats.supported())["rtf"].startswith("unsupported")
 
 
 def test_parse_in_spark(spark):
@@ -123,10 +161,10 @@ def test_heads_and_names(spark):
 
 
 def test_hints(spark):
-    text = "[文件] 文章.docx，大小: 9547，链接: https://x.org/a,b?c=1，\n闲聊\n[视频] 文件: 7a.mp4，大小: 3977255\n[文件] 附件，大小: 15，file_ref: 5a\n[视频] c.mp4\n[文件]"
+    text = "[文件] 春季计划.odt，大小: 1204，链接: https://host.example/a,b?c=1，\n路过\n[视频] 文件: tour.mp4，大小: 880011\n[文件] 表格，大小: 77，note: x\n[视频] c.mp4\n[文件]"
     rows = spark.createDataFrame([(1, text), (2, "plain"), (3, None)], "id int, plain string")
     got = [(r.name, r.size_hint, r.url) for r in messages.hints(rows, ["id"]).orderBy("line").collect()]
-    assert got == [("文章.docx", 9547, "https://x.org/a,b?c=1"), ("7a.mp4", 3977255, None), ("附件", 15, None), ("c.mp4", 0, None)]
+    assert got == [("春季计划.odt", 1204, "https://host.example/a,b?c=1"), ("tour.mp4", 880011, None), ("表格", 77, None), ("c.mp4", 0, None)]
 
 
 def test_segments(spark):
