@@ -24,11 +24,6 @@ def resolve(requests: DataFrame, files: DataFrame) -> DataFrame:
     return hit.select("request_id", "asked", chosen.alias("session_id"))
 
 
-def newest_conversation(files: DataFrame) -> DataFrame:
-    """session_id, conversation_id of the latest upload of each session."""
-    return files.groupBy("session_id").agg(F.max_by("conversation_id", F.struct("upload_time", "file_name")).alias("conversation_id"))
-
-
 def direct_fits(files: DataFrame, session: str, limit: int = 6000) -> DataFrame:
     """session, files, total_chars, direct: whether all of it may be given in full."""
     sums = files.groupBy(session).agg(F.count("*").alias("files"), F.sum("total_chars").alias("total_chars"))
@@ -63,7 +58,7 @@ def parsing_notice(records: DataFrame, now: Column, group: str = "session_id") -
     live = records.where(now - F.col("started") <= 3 * 3600).withColumn("total_chars", F.lit(0))
     waited = live.groupBy(group).agg(F.greatest(F.lit(0), F.max(now - F.col("started"))).cast("long").alias("s"))
     span = F.when(F.col("s") < 90, F.concat(F.col("s").cast("string"), F.lit(" 秒"))).otherwise(F.concat(F.floor(F.col("s") / 60).cast("string"), F.lit(" 分钟")))
-    return announced(live, [group]).join(waited, group).select(group, "listed", span.alias("waited"))
+    return join_on(announced(live, [group]), waited, [group]).select(group, "listed", span.alias("waited"))
 
 
 def already_injected(items: DataFrame, prefix: str = "docquery:", marker: str = "【") -> DataFrame:

@@ -15,14 +15,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquery.config import EngineConfig
+from docquery.functions import media, urls
 from docquery.functions import text as T
 from docquery.operators import chunk, index, retrieve, session, state
 from docquery.sources import formats
 
 FILE_KEYS = ["session_id", "conversation_id", "file_name"]
 CHUNK_KEYS = [*FILE_KEYS, "chunk_index"]
-FILES = "session_id string, conversation_id string, file_name string, text string, total_chars int, sha256 string, upload_time timestamp, last_used timestamp, rounds int"
-CHUNKS = "session_id string, conversation_id string, file_name string, chunk_index int, text string"
+FILES = "session_id string, conversation_id string, file_name string, text string, total_chars int, sha256 string, upload_time timestamp, last_used timestamp, rounds int, notes array<string>"
+CHUNKS = "session_id string, conversation_id string, file_name string, chunk_index int, text string, n_tokens int, n_postings int"
+ERRORS = "session_id string, conversation_id string, file_name string, error string, upload_time timestamp"
+MEMO = "session_id string, query string, mode string, context string, at timestamp"
+ROUNDS = "session_id string, query_key string, at timestamp"
+#: Refusals that another attempt may mend.
+PASSING = ("unavailable", "data_budget")
 VECTORS = "session_id string, conversation_id string, file_name string, chunk_index int, embedding array<float>"
 
 
@@ -33,7 +39,7 @@ class Engine:
         self.spark, self.path, self.config, self.embedder = spark, path.rstrip("/"), config or EngineConfig(), embedder
         empty = lambda ddl: spark.createDataFrame([], ddl)
         self.files, self.chunks, self.vectors = empty(FILES), empty(CHUNKS), empty(VECTORS)
-        self.errors = empty("session_id string, conversation_id string, file_name string, error string")
+        self.errors, self.memo, self.counted = empty(ERRORS), empty(MEMO), empty(ROUNDS)
 
     def _write(self, name: str, df: DataFrame) -> DataFrame:
         at = f"{self.path}/{name}/{uuid.uuid4().hex}"
@@ -48,30 +54,53 @@ class Engine:
         c = self.config
         keyed = index.latest(incoming, FILE_KEYS, "upload_time").withColumn("sha256", F.sha2("content", 256))
         known, new = state.split_known(keyed, self.files, ["session_id", "conversation_id", "sha256"])
-        small = new.where(F.length("content") <= c.max_file_bytes)
-        parsed = formats.parse_files(small, [*FILE_KEYS, "sha256", "upload_time"])
-        parsed = self._write("parsed", parsed.withColumn("error", F.when(T.strip(F.coalesce("text", F.lit(""))) == "", F.coalesce("error", F.lit("no text"))).otherwise(F.col("error"))))
-        big = new.where(F.length("content") > c.max_file_bytes).select(*FILE_KEYS, F.lit("too_large").alias("error"))
-        refused = parsed.where("error is not null").select(*FILE_KEYS, "error").unionByName(big)
+        big = (F.length("content") > c.max_file_bytes) & F.lit(c.max_file_bytes > 0)
+        small = new.where(~F.coalesce(big, F.lit(False)))
+        limits = formats.Limits(member_bytes=c.unzip_bytes, text_chars=c.text_chars)
+        parsed = formats.parse_files(small, [*FILE_KEYS, "sha256", "upload_time"], limits=limits)
+        blank = T.strip(F.coalesce("text", F.lit(""))) == ""
+        parsed = self._write("parsed", parsed.withColumn("error", F.when(blank, F.coalesce("error", F.lit("no text"))).otherwise(F.col("error"))))
         good = parsed.where("error is null")
+        if c.data_budget_bytes:
+            good = self._write("admitted", self._within_data_budget(good))
+            refused = good.where("not admitted").select(*FILE_KEYS, F.lit("data_budget").alias("error"), "upload_time")
+            good = good.where("admitted")
+        else:
+            refused = self.errors.limit(0)
+        refused = refused.unionByName(parsed.where("error is not null").select(*FILE_KEYS, "error", "upload_time"))
+        refused = refused.unionByName(new.where(big).select(*FILE_KEYS, F.lit("too_large").alias("error"), "upload_time"))
         rows = good.select(
-            *FILE_KEYS, "text", F.length("text").alias("total_chars"), "sha256", "upload_time", F.col("upload_time").alias("last_used"), F.lit(0).alias("rounds")
+            *FILE_KEYS, "text", F.length("text").alias("total_chars"), "sha256", "upload_time", F.col("upload_time").alias("last_used"), F.lit(0).alias("rounds"), "notes"
         )
-        chunks = self._write("new-chunks", chunk.chunked(good, FILE_KEYS, c.chunk_size, c.chunk_overlap, c.chunk_merge))
+        chunks = chunk.chunked(good, FILE_KEYS, c.chunk_size, c.chunk_overlap, c.chunk_merge).withColumn("__t", T.tokens(F.col("text")))
+        chunks = self._write("new-chunks", chunks.select(*CHUNK_KEYS, "text", F.size("__t").alias("n_tokens"), F.size(F.array_distinct("__t")).alias("n_postings")))
         vectors = index.embed(chunks, CHUNK_KEYS, self.embedder, batch=c.embed_batch)
         seen = known.groupBy("session_id", "conversation_id", "sha256").agg(F.max("upload_time").alias("__seen"))
         files = index.replace_files(self.files, rows, FILE_KEYS).join(seen, ["session_id", "conversation_id", "sha256"], "left")
         files = files.withColumn("last_used", F.greatest("last_used", "__seen")).drop("__seen")
         self.chunks, self.vectors = (self._write(n, index.replace_files(old, df, FILE_KEYS)) for n, old, df in (("chunks", self.chunks, chunks), ("vectors", self.vectors, vectors)))
         self.files = self._write("files", files.select(*self.files.columns))
-        self.errors = self._write("errors", index.replace_files(self.errors, refused, FILE_KEYS))
-        return refused
+        self.errors = self._write("errors", index.replace_files(index.remove_files(self.errors, rows, FILE_KEYS), refused, FILE_KEYS))
+        self._forget(keyed)
+        return refused.select(*FILE_KEYS, "error")
+
+    def _within_data_budget(self, good: DataFrame) -> DataFrame:
+        """good with admitted: the store's texts are bounded in sum; a file that replaces one of its name frees that one's room."""
+        held = index.remove_files(self.files, good, FILE_KEYS).agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        rows = good.withColumns({"__all": F.lit(0), "__bytes": F.octet_length("text")})
+        room = max(0, self.config.data_budget_bytes - int(held))
+        return state.budget_admission(rows, "__all", ["upload_time", *FILE_KEYS], "__bytes", room, slot=F.date_trunc("hour", "upload_time")).drop("__all", "__bytes")
+
+    def _forget(self, changed: DataFrame) -> None:
+        """Answers of sessions whose files changed no longer hold."""
+        self.memo = self._write("memo", index.remove_files(self.memo, changed, ["session_id"]))
 
     def clear(self, gone: DataFrame) -> None:
         """Remove sessions (gone: session_id) or files (gone: the file keys)."""
         keys = [k for k in FILE_KEYS if k in gone.columns]
         for name in ("files", "chunks", "vectors"):
             setattr(self, name, self._write(name, index.remove_files(getattr(self, name), gone, keys)))
+        self._forget(gone)
 
     def expire(self, now) -> DataFrame:
         """Remove what is idle, used up or old at a time; returns the removed files with the reason."""
@@ -82,12 +111,23 @@ class Engine:
         return gone
 
     def touch(self, used: DataFrame, now) -> None:
-        """Files that were given to a model stay longer and count a round."""
-        hit = used.select(*FILE_KEYS).distinct().withColumn("__hit", F.lit(True))
-        rows = self.files.join(hit, FILE_KEYS, "left")
-        rows = rows.withColumn("rounds", F.col("rounds") + F.when(F.col("__hit"), 1).otherwise(0))
-        rows = rows.withColumn("last_used", F.when(F.col("__hit"), F.lit(now).cast("timestamp")).otherwise(F.col("last_used")))
+        """Files that were given to a model stay longer and count a round.
+
+        used may have query_key: one question counts a round at most every `round_seconds`; without it every call counts.
+        """
+        at = F.lit(now).cast("timestamp")
+        keyed = used.select(*FILE_KEYS, (F.col("query_key") if "query_key" in used.columns else F.lit(None).cast("string")).alias("query_key"))
+        late = self.counted.where(F.unix_seconds("at") > F.unix_seconds(at) - self.config.round_seconds)
+        again = keyed.join(late.select("session_id", "query_key"), ["session_id", "query_key"], "left_semi").select(*FILE_KEYS, "query_key")
+        fresh = self._write("rounds", keyed.exceptAll(again).distinct())
+        hit = keyed.select(*FILE_KEYS).distinct().withColumn("__hit", F.lit(True))
+        counts = fresh.select(*FILE_KEYS).distinct().withColumn("__counts", F.lit(1))
+        rows = self.files.join(hit, FILE_KEYS, "left").join(counts, FILE_KEYS, "left")
+        rows = rows.withColumn("rounds", F.col("rounds") + F.coalesce("__counts", F.lit(0)))
+        rows = rows.withColumn("last_used", F.when(F.col("__hit"), at).otherwise(F.col("last_used")))
         self.files = self._write("files", rows.select(*self.files.columns))
+        new = fresh.where("query_key is not null").select("session_id", "query_key", at.alias("at")).distinct()
+        self.counted = self._write("counted", late.unionByName(new))
 
     def embed_queries(self, queries: DataFrame) -> DataFrame:
         return queries.join(index.embed(queries, ["query_id"], self.embedder, batch=self.config.embed_batch), "query_id")
@@ -96,14 +136,57 @@ class Engine:
         """query_id, file_name, chunk_index, text, score, source, rank of questions (query_id, text) to one session."""
         c, mine = self.config, F.col("session_id") == session_id
         asked = self.embed_queries(queries)
+        use_lexical = (c.hybrid or not use_vector) and self._lexical_fits(session_id)
         hits = retrieve.hybrid(
             self.chunks.where(mine), self.vectors.where(mine), CHUNK_KEYS, asked, candidates=c.candidates, rrf_k=c.rrf_k, min_score=c.min_score,
-            min_ratio=c.min_ratio, top_k=c.top_k, use_lexical=c.hybrid or not use_vector, use_vector=use_vector,
+            min_ratio=c.min_ratio, top_k=c.top_k, use_lexical=use_lexical, use_vector=use_vector,
         )
         return hits.join(self.chunks.where(mine), CHUNK_KEYS)
 
-    def context(self, queries: DataFrame, session_id: str) -> DataFrame:
-        """query_id, mode, context: all texts where they fit, else the hits by file."""
+    def _lexical_fits(self, session_id: str) -> bool:
+        """Whether the session's tokens and postings are within its own limits and what others leave of the overall one."""
+        c, own = self.config, F.col("session_id") == session_id
+        sums = self.chunks.agg(
+            *(F.coalesce(F.sum(F.when(who, F.col(n))), F.lit(0)).alias(a) for who, n, a in ((own, "n_tokens", "mine"), (~own, "n_tokens", "others"), (own, "n_postings", "postings")))
+        )
+        most = index.lexical_allowance(F.col("mine"), F.col("others"), c.lexical_tokens, c.lexical_global_tokens)
+        fits = (F.lit(not (c.lexical_tokens or c.lexical_global_tokens)) | (F.col("mine") <= most)) & (F.lit(not c.lexical_postings) | (F.col("postings") <= c.lexical_postings))
+        return sums.select(fits).first()[0]
+
+    def resolve(self, requests: DataFrame) -> DataFrame:
+        """request_id, asked, session_id: the asked session if it has files, else the only one that has."""
+        return session.resolve(requests, self.files)
+
+    def questions(self, turns: DataFrame, conversation: str = "conv_id") -> DataFrame:
+        """query_id (the conversation), text: what its user said last, with the question before it where it leans on that."""
+        if not self.config.rewrite_queries:
+            return retrieve.last_user_query(turns, conversation).withColumnRenamed(conversation, "query_id")
+        said = retrieve.rewritten(turns.where("role = 'user'"), conversation)
+        return said.groupBy(F.col(conversation).alias("query_id")).agg(F.max_by("query", "turn").alias("text"))
+
+    def context(self, queries: DataFrame, session_id: str, now=None, injected: DataFrame | None = None) -> DataFrame:
+        """query_id, mode, context: all texts where they fit, else the hits by file.
+
+        With `now`, answers of the last `memo_seconds` are given again, and new ones are kept.  injected (query_id, item_id,
+        text): what a question has been given already; where that holds a context, none is added.
+        """
+        if injected is not None:
+            had = session.already_injected(injected).where("injected").select("query_id")
+            queries = queries.join(had, "query_id", "left_anti")
+        if now is None or not self.config.memo_seconds:
+            return self._context(queries, session_id)
+        at = F.lit(now).cast("timestamp")
+        young = self.memo.where((F.col("session_id") == session_id) & (F.unix_seconds(at) - F.unix_seconds("at") <= self.config.memo_seconds))
+        asked = queries.select("query_id", F.col("text").alias("query"))
+        known = asked.join(young.select("query", "mode", "context"), "query")
+        new = self._context(queries.join(known.select("query_id"), "query_id", "left_anti"), session_id).join(asked, "query_id")
+        out = self._write("answers", known.select("query_id", "query", "mode", "context", F.lit(False).alias("new")).unionByName(new.select("query_id", "query", "mode", "context", F.lit(True).alias("new"))).withColumn("session_id", F.lit(session_id)))
+        fresh = out.where("new").groupBy("session_id", "query").agg(F.min("mode").alias("mode"), F.min("context").alias("context")).withColumn("at", at)
+        old = self.memo.where(F.unix_seconds(at) - F.unix_seconds("at") <= self.config.memo_seconds)
+        self.memo = self._write("memo", old.unionByName(fresh.select(*self.memo.columns)))
+        return out.select("query_id", "mode", "context")
+
+    def _context(self, queries: DataFrame, session_id: str) -> DataFrame:
         mine = self.files.where(F.col("session_id") == session_id)
         whole = session.direct_text(mine, "session_id", self.config.direct_limit).limit(1)
         if whole.count():
@@ -114,6 +197,47 @@ class Engine:
         out = files.groupBy("query_id").agg(F.array_join(F.transform(items, lambda x: x["t"]), "\n").alias("context"))
         return out.select("query_id", F.lit("retrieved").alias("mode"), "context")
 
+    def accepted(self, triggers: DataFrame, tie: str = "event_id") -> DataFrame:
+        """triggers (session_id, ident, ts) that start work: none within `dedup_seconds` of the last that did."""
+        return state.greedy_window(triggers, ["session_id", "ident"], "ts", self.config.dedup_seconds, tie)
+
+    def checked_links(self, links: DataFrame) -> DataFrame:
+        """links (url) with the reason against fetching each by the download policy, and what the sender is told."""
+        c = self.config
+        reason = F.lit(None).cast("string") if c.download_policy == "off" else urls.reject_reason(F.col("url"), c.download_policy, urls.host_list(F.lit(c.allowed_hosts)))
+        return links.withColumn("reason", reason).withColumn("reply", urls.reply(F.col("reason")))
+
+    def checked_media(self, incoming: DataFrame, time: str = "upload_time") -> DataFrame:
+        """Sound and video files (file_name, content) with kind, seconds and the reason against sending each to a model."""
+        c, ext = self.config, media.extension(F.col("file_name"))
+        rows = incoming.withColumn("kind", media.media_kind(ext)).where("kind in ('audio', 'video')").withColumn("seconds", media.duration(F.col("content")))
+        size, seconds = F.length("content"), F.col("seconds")
+        reason = F.when(F.col("kind") == "audio", media.audio_reject(ext, size, seconds, c.audio_bytes, c.audio_seconds))
+        rows = rows.withColumn("reason", reason.otherwise(media.video_reject(ext, size, seconds, c.video_bytes, c.video_seconds)))
+        fine = state.daily_quota(rows.where("kind = 'video' and reason is null"), time, "file_name", c.video_per_day)
+        fine = fine.withColumn("reason", F.when(~F.col("admitted"), F.lit("quota"))).drop("day", "place", "admitted")
+        return rows.where("kind = 'audio' or reason is not null").unionByName(fine)
+
+    def summary_inputs(self) -> DataFrame:
+        """What summaries are made from: samples of the files of sessions that don't fit in full."""
+        large = session.direct_fits(self.files, "session_id", self.config.direct_limit).where("not direct").select("session_id")
+        rows = self.files.join(large, "session_id", "left_semi")
+        return rows.select(*FILE_KEYS, T.sample_for_summary(F.col("text"), self.config.summary_chars).alias("sample"))
+
+    def failures(self, now) -> DataFrame:
+        """session_id, file_name, error: the newest refusals of each session, young enough; what is given once is not given again."""
+        c = self.config
+        new = state.notices(self.errors, "session_id", "file_name", "upload_time", "conversation_id", F.lit(now), ttl=c.notice_seconds, most=c.notices_per_session)
+        given = self._write("notices", new.select(*self.errors.columns))
+        self.errors = self._write("errors", index.remove_files(self.errors, given.where(~F.col("error").isin(*PASSING)), FILE_KEYS))
+        return given.select("session_id", "file_name", "error")
+
+    def due_retries(self, now) -> DataFrame:
+        """Files whose refusal may pass, with the attempt that is due."""
+        c, failed = self.config, self.errors.where(F.col("error").isin(*PASSING))
+        plan = state.retry_schedule(failed, FILE_KEYS, "upload_time", first_seconds=c.retry_first_seconds, minutes=c.retry_minutes, most=c.retry_max)
+        return plan.where(F.col("due") <= F.lit(now).cast("timestamp")).groupBy(*FILE_KEYS).agg(F.max("attempt").alias("attempt"))
+
     def announce(self) -> DataFrame:
         """What each conversation holds, in a line."""
         return session.announced(self.files, ["session_id", "conversation_id"])

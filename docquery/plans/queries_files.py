@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from docquery.functions import media, urls
@@ -9,7 +10,7 @@ from docquery.functions import text as T
 from docquery.operators import chunk, session, state
 from docquery.plans.queries_index import table
 from docquery.plans.scratch import new_folder
-from docquery.sources import files, formats, messages
+from docquery.sources import archives, files, formats, messages
 from docquery.streaming import stateful
 
 QUERIES: dict = {}
@@ -225,6 +226,56 @@ def acquire_source(spark, sf_dir):
     return found.select("doc_id", "channel")
 
 
+def _le(n, width):
+    """A whole number as `width` little-endian bytes."""
+    return F.unhex(F.concat(*(F.lpad(F.hex(F.shiftright(n, 8 * k).bitwiseAND(255)), 2, "0") for k in range(width))))
+
+
+def _be(n, width):
+    return F.unhex(F.lpad(F.hex(n), 2 * width, "0"))
+
+
+@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN strlen(text) / 8000.0::DOUBLE WHEN 1 THEN n_chars / 600.0::DOUBLE WHEN 2 THEN n_chars * 40000 / 1000000.0::DOUBLE END AS seconds FROM documents WHERE n_chars > 0""")
+def media_durations(spark, sf_dir):
+    """Documents' bytes as sound files, and heads of videos of their length: MP4, AVI and one that states none."""
+    raw, lit = F.encode("text", "utf-8"), lambda x: F.lit(bytearray(x))
+    n, k = F.col("n_chars").cast("long"), F.col("doc_id") % 4
+    size = F.octet_length("text").cast("long")
+    wav = F.concat(lit(b"RIFF"), _le(size + 36, 4), lit(b"WAVEfmt \x10\0\0\0\x01\0\x01\0"), _le(F.lit(8000), 4), _le(F.lit(8000), 4), lit(b"\x01\0\x08\0data"), _le(size, 4), raw)
+    mp4 = F.concat(lit(b"\0\0\0\x10ftypisom\0\0\0\0\0\0\0\x24moov\0\0\0\x1cmvhd" + bytes(12)), _be(F.lit(600), 4), _be(n, 4))
+    avi = F.concat(lit(b"RIFF\0\0\0\0AVI LIST\0\0\0\0hdrlavih\x38\0\0\0"), _le(F.lit(40_000), 4), lit(bytes(12)), _le(n, 4), lit(bytes(36)))
+    content = F.when(k == 0, wav).when(k == 1, mp4).when(k == 2, avi).otherwise(F.concat(lit(b"\x1a\x45\xdf\xa3"), raw))
+    return table(spark, sf_dir, "documents").where("n_chars > 0").select("doc_id", media.duration(content).alias("seconds"))
+
+
+_KINDS = ("docx", "odt", "pptx", "ipynb", "csv", "txt.gz", "xlsx", "eml")
+
+
+def _packed(text, kind):
+    """A text's lines as a file of the kind: a small builder for the query below."""
+
+    @F.pandas_udf("binary")
+    def built(texts: pd.Series, kinds: pd.Series) -> pd.Series:
+        return pd.Series([archives.build(t or "", k) for t, k in zip(texts, kinds)], dtype=object)
+
+    return built(text, kind)
+
+
+_LINES = "list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' \t\r')), lambda x: x <> '')"
+
+
+@query(f"""WITH d AS (SELECT doc_id, array_to_string({_LINES}, chr(10)) AS body, doc_id % 8 AS k FROM documents WHERE trim(text, ' \t\n\r') <> '')
+SELECT doc_id, (['docx', 'odt', 'pptx', 'ipynb', 'csv', 'txt', 'xlsx', 'eml'])[(k + 1)::INT] AS format, md5(CASE k WHEN 2 THEN '=== 幻灯片 1 ===' || chr(10) || body WHEN 3 THEN '[md] ' || body
+ WHEN 6 THEN '=== S ===' || chr(10) || body WHEN 7 THEN '主题：doc ' || doc_id || chr(10) || chr(10) || body ELSE body END) AS text_md5, NULL::VARCHAR AS error FROM d""")
+def parse_archives(spark, sf_dir):
+    """Documents' lines packed as office files, notebooks, tables, mails and archives, and read back."""
+    body = F.array_join(F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x, F.lit(" \t\r"))), lambda x: x != ""), "\n")
+    kind = _pick(_KINDS, F.col("doc_id"))
+    docs = table(spark, sf_dir, "documents").where(F.trim("text", F.lit(" \t\n\r")) != "")
+    rows = docs.select("doc_id", _packed(F.when(kind == "eml", F.concat(F.lit("doc "), F.col("doc_id").cast("string"), F.lit("\n"), body)).otherwise(body), kind).alias("content"), F.concat(F.lit("f."), kind).alias("file_name"))
+    return formats.parse_files(rows, ["doc_id"]).select("doc_id", "format", F.md5("text").alias("text_md5"), "error")
+
+
 # -- messages --------------------------------------------------------------------------------------
 
 
@@ -239,6 +290,18 @@ def parse_hints(spark, sf_dir):
     return messages.hints(rows, ["doc_id"])
 
 
+@query("""SELECT doc_id, 'doc ' || doc_id || '.txt' AS name, n_chars AS size_hint, true AS marked FROM documents WHERE doc_id % 2 = 0
+UNION ALL SELECT doc_id, NULL, NULL, false FROM documents WHERE doc_id % 2 <> 0""")
+def first_hints(spark, sf_dir):
+    """The first of several hints in a message made of each document, and whether the whole message looks like one with a file."""
+    n = F.col("doc_id").cast("string")
+    hint = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("[文件] doc "), n, F.lit(".txt，大小: "), F.col("n_chars").cast("string"), F.lit("\n[文件] other.txt"))).otherwise("said in passing")
+    rows = table(spark, sf_dir, "documents").select("doc_id", hint.alias("hint"))
+    found = messages.first_hint(rows, ["doc_id"], "hint")
+    marked = rows.select("doc_id", messages.looks_like_file(F.col("hint")).alias("marked"))
+    return marked.join(found, "doc_id", "left").select("doc_id", "name", "size_hint", "marked")
+
+
 def _message_bodies(spark, sf_dir):
     """A JSON message per conversation with a file segment per turn."""
     data = F.struct(F.concat(F.lit("dir/t"), F.col("turn").cast("string"), F.lit(".txt")).alias("file"), F.length("text").cast("string").alias("file_size"), F.concat("conv_id", F.lit("-"), "turn").alias("file_id"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from docquery.functions import text as T
 from docquery.functions.media import base_name
+from docquery.operators.keys import join_on
 
 KINDS = ("file", "attachment", "video")
 #: Marks of a file or video in a message's plain text (fixed values).
@@ -23,7 +24,7 @@ SEGMENT = (
 )
 _FIELDS = [x.strip().split()[0] for x in SEGMENT.split(",")]
 _SEGMENTS = f"array<struct<{', '.join(':'.join(x.split()) for x in SEGMENT.split(', '))}, data: struct<{', '.join(':'.join(x.split()) for x in SEGMENT.split(', '))}>>>"
-_PLACES = ("$.segments", "$.message_chain", "$.content", "$.message", "$.raw_message", "$.raw_message.file", "$.raw_message.attachment", "$.raw_message.files", "$.raw_message.message")
+_PLACES = ("$.segments", "$.message_chain", "$.content", "$.message", "$.raw_message", "$.raw_message.file", "$.raw_message.attachment", "$.raw_message.files", "$.raw_message.message", "$.data.message")
 
 
 def filled(col: Column) -> Column:
@@ -93,19 +94,38 @@ def hints(messages: DataFrame, keys: list[str], plain: str = "plain") -> DataFra
     return out.where("name <> ''")
 
 
+def first_hint(messages: DataFrame, keys: list[str], plain: str = "plain") -> DataFrame:
+    """keys, line, name, size_hint, url of the first hint of each message that has one."""
+    rest = ("line", "name", "size_hint", "url")
+    found = hints(messages, keys, plain).groupBy(*keys).agg(F.min_by(F.struct(*rest), "line").alias("h"))
+    return found.select(*keys, *(F.col(f"h.{c}").alias(c) for c in rest))
+
+
 def match_segments(asked: DataFrame, segs: DataFrame, message: str = "message_id") -> DataFrame:
     """asked (message, hint_id, name, size_hint) with pos and mode of the segment (message, pos, name, size) that is meant.
 
     Equal names win, sizes exclude; several are ambiguous; a lone one of the right size is taken for any name; else the first.
+    Segments are counted by name and size, by either and in all, and a hint looks up at most five of these counts: no hint meets every segment.
     """
-    pairs = asked.select(message, "hint_id", F.lower(base_name(F.col("name"))).alias("__want"), F.coalesce("size_hint", F.lit(0)).alias("__hint"))
-    seg = segs.select(F.col(message).alias("__m"), "pos", F.lower(base_name(F.col("name"))).alias("__name"), F.coalesce("size", F.lit(0)).alias("__size"))
-    pairs = pairs.join(seg, F.col(message) == F.col("__m"), "left")
-    fits = ~((F.col("__hint") > 0) & (F.col("__size") > 0) & (F.col("__size") != F.col("__hint"))) & F.col("pos").isNotNull()
-    named = fits & ((F.col("__want") == "") | (F.col("__want") == F.col("__name")))
-    out = pairs.groupBy(message, "hint_id").agg(
-        F.count_if(named).alias("n"), F.count_if(fits).alias("s"), F.min(F.when(named, F.col("pos"))).alias("at"),
-        F.min(F.when(fits, F.col("pos"))).alias("sized"), F.min("pos").alias("first"), F.max("__hint").alias("hint"),
+    known = lambda c: F.greatest(F.coalesce(c, F.lit(0)), F.lit(0)).cast("long")
+    each = segs.select(message, "pos", F.lower(base_name(F.col("name"))).alias("__name"), known(F.col("size")).alias("__size"))
+    each = each.groupBy(message, "__name", "__size").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
+    sums = each
+    for by in (["__name"], ["__size"], []):  # null stands for any
+        part = each.groupBy(message, *by).agg(F.sum("n").alias("n"), F.min("pos").alias("pos"))
+        any_ = {"__name": F.lit(None).cast("string"), "__size": F.lit(None).cast("long")}
+        sums = sums.unionByName(part.select(message, "n", "pos", *(c if c in by else any_[c].alias(c) for c in any_)))
+    want, hint = F.nullif(F.lower(base_name(F.col("name"))), F.lit("")), known(F.col("size_hint"))
+    look = lambda kind, name, size: F.struct(F.lit(kind).alias("kind"), name.cast("string").alias("__name"), size.cast("long").alias("__size"))
+    none = F.lit(None)
+    sized = [look(kind, name, size) for kind, name in (("named", want), ("fits", none)) for size in (hint, F.lit(0))]
+    keys = F.concat(F.array(look("all", none, none)), F.when(hint > 0, F.array(*sized)).otherwise(F.array(look("named", want, none), look("fits", none, none))))
+    rows = asked.select(message, "hint_id", hint.alias("hint"), F.explode(keys).alias("k")).select(message, "hint_id", "hint", "k.*")
+    rows = join_on(rows, sums, [message, "__name", "__size"], "left")
+    of = lambda kind, f, c: f(F.when(F.col("kind") == kind, F.col(c)))
+    out = rows.groupBy(message, "hint_id").agg(
+        F.coalesce(of("named", F.sum, "n"), F.lit(0)).alias("n"), F.coalesce(of("fits", F.sum, "n"), F.lit(0)).alias("s"), of("named", F.min, "pos").alias("at"),
+        of("fits", F.min, "pos").alias("sized"), of("all", F.min, "pos").alias("first"), F.max("hint").alias("hint"),
     )
     mode = F.when(F.col("first").isNull(), "none").when(F.col("n") > 1, "ambiguous").when(F.col("n") == 1, "name")
     mode = mode.when((F.col("hint") > 0) & (F.col("s") == 1), "size").otherwise("fallback")

@@ -130,3 +130,48 @@ def test_boundaries(spark):
     aged = spark.createDataFrame([(T0, None, 0), (T0, T0 + dt.timedelta(seconds=5), 3)], "upload_time timestamp, last_used timestamp, rounds int")
     got = state.expired(aged, F.lit(T0 + dt.timedelta(seconds=10)), retention=10, max_rounds=3).orderBy("rounds").collect()
     assert [r.expiry for r in got] == [None, "rounds"]
+
+
+def test_settings_act(spark, tmp_path):
+    """Limits, budgets, memo, rounds, notices, retries, links, media and questions follow the configuration."""
+    at = lambda m: T0 + dt.timedelta(minutes=m)
+    text = b"apples and pears are fruit. " * 20
+    files_in = incoming(spark, ("s", "a.txt", text, 0), ("s", "b.txt", text + b"more", 1), ("s", "c.txt", b"small", 2), ("s", "long.txt", b"x" * 3000, 3))
+    e = Engine(spark, str(tmp_path / "1"), EngineConfig(chunk_size=60, chunk_overlap=10, direct_limit=100, min_score=0.0, data_budget_bytes=700, text_chars=2000))
+    assert {r.file_name: r.error.split(" ")[0] for r in e.ingest(files_in).collect()} == {"b.txt": "data_budget", "long.txt": "3000"}
+    assert {(r.file_name, r.attempt) for r in e.due_retries(at(6)).collect()} == {("b.txt", 3)}
+    assert {r.file_name for r in e.failures(at(5)).collect()} == {"b.txt", "long.txt"} and {r.file_name for r in e.failures(at(5)).collect()} == {"b.txt"}
+    assert e.failures(at(50)).count() == 0
+
+    asked = spark.createDataFrame([(1, "pears fruit")], "query_id int, text string")
+    first = e.context(asked, "s", now=at(5)).first().context
+    chunks, e.chunks = e.chunks, e.chunks.where("false")
+    assert e.context(asked, "s", now=at(6)).first().context == first  # from the memo
+    e.chunks = chunks
+    assert e.memo.count() == 1 and e.context(asked, "s", now=at(9)).first().context == first and e.memo.count() == 1
+    e.ingest(incoming(spark, ("s", "d.txt", b"tiny", 10)))
+    assert e.memo.count() == 0
+    given = spark.createDataFrame([(1, "docquery:doc:1", "x")], "query_id int, item_id string, text string")
+    assert e.context(asked, "s", injected=given).count() == 0
+
+    used = e.files.where("file_name = 'a.txt'").select("session_id", "conversation_id", "file_name", F.lit("q").alias("query_key"))
+    for minute, rounds in ((20, 1), (21, 1), (23, 2)):
+        e.touch(used, at(minute))
+        assert e.files.where("file_name = 'a.txt'").first().rounds == rounds
+    assert [r.sample for r in e.summary_inputs().where("file_name = 'c.txt'").collect()] == ["small"]
+
+    lexical = {r.source for r in e.search(asked, "s").collect()}
+    poor = Engine(spark, str(tmp_path / "2"), EngineConfig(chunk_size=60, chunk_overlap=10, min_score=0.0, lexical_tokens=5))
+    poor.ingest(files_in)
+    assert "both" in lexical and {r.source for r in poor.search(asked, "s").collect()} == {"vector"}
+
+    turns = spark.createDataFrame([(1, 1, "user", "what does the report say about apples"), (1, 2, "user", "它呢")], "conv_id int, turn int, role string, text string")
+    plain = Engine(spark, str(tmp_path / "3"), EngineConfig(rewrite_queries=False, download_policy="off", dedup_seconds=60, video_per_day=1))
+    assert e.questions(turns).first().text.endswith("apples 它呢") and plain.questions(turns).first().text == "它呢"
+    links = spark.createDataFrame([("https://elsewhere.example/x",)], "url string")
+    assert e.checked_links(links).first().reply == "the link's host is not allowed" and plain.checked_links(links).first().reason is None
+    events = spark.createDataFrame([("s", "f", i, T0 + dt.timedelta(seconds=20 * i)) for i in range(4)], "session_id string, ident string, event_id int, ts timestamp")
+    assert e.accepted(events).count() == 4 and plain.accepted(events).count() == 2
+    mp4 = bytes.fromhex("00000010") + b"ftypisom" + bytes(4) + bytes.fromhex("00000024") + b"moov" + bytes.fromhex("0000001c") + b"mvhd" + bytes(12) + (600).to_bytes(4, "big") + (6000).to_bytes(4, "big")
+    clips = incoming(spark, ("s", "a.mp4", mp4, 0), ("s", "b.mp4", mp4, 1), ("s", "c.mp4", b"", 2), ("s", "d.txt", b"x", 3))
+    assert {r.file_name: (r.seconds, r.reason) for r in plain.checked_media(clips).collect()} == {"a.mp4": (10.0, None), "b.mp4": (10.0, "quota"), "c.mp4": (None, "empty")}

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docquery.functions import media, urls
+from docquery.operators import session
 from docquery.sources import files, formats, messages
 
 
@@ -190,3 +191,49 @@ def test_scan(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes(b"123")
     assert files.find(spark, str(tmp_path), "a.txt", 5).first().path.endswith("d/a.txt")
     assert files.scan(spark, str(tmp_path), most=4).count() == 1
+
+
+def test_durations():
+    """Both forms of a movie header, sound headers, and what is cut off or unknown."""
+    box = lambda name, body: (len(body) + 8).to_bytes(4, "big") + name + body
+    head = box(b"ftyp", b"isom\0\0\0\0")
+    short = bytes(12) + (1000).to_bytes(4, "big") + (2500).to_bytes(4, "big")
+    long = b"\1" + bytes(19) + (1000).to_bytes(4, "big") + (90_000).to_bytes(8, "big")
+    movie = lambda mvhd: head + box(b"free", b"x" * 9) + box(b"moov", box(b"mvhd", mvhd))
+    assert media.seconds_of(movie(short)) == 2.5 and media.seconds_of(movie(long)) == 90.0
+    assert media.seconds_of(movie(bytes(12) + (1000).to_bytes(4, "big") + b"\xff" * 4)) is None and media.seconds_of(movie(short)[:-10]) is None
+    flac = b"fLaC\0\0\0\x22" + bytes(10) + (44_100 << 44 | 1 << 41 | 15 << 36 | 88_200).to_bytes(8, "big")
+    assert media.seconds_of(flac) == 2.0
+    wav = b"RIFF\0\0\0\0WAVE" + b"LIST\x03\0\0\0abc\0" + b"fmt \x10\0\0\0" + bytes(8) + (100).to_bytes(4, "little") + bytes(4) + b"data" + (250).to_bytes(4, "little")
+    assert media.seconds_of(wav) == 2.5
+    for broken in (b"", None, b"RIFF", b"\x1a\x45\xdf\xa3" + bytes(20), head, b"RIFF\0\0\0\0AVI " + bytes(30)):
+        assert media.seconds_of(broken) is None
+
+
+def test_matching_many_segments(spark):
+    """Every mode, and a message with thousands of segments and hints."""
+    segs = [("m", n, f"dir/F{n}.txt", n % 7) for n in range(3000)] + [("a", 0, "x.txt", 5), ("a", 1, "x.txt", 5), ("b", 3, "y.txt", 9), ("b", 4, "z.txt", 4), (None, 1, "n.txt", 0)]
+    asked = [("m", n, f"f{n}.TXT", n % 7) for n in range(3000)] + [("a", 1, "x.txt", 5), ("b", 1, "other", 9), ("b", 2, "other", 8), ("b", 3, "", 4), ("c", 1, "x", 0), (None, 1, "N.txt", 3)]
+    got = messages.match_segments(
+        spark.createDataFrame(asked, "message_id string, hint_id int, name string, size_hint int"), spark.createDataFrame(segs, "message_id string, pos int, name string, size int")
+    )
+    rows = {(r.message_id, r.hint_id): (r.pos, r.mode) for r in got.collect()}
+    assert all(rows["m", n] == (n, "name") for n in range(3000))
+    assert rows["a", 1] == (0, "ambiguous") and rows["b", 1] == (3, "size") and rows["b", 2] == (3, "fallback") and rows["b", 3] == (4, "name")
+    assert rows["c", 1] == (None, "none") and rows[None, 1] == (1, "name")
+
+
+def test_message_helpers(spark):
+    bodies = [(1, '{"message_info": {"session_id": "k"}}', ["text"]), (2, '{"stream_id": "t"}', ["File"]), (3, "{}", None)]
+    rows = spark.createDataFrame(bodies, "id int, body string, types array<string>")
+    got = rows.select("id", messages.session_key(F.col("body")).alias("k"), messages.looks_like_file(F.lit("hi"), F.col("types")).alias("f")).collect()
+    assert {r.id: (r.k, r.f) for r in got} == {1: ("k", False), 2: ("t", True), 3: ("", False)}
+    raw = spark.createDataFrame([(1, '{"data": {"message": [{"type": "file", "data": {"file_id": "9", "name": "q"}}]}}')], "id int, body string")
+    assert messages.file_records(messages.segments(raw, ["id"]), ["id"]).first().file_id == "9"
+    assert spark.range(1).select(media.text_kind(F.lit("【音频理解】x")), media.text_kind(F.lit("x"))).first()[:] == ("audio", "document")
+
+
+def test_parsing_notice(spark):
+    rows = spark.createDataFrame([("s", "a", 1000), ("s", "b", 1050), (None, "c", 100), ("old", "d", -20_000)], "session_id string, file_name string, started long")
+    got = {r.session_id: (r.listed, r.waited) for r in session.parsing_notice(rows, F.lit(1080)).collect()}
+    assert got == {"s": ("《a》、《b》", "80 秒"), None: ("《c》", "16 分钟")}
