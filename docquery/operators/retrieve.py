@@ -121,10 +121,11 @@ def hybrid(
     min_score: float = 0.15, min_ratio: float = 0.5, top_k: int = 6, use_lexical: bool = True, use_vector: bool = True,
 ) -> DataFrame:
     """Both arms, fused, gated, cut to top_k. queries: query_id, text, embedding (null: lexical only)."""
-    none = lambda like: like.limit(0)
-    vec = cosine_top_k(vectors, keys, queries.where("embedding is not null"), candidates)
-    lex = bm25(chunks, keys, queries.select("query_id", "text"), candidates)
-    fused = rrf(vec if use_vector else none(vec), lex if use_lexical else none(lex), keys, rrf_k)
+    kind = queries.schema["query_id"].dataType
+    none = chunks.where(F.lit(False)).select(F.lit(None).cast(kind).alias("query_id"), *keys, F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
+    vec = cosine_top_k(vectors, keys, queries.where("embedding is not null"), candidates) if use_vector else none
+    lex = bm25(chunks, keys, queries.select("query_id", "text"), candidates) if use_lexical else none
+    fused = rrf(vec, lex, keys, rrf_k)
     return ranked(gate(fused, min_score, min_ratio), keys, top_k)
 
 
