@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquery.llm import bpe_count, langid, matroska, mixing, packing, quality, secrets, sharding, simhash, toxicity
+from docquery.llm import bestfit, bpe_count, langid, matroska, mixing, packing, quality, secrets, sharding, simhash, toxicity, whitening
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,8 +81,24 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings whitened on their four largest components."""
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bulk-synchronous best-fit packing of all documents into windows of 2048 tokens."""
+    return bestfit.best_fit(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_simhash, op3_token_counts, op4_quality, op5_toxicity, op6_language, op7_matroska, op8_secrets, op9_pack, op10_shards)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_mix_sources, op2_simhash, op3_token_counts, op4_quality, op5_toxicity, op6_language, op7_matroska, op8_secrets, op9_pack, op10_shards,
+            op11_whiten, op12_best_fit,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:
