@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquery.llm import bestfit, bpe_count, langid, matroska, mixing, packing, quality, secrets, sharding, simhash, toxicity, whitening
+from docquery.llm import bestfit, bpe_count, langid, matroska, mixing, packing, phrases, quality, secrets, sharding, simhash, toxicity, whitening
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,18 +91,44 @@ def op12_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bestfit.best_fit(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of each language over all documents."""
+    return phrases.mine(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
             op1_mix_sources, op2_simhash, op3_token_counts, op4_quality, op5_toxicity, op6_language, op7_matroska, op8_secrets, op9_pack, op10_shards,
-            op11_whiten, op12_best_fit,
+            op11_whiten, op12_best_fit, op13_phrases,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL, "op4_quality": OP4_SQL, "op8_secrets": OP8_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op4_quality": OP4_SQL, "op8_secrets": OP8_SQL, "op13_phrases": OP13_SQL}
+
+
+#: All phrases of one to four words, the cuts of the frequent ones, and what longer ones hold.
+OP13_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i : i + k - 1], ' '))) AS phrase FROM w, (VALUES (1), (2), (3), (4)) x(k) WHERE len(ws) >= k),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS n FROM g GROUP BY ALL HAVING count(*) >= 30),
+total AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+cut AS (SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS ws, unnest(range(1, k)) AS c1 FROM f WHERE k > 1),
+part AS (SELECT c.lang, c.k, c.phrase, c.a, c.c1, x.n AS l, y.n AS r, ((2000000::HUGEINT * c.a) // (x.n + y.n))::BIGINT AS score
+         FROM cut c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[1 : c.c1], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[c.c1 + 1 :], ' ')),
+best AS (SELECT * FROM part QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c1) = 1),
+sub AS (SELECT lang, n, string_split(phrase, ' ') AS ws, k, unnest(range(2, k)) AS size FROM f WHERE k > 2),
+held AS (SELECT lang, unnest(list_transform(range(1, k - size + 2), lambda i: array_to_string(ws[i : i + size - 1], ' '))) AS phrase, n FROM sub),
+most AS (SELECT lang, phrase, max(n) AS n FROM held GROUP BY ALL),
+kept AS (SELECT b.* FROM best b LEFT JOIN most m ON m.lang = b.lang AND m.phrase = b.phrase WHERE m.n IS NULL OR 100::HUGEINT * m.n < 80::HUGEINT * b.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, total.n AS n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
 
 
 #: Closed form of the water level: sources fill up in order of limit by weight.
@@ -172,10 +198,12 @@ OP8_SQL = _op8_sql()
 
 
 def _op4_sql() -> str:
-    per = lambda part, whole: f"greatest(1, ({part} + 1) * 1000000 // ({whole} + 1))::BIGINT"
+    per = lambda part, rest: f"greatest(1, ({part} + 1) * 1000000 // (greatest(0, {rest}) + 1))::BIGINT"
+    mean = f"((coalesce(dup, 0)::DOUBLE + {quality.MEAN_LINES} * (all_dup / all_lines)) / (coalesce(lines, 0)::DOUBLE + {quality.MEAN_LINES}))"
     measures = {
-        "symbols": per("n_symbols", "word_chars"), "capitals": per("n_capitals", "word_chars"), "dup_lines": per("n_dup_lines", "n_lines"),
-        "repeats": per("n_repeat_words", "n_words"), "word_length": per("word_chars", "n_words"),
+        "symbols": per("n_symbols", "word_chars - n_symbols"), "capitals": per("n_capitals", "word_chars - n_capitals"),
+        "dup_lines": f"greatest(1, floor(1000000::DOUBLE * (n_dup_lines + {quality.PRIOR_LINES} * {mean}) / (n_lines - n_dup_lines + 1)::DOUBLE)::BIGINT)",
+        "repeats": per("2 * n_repeat_words", "n_words - 2 * n_repeat_words"), "word_length": per("word_chars", "n_words"),
     }
     fence = lambda start, step: "CASE m " + " ".join(f"WHEN '{m}' THEN {start}::DOUBLE{f' {step} ratio' * reach}" for m, (reach, _) in quality.MEASURES.items()) + " END"
     both = ", ".join(f"'{m}'" for m, (_, below) in quality.MEASURES.items() if below)
@@ -195,7 +223,10 @@ f AS (SELECT t.doc_id, lang, source, len(regexp_extract_all(text, '[^\x20\x09-\x
         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_capitals, len(ls) AS n_lines,
         (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words
       FROM t JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)),
-b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {", ".join(f"{x} AS {m}" for m, x in measures.items())} FROM f),
+z AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
+zs AS (SELECT lang AS zl, source AS zs, sum(n_dup_lines)::BIGINT AS dup, sum(n_lines)::BIGINT AS lines FROM z WHERE NOT base_failed GROUP BY ALL),
+za AS (SELECT coalesce(sum(dup), 0)::DOUBLE AS all_dup, coalesce(sum(lines), 1)::DOUBLE AS all_lines FROM zs),
+b AS (SELECT z.*, {", ".join(f"{x} AS {m}" for m, x in measures.items())} FROM z LEFT JOIN zs ON lang IS NOT DISTINCT FROM zl AND source IS NOT DISTINCT FROM zs.zs, za),
 v AS ({longer}),
 s AS (SELECT lang, source, m, greatest(length(bin(v)) - 6, 0) * 64 + (v >> greatest(length(bin(v)) - 6, 0)::INT) AS place, count(*) AS n FROM v WHERE NOT base_failed GROUP BY ALL),
 q1 AS ({marks("lang, source,", "SELECT * FROM s")}),
