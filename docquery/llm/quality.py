@@ -1,18 +1,21 @@
 """Quality rules with thresholds that adapt to language and source.
 
-Each document has rates per million: symbols, capitals and word characters,
-repeated lines, words in repeated three-word windows, characters a word.
-Rates are smoothed, (count + 1) / (whole + 1), so that even a measure that most
-documents lack has a spread: that of their lengths.  The distribution of a rate is
-kept per language and source as a quantile sketch: counts of logarithmic
+Each document has five measures, kept per million as whole numbers.  Four are odds, part / rest, so that every fence lies where a
+text can be: symbols and capitals among word characters, repeated lines among lines, and words in repeated three-word
+windows among half the words (the base rule takes those above half).  The fifth is characters a word.  Counts are
+smoothed by one, so that even a measure that most documents lack has a spread: that of their lengths.  Lines are few, so one more
+repeated line would say how short a text is; they are smoothed by PRIOR_LINES lines at the mean of the group (documents with
+a repeated line, per line: one bad document moves it little), itself drawn to the mean of all by MEAN_LINES lines.
+
+The distribution of a measure is kept per language and source as a quantile sketch: counts of logarithmic
 buckets of relative width 1/32.  Sketches merge by adding counts, in any order,
 so a source with few documents falls back on its language's sketch and that on
 the sketch of all, and a rerun gives the same thresholds.
 
 The fence is set on the sketch's own logarithmic scale: a document fails a
 measure above q3 * (q3 / q1)^reach, for word length also below
-q1 / (q3 / q1)^reach, with the quartiles q1 and q3 of its group.  The reach of a measure says how
-heavy its tail is in clean text; no cutoff is fixed.  A ratio below one bucket counts as one
+q1 / (q3 / q1)^reach, with the quartiles q1 and q3 of its group.  The reach of a measure is a fixed parameter: it says how heavy the tail
+of clean text may be in ratios of its quartiles; the fences themselves follow the groups.  A ratio below one bucket counts as one
 bucket.  Thresholds are joined to the documents by language and source.
 
 Defined cases: null text is an empty one and fails the base rule; null language
@@ -34,12 +37,14 @@ from docquery.llm.common import materialise, small_side
 MEASURES = {
     "symbols": (2, False),
     "capitals": (4, False),
-    "dup_lines": (2, False),
-    "repeats": (3, False),
+    "dup_lines": (4, False),
+    "repeats": (4, False),
     "word_length": (6, True),
 }
 #: Width of a bucket: the least ratio of the quartiles that counts.
 LEAST_RATIO = 33 / 32
+#: Lines at the group's mean that smooth a document's repeated lines, and lines at the mean of all that smooth a group's.
+PRIOR_LINES, MEAN_LINES = 20, 1000
 #: A group with fewer documents uses the next wider group's sketch.
 LEAST_DOCS = 50
 
@@ -82,9 +87,22 @@ def features(text: Column) -> Column:
     return measured(text)
 
 
-def _rate(part: str, whole: str) -> Column:
-    """Smoothed rate per million, 1 at least."""
-    return F.expr(f"greatest(1L, ({part} + 1) * 1000000 div ({whole} + 1))")
+def _odds(part: str, rest: str) -> Column:
+    """Smoothed odds per million, 1 at least."""
+    return F.expr(f"greatest(1L, ({part} + 1) * 1000000 div (greatest(0L, {rest}) + 1))")
+
+
+def with_line_odds(rows: DataFrame) -> DataFrame:
+    """rows (lang, source, n_lines, n_dup_lines, base_failed) with dup_lines: odds smoothed by the group's mean; two sums come to the driver."""
+    sums = rows.where("not base_failed").groupBy(F.col("lang").alias("__lang"), F.col("source").alias("__source"))
+    sums = materialise(sums.agg(F.count_if(F.col("n_dup_lines") > 0).alias("__dup"), F.sum("n_lines").alias("__lines")), "quality-lines")
+    dup, lines = sums.agg(F.sum("__dup"), F.sum("__lines")).first()
+    overall = (dup or 0) / (lines or 1)
+    joined = rows.join(small_side(sums), F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source")), "left")
+    group = lambda c: F.coalesce(c, F.lit(0)).cast("double")
+    mean = (group("__dup") + F.lit(MEAN_LINES * overall)) / (group("__lines") + float(MEAN_LINES))
+    odds = 1e6 * (F.col("n_dup_lines") + PRIOR_LINES * mean) / (F.col("n_lines") - F.col("n_dup_lines") + 1).cast("double")
+    return joined.withColumn("dup_lines", F.greatest(F.lit(1).cast("long"), F.floor(odds))).drop("__lang", "__source", "__dup", "__lines")
 
 
 def bucket(value: str) -> Column:
@@ -148,15 +166,14 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     rows = rows.select("doc_id", "lang", "source", "f.*")
     rows = rows.withColumns(
         {
-            "symbols": _rate("n_symbols", "word_chars"),
-            "capitals": _rate("n_capitals", "word_chars"),
-            "dup_lines": _rate("n_dup_lines", "n_lines"),
-            "repeats": _rate("n_repeat_words", "n_words"),
-            "word_length": _rate("word_chars", "n_words"),
+            "symbols": _odds("n_symbols", "word_chars - n_symbols"),
+            "capitals": _odds("n_capitals", "word_chars - n_capitals"),
+            "repeats": _odds("2 * n_repeat_words", "n_words - 2 * n_repeat_words"),
+            "word_length": _odds("word_chars", "n_words"),
             "base_failed": (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
         }
     )
-    rows = materialise(rows, "quality-rows")
+    rows = with_line_odds(materialise(rows, "quality-rows"))
     limits = materialise(thresholds(sketches(rows.where("not base_failed"))), "quality-limits")
     limits = limits.withColumnsRenamed({"lang": "__lang", "source": "__source"})
     same = F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source"))

@@ -224,7 +224,7 @@ f AS (SELECT t.doc_id, lang, source, len(regexp_extract_all(text, '[^\x20\x09-\x
         (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words
       FROM t JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)),
 z AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
-zs AS (SELECT lang AS zl, source AS zs, sum(n_dup_lines)::BIGINT AS dup, sum(n_lines)::BIGINT AS lines FROM z WHERE NOT base_failed GROUP BY ALL),
+zs AS (SELECT lang AS zl, source AS zs, count(*) FILTER (n_dup_lines > 0) AS dup, sum(n_lines)::BIGINT AS lines FROM z WHERE NOT base_failed GROUP BY ALL),
 za AS (SELECT coalesce(sum(dup), 0)::DOUBLE AS all_dup, coalesce(sum(lines), 1)::DOUBLE AS all_lines FROM zs),
 b AS (SELECT z.*, {", ".join(f"{x} AS {m}" for m, x in measures.items())} FROM z LEFT JOIN zs ON lang IS NOT DISTINCT FROM zl AND source IS NOT DISTINCT FROM zs.zs, za),
 v AS ({longer}),
