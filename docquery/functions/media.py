@@ -169,14 +169,108 @@ def _mp4_seconds(data: bytes) -> float | None:
     return None
 
 
+#: Kilobits a second by version (1; 2 and 2.5), layer and the head's four bits; sample rates of version 1 (fixed values).
+_KBITS = {
+    (1, 1): (0, 32, 64, 96, 128, 160, 192, 224, 256, 288, 320, 352, 384, 416, 448),
+    (1, 2): (0, 32, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320, 384),
+    (1, 3): (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320),
+    (2, 1): (0, 32, 48, 56, 64, 80, 96, 112, 128, 144, 160, 176, 192, 224, 256),
+    (2, 2): (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
+    (2, 3): (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
+}
+_RATES = (44_100, 48_000, 32_000)
+#: Sample rates of AAC by the head's four bits (fixed values).
+_AAC_RATES = (96_000, 88_200, 64_000, 48_000, 44_100, 32_000, 24_000, 22_050, 16_000, 12_000, 11_025, 8_000, 7_350)
+
+
+def _after_tag(data: bytes) -> int:
+    """Where sound starts behind an ID3v2 tag."""
+    if data[:3] != b"ID3" or len(data) < 10:
+        return 0
+    size = sum((b & 0x7F) << 7 * (3 - k) for k, b in enumerate(data[6:10]))
+    return 10 + size + (10 if data[5] & 0x10 else 0)
+
+
+def _mpeg_frame(data: bytes, at: int) -> tuple[int, int, int, int, bool] | None:
+    """(bytes, samples, sample rate, layer, one channel) of the frame with its head there."""
+    if at + 4 > len(data) or data[at] != 0xFF or data[at + 1] & 0xE0 != 0xE0:
+        return None
+    version, layer = data[at + 1] >> 3 & 3, 4 - (data[at + 1] >> 1 & 3)
+    kbits, rate, pad = data[at + 2] >> 4, data[at + 2] >> 2 & 3, data[at + 2] >> 1 & 1
+    if version == 1 or layer == 4 or kbits in (0, 15) or rate == 3:
+        return None
+    bits = _KBITS[1 if version == 3 else 2, layer][kbits] * 1000
+    hertz = _RATES[rate] >> {3: 0, 2: 1, 0: 2}[version]
+    if layer == 1:
+        return (12 * bits // hertz + pad) * 4, 384, hertz, layer, data[at + 3] >> 6 == 3
+    samples = 576 if layer == 3 and version != 3 else 1152
+    return samples // 8 * bits // hertz + pad, samples, hertz, layer, data[at + 3] >> 6 == 3
+
+
+def _mpeg_seconds(data: bytes) -> float | None:
+    """By the frame count of a Xing, Info or VBRI head, else by walking all frames."""
+    at = _after_tag(data)
+    while (frame := _mpeg_frame(data, at)) is None or (_mpeg_frame(data, at + frame[0]) is None and at + frame[0] < len(data) - 128):
+        at = data.find(b"\xff", at + 1)  # what looks like a head in other bytes has no head behind it
+        if at < 0:
+            return None
+    size, samples, hertz, layer, mono = frame
+    side = (17 if mono else 32) if samples == 1152 else (9 if mono else 17)
+    for mark, place, count in ((b"Xing", at + 4 + side, 8), (b"Info", at + 4 + side, 8), (b"VBRI", at + 36, 14)):
+        if layer == 3 and data[place : place + 4] == mark and (mark == b"VBRI" or data[place + 7] & 1):
+            frames = int.from_bytes(data[place + count : place + count + 4], "big")
+            return frames * samples / hertz if frames else None
+    total = 0
+    while frame is not None and at + 4 <= len(data):
+        total += frame[1]
+        at += frame[0]
+        frame = _mpeg_frame(data, at)
+    return total / hertz
+
+
+def _adts_seconds(data: bytes) -> float | None:
+    at, frames, rate = _after_tag(data), 0, 0
+    while at + 7 <= len(data) and data[at] == 0xFF and data[at + 1] & 0xF6 == 0xF0:
+        rate = rate or data[at + 2] >> 2 & 15
+        size = (data[at + 3] & 3) << 11 | data[at + 4] << 3 | data[at + 5] >> 5
+        if size < 7:
+            break
+        frames += 1 + (data[at + 6] & 3)
+        at += size
+    return frames * 1024 / _AAC_RATES[rate] if frames and rate < len(_AAC_RATES) else None
+
+
+def _ogg_seconds(data: bytes) -> float | None:
+    """The last page's position over the rate of the first page's stream, Vorbis or Opus."""
+    first = data[28 : 28 + 19]
+    if first[:7] == b"\x01vorbis":
+        rate, skip = int.from_bytes(first[12:16], "little"), 0
+    elif first[:8] == b"OpusHead":
+        rate, skip = 48_000, int.from_bytes(first[10:12], "little")
+    else:
+        return None
+    serial, end = data[14:18], len(data)
+    while (at := data.rfind(b"OggS", 0, end)) >= 0:
+        position = int.from_bytes(data[at + 6 : at + 14], "little", signed=True)
+        if data[at + 14 : at + 18] == serial and position > 0 and at + 27 <= len(data):
+            return (position - skip) / rate if rate and position > skip else None
+        end = at + 3
+    return None
+
+
 def seconds_of(data: bytes | None) -> float | None:
-    """Length of a sound or video file by its head (WAV, FLAC, AVI, MP4 and its kin); None where it is not stated or cut off."""
+    """Length of a sound or video file by its head (WAV, FLAC, AVI, MP4 and its kin, such as M4A), by its frames (MP3, AAC) or its last page (Ogg); None where it is not stated or cut off."""
     data = data or b""
     try:
         if data[:4] == b"RIFF":
             return _wav_seconds(data) if data[8:12] == b"WAVE" else _avi_seconds(data) if data[8:12] == b"AVI " else None
         if data[:4] == b"fLaC":
             return _flac_seconds(data)
+        if data[:4] == b"OggS":
+            return _ogg_seconds(data)
+        if data[:3] == b"ID3" or data[:1] == b"\xff":
+            at = _after_tag(data)
+            return _adts_seconds(data) if data[at : at + 1] == b"\xff" and data[at + 1] & 0xF6 == 0xF0 else _mpeg_seconds(data)
         return _mp4_seconds(data) if data[4:8] == b"ftyp" else None
     except (struct.error, IndexError):
         return None

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from docquery.functions import text as T
 from docquery.functions import vector as V
+from docquery.operators.keys import join_on, spread
 
 
 def tokenised(chunks: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
@@ -25,7 +26,8 @@ def tokenised(chunks: DataFrame, keys: list[str], text_col: str = "text") -> Dat
 
 def postings(chunks: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
     """keys, token, tf, dl; a chunk's tokens are counted in its row, so nothing is shuffled."""
-    return T.term_counts(tokenised(chunks, keys, text_col), "tokens").select(*keys, "token", "tf", "dl")
+    rows = spread(chunks.select(*keys, F.col(text_col).alias("__text")))
+    return T.term_counts(tokenised(rows, keys, "__text"), "tokens").select(*keys, "token", "tf", "dl")
 
 
 def doc_stats(chunks: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
@@ -62,8 +64,8 @@ def within_budget(posted: DataFrame, stats: DataFrame, session: str, max_tokens:
 
 
 def remove_files(table: DataFrame, files: DataFrame, keys: list[str]) -> DataFrame:
-    """table without the rows of the given files."""
-    return table.join(files.select(*keys).distinct(), keys, "left_anti")
+    """table without the rows of the given files; null keys are keys."""
+    return join_on(table, files.select(*keys).distinct(), keys, "left_anti")
 
 
 def replace_files(table: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

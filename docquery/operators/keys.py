@@ -1,4 +1,4 @@
-"""Joins on keys where null equals null, and places within large groups."""
+"""Joins on keys where null equals null, places within large groups, and work dealt over all cores."""
 
 from __future__ import annotations
 
@@ -27,3 +27,9 @@ def placed(rows: DataFrame, group: list[str], slot: Column, order: list[str], ou
     rows = join_on(rows, counts.select(*group, "__slot", before.alias("__before")), [*group, "__slot"])
     within = F.row_number().over(Window.partitionBy(*group, "__slot").orderBy(*order))
     return rows.withColumn(out, (F.col("__before") + within).cast("int")).drop("__slot", "__before")
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows dealt over all cores where their scan makes fewer tasks than there are cores (a table of one row group): for costly work on each row."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() > cores else rows.repartition(cores)

@@ -6,18 +6,26 @@ hits is score (rounded to nine places) descending, then the chunk's keys.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docquery.functions import text as T
 from docquery.functions import vector as V
+from docquery.operators.keys import spread
+from docquery.plans.scratch import written
 
 K1, B = 1.2, 0.75
 #: A block of queries is broadcast: at most so many tokens, or bytes of vectors.  More queries go in several blocks.
 MOST_TOKENS = 100_000
 MOST_VECTOR_BYTES = 8 << 20
+#: Queries that are multiplied with a batch of vectors at a time.
+AT_ONCE = 256
 
 
 def _blocks(queries: DataFrame, size: Column, most: int) -> list[DataFrame]:
@@ -43,54 +51,98 @@ def query_tokens(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("token"))
 
 
-def token_weights(chunks: DataFrame, asked: DataFrame, text_col: str = "text") -> DataFrame:
-    """token, idf, avgdl of the asked tokens (a broadcast block), from one pass over the chunks.
+def asked_postings(chunks: DataFrame, keys: list[str], asked: DataFrame, text_col: str = "text") -> DataFrame:
+    """keys, token, tf, dl of the asked tokens (a written table), from one pass over the texts; each chunk has a row of the empty token, so all chunks and lengths are in it."""
+    words = asked.select("token").distinct().union(asked.sparkSession.createDataFrame([("",)], "token string"))
+    rows = spread(chunks.select(*keys, F.col(text_col).alias("__text"))).select(*keys, T.tokens(F.col("__text")).alias("tokens")).withColumn("dl", F.size("tokens"))
+    rows = T.term_counts(rows.withColumn("tokens", F.array_append("tokens", "")), "tokens")
+    return written(rows.join(F.broadcast(words), "token", "left_semi").select(*keys, "token", "tf", "dl"), "asked-postings")
+
 
-    Each chunk gives its distinct tokens and one empty token that stands for the chunk; counts combine before the shuffle,
-    and what leaves it is a row per asked token.
+def bm25_of_postings(posted: DataFrame, keys: list[str], asked: DataFrame, n: int, avgdl: float | None) -> DataFrame:
+    """query_id, keys, score of asked (query_id, token) from postings (keys, token, tf, dl) that hold all rows of these tokens; n, avgdl: of all chunks.
+
+    Frequencies combine before their shuffle, and the sum over a question's tokens is shuffled once, by question and chunk.
     """
-    words = asked.select("token").distinct().union(asked.sparkSession.createDataFrame([("",)], "token string"))
-    rows = chunks.select(T.tokens(F.col(text_col)).alias("tokens"))
-    rows = rows.select(F.size("tokens").alias("dl"), F.explode(F.array_append(F.array_distinct("tokens"), "")).alias("token"))
-    counts = rows.join(F.broadcast(words), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"), F.sum("dl").alias("dls"))
-    every = Window.partitionBy()  # a row per asked token
-    own = F.col("token") == ""
-    counts = counts.withColumn("n", F.max(F.when(own, F.col("df"))).over(every)).withColumn("avgdl", F.max(F.when(own, F.col("dls"))).over(every) / F.col("n"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return counts.where(~own).select("token", idf.alias("idf"), "avgdl")
+    found = posted.where(F.col("token") != "")
+    df = F.broadcast(found.groupBy("token").agg(F.count("*").alias("df")))  # asked tokens only
+    idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = asked.join(df, "token").select("query_id", "token", idf.alias("idf"))
+    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(avgdl or 1))))
+    return found.join(F.broadcast(weights), "token").groupBy("query_id", *keys).agg(F.sum(F.col("idf") * weight).alias("score"))
 
 
 def bm25(chunks: DataFrame, keys: list[str], queries: DataFrame, k: int | None = 20, text_col: str = "text") -> DataFrame:
-    """query_id, keys, score, rank: BM25 over all chunks.
+    """query_id, keys, score, rank: BM25 over all chunks, whose texts are read once for each block of questions.
 
-    Tokens are counted within a chunk's row and cut to the asked ones by a broadcast semi-join; those are shuffled once, by chunk,
-    which serves the sum over a query's tokens too, and every task keeps k rows a query before the ranks' shuffle.
+    Tokens are counted within a chunk's row and cut to the asked ones by a broadcast semi-join; these postings are written, and
+    frequencies, lengths and scores come from them.  Every task keeps k rows a query before the ranks' shuffle.
     """
     hits = []
-    for block in _blocks(query_tokens(queries), F.lit(1), MOST_TOKENS):
-        weights = block.join(F.broadcast(token_weights(chunks, block, text_col)), "token")
-        rows = chunks.select(*keys, T.tokens(F.col(text_col)).alias("tokens")).withColumn("dl", F.size("tokens"))
-        rows = T.term_counts(rows, "tokens").select(*keys, "dl", "token", "tf")
-        posted = rows.join(F.broadcast(block.select("token").distinct()), "token", "left_semi").repartition(*keys)
-        weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-        met = posted.join(F.broadcast(weights), "token")
-        hits.append(met.groupBy("query_id", *keys).agg(F.sum(F.col("idf") * weight).alias("score")))
+    for block in _blocks(written(query_tokens(queries), "asked"), F.lit(1), MOST_TOKENS):
+        posted = asked_postings(chunks, keys, block, text_col)
+        n, avgdl = posted.where("token = ''").agg(F.count("*"), F.avg("dl")).first()
+        hits.append(bm25_of_postings(posted, keys, block, n, avgdl))
     return ranked(_union(hits), keys, k)
 
 
 def cosine_top_k(vectors: DataFrame, keys: list[str], queries: DataFrame, k: int | None = 20, vector_col: str = "embedding") -> DataFrame:
     """query_id, keys, score, rank: exact cosine of queries (query_id, embedding) with every vector.
 
-    A query without length has no hits; a vector of no or another length scores 0.
-    The queries are a stated set against all rows, broadcast in blocks of bounded bytes; each task keeps k per query before the shuffle (WindowGroupLimit).
+    A query without length has no hits; a null vector, one with null entries or one of no or another length scores 0.
+    The queries are a stated set against all rows, in blocks of bounded bytes.  An Arrow batch of vectors is a matrix, multiplied
+    with a block's queries at once, and of each product only the best k rows a query leave the task (all for k = None).
     """
-    q = queries.select("query_id", F.col("embedding").alias("__q"), V.norm(F.col("embedding")).alias("__qn")).where("__qn > 0")
-    rows = vectors.select(*keys, F.col(vector_col).alias("__v"), V.norm(F.col(vector_col)).alias("__vn"))
-    score = V.cosine(F.col("__v"), F.col("__q"), F.col("__vn"), F.col("__qn"))
-    hits = [rows.crossJoin(F.broadcast(block)).select("query_id", *keys, score.alias("score")) for block in _blocks(q, 4 * F.size("__q") + 32, MOST_VECTOR_BYTES)]
+    rows = queries.select("query_id", F.transform("embedding", lambda x: x.cast("double")).alias("__q"), V.norm(F.col("embedding")).alias("__qn")).where("__qn > 0").drop("__qn")
+    rows = written(rows, "asked-vectors")
+    whole = F.when(F.forall(vector_col, lambda x: x.isNotNull()), F.transform(vector_col, lambda x: x.cast("double")))
+    held = spread(vectors.select(*keys, whole.alias("__v")))
+    kinds = dict(rows.dtypes) | dict(held.dtypes)
+    out = ", ".join(f"`{c}` {kinds[c]}" for c in ("query_id", *keys)) + ", score double"
+    hits = [held.mapInArrow(_products(block.toArrow(), keys, k), out) for block in _blocks(rows, 8 * F.size("__q") + 32, MOST_VECTOR_BYTES)]
     return ranked(_union(hits), keys, k)
 
 
+def _matrix(column: pa.Array, size: int) -> np.ndarray:
+    """Unit rows of the vectors of that length (zero rows for others)."""
+    column = pc.if_else(pc.fill_null(pc.equal(pc.list_value_length(column), size), False), column, pa.scalar([0.0] * size, column.type))
+    rows = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+    norm = np.sqrt(np.einsum("ij,ij->i", rows, rows))
+    return rows / np.where(norm > 0, norm, 1)[:, None]
+
+
+def _products(asked: pa.Table, keys: list[str], k: int | None):
+    """A function from batches (keys, vector) to the best rows of each query in a batch; equal scores go by keys."""
+    asked = asked.combine_chunks()
+    sizes = pc.list_value_length(asked.column("__q")).to_numpy()
+
+    def best(scores: np.ndarray, order: np.ndarray) -> np.ndarray:
+        if k is None or k >= len(scores):
+            return np.arange(len(scores))
+        rounded = np.round(scores, 9)
+        least = np.partition(rounded, len(rounded) - k)[len(rounded) - k]
+        above, equal = np.flatnonzero(rounded > least), np.flatnonzero(rounded == least)
+        return np.concatenate([above, equal[np.argsort(order[equal])[: k - len(above)]]])
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups = [(size, np.flatnonzero(sizes == size)) for size in np.unique(sizes).tolist()]
+        blocks = [(of, _matrix(asked.column("__q").combine_chunks().take(pa.array(of)), size), size) for size, of in groups]
+        for batch in batches:
+            named = pa.table({f"k{n}": batch.column(n) for n in range(len(keys))})
+            order = np.empty(batch.num_rows, np.int64)
+            order[pc.sort_indices(named, sort_keys=[(c, "ascending") for c in named.column_names], null_placement="at_start").to_numpy()] = np.arange(batch.num_rows)
+            for of, block, size in blocks:
+                matrix = _matrix(batch.column(len(keys)), size)
+                for at in range(0, len(of), AT_ONCE):
+                    scores = block[at : at + AT_ONCE] @ matrix.T
+                    picks = [best(s, order) for s in scores]
+                    row, query = pa.array(np.concatenate(picks)), np.repeat(of[at : at + AT_ONCE], [len(x) for x in picks])
+                    columns = [asked.column("query_id").combine_chunks().take(pa.array(query)), *(batch.column(n).take(row) for n in range(len(keys)))]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate([s[x] for s, x in zip(scores, picks)]))], ["query_id", *keys, "score"])
+
+    return met
+
+
 def rrf(vector_hits: DataFrame, lexical_hits: DataFrame, keys: list[str], rrf_k: int = 60) -> DataFrame:
     """query_id, keys, score, vector_score, lexical_score, source of two ranked lists: one union and one shuffle."""
     both = vector_hits.select("query_id", *keys, "rank", "score", F.lit("vector").alias("arm")).unionByName(
@@ -125,8 +177,12 @@ def hybrid(
     none = chunks.where(F.lit(False)).select(F.lit(None).cast(kind).alias("query_id"), *keys, F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
     vec = cosine_top_k(vectors, keys, queries.where("embedding is not null"), candidates) if use_vector else none
     lex = bm25(chunks, keys, queries.select("query_id", "text"), candidates) if use_lexical else none
-    fused = rrf(vec, lex, keys, rrf_k)
-    return ranked(gate(fused, min_score, min_ratio), keys, top_k)
+    return fused(vec, lex, keys, rrf_k=rrf_k, min_score=min_score, min_ratio=min_ratio, top_k=top_k)
+
+
+def fused(vec: DataFrame, lex: DataFrame, keys: list[str], *, rrf_k: int = 60, min_score: float = 0.15, min_ratio: float = 0.5, top_k: int = 6) -> DataFrame:
+    """Two ranked lists fused, gated and cut."""
+    return ranked(gate(rrf(vec, lex, keys, rrf_k), min_score, min_ratio), keys, top_k)
 
 
 def diagnosis(vec: DataFrame, lex: DataFrame, fused: DataFrame, gated: DataFrame, kept: DataFrame) -> DataFrame:

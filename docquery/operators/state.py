@@ -51,21 +51,40 @@ def _runs(slots: DataFrame, keys: list[str], apart: int, out: str) -> DataFrame:
 def greedy_window(events: DataFrame, keys: list[str], time: str, seconds_apart: float, tie: str, most: int = MOST_FOLDED) -> DataFrame:
     """events that are accepted: at least seconds_apart after the last accepted one of their key; without a time none is.
 
-    The first event of a run is accepted whatever came before, so runs are independent.  Runs of up to `most` events are folded;
-    longer ones go slice by slice, in parallel.
+    Keys of up to `most` events, by a count, are folded in a row each.  Longer ones are cut into runs: the first event of a run
+    is accepted whatever came before, so runs are independent; short runs are folded too, longer ones go slice by slice, in parallel.
     """
     apart = max(1, round(seconds_apart * 1_000_000))
-    rows = events.select(*keys, tie, micros(F.col(time)).alias("__at")).where("__at is not null")
+    rows = events.withColumn("__at", micros(F.col(time))).where("__at is not null")
+    long = written(rows.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > most).drop("__n"), "long-keys")
+    if long.isEmpty():
+        return _folded(rows, keys, keys, tie, apart).select(*events.columns)
+    short, held = join_on(rows, long, keys, "left_anti"), join_on(rows, long, keys, "left_semi")
+    accepted = _by_runs(held.select(*keys, tie, "__at"), keys, tie, apart, most)
+    return _folded(short, keys, keys, tie, apart).unionByName(join_on(held, accepted, [*keys, tie], "left_semi")).select(*events.columns)
+
+
+def _folded(rows: DataFrame, keys: list[str], group: list[str], tie: str, apart: int) -> DataFrame:
+    """Accepted rows (with __at) of short groups, each folded in a row."""
+    rest = [c for c in rows.columns if c not in (*group, "__at", tie)]
+    sortable = not any(k in t for t in dict(rows.select(*rest).dtypes).values() for k in ("map<", "variant"))
+    held = F.struct("__at", tie, *(rest if sortable else []))
+    folded = rows.groupBy(*group).agg(F.array_sort(F.collect_list(held)).alias("__e"))
+    kind = folded.schema["__e"].dataType.simpleString()
+    zero = F.struct(F.lit(-(1 << 62)).cast("long").alias("last"), F.array().cast(kind).alias("ok"))
+    take = lambda acc, e: F.when(e["__at"] - acc["last"] >= apart, F.struct(e["__at"].alias("last"), F.concat(acc["ok"], F.array(e)).alias("ok"))).otherwise(acc)
+    accepted = folded.select(*group, F.explode(F.aggregate("__e", zero, take)["ok"]).alias("__a")).select(*group, "__a.*")
+    return accepted.select(*rows.columns) if sortable else join_on(rows, accepted.select(*keys, tie), [*keys, tie], "left_semi")
+
+
+def _by_runs(rows: DataFrame, keys: list[str], tie: str, apart: int, most: int) -> DataFrame:
+    """keys and tie of the accepted events of long keys (keys, tie, __at)."""
     runs = _runs(_slots(rows, keys, apart), keys, apart, "__run")
     runs = runs.withColumn("__size", F.sum("n").over(Window.partitionBy(*keys, "__run"))).select(*keys, "__slot", "__run", "__size")
     rows = join_on(rows.withColumn("__slot", F.floor(F.col("__at") / apart)), runs, [*keys, "__slot"])
-
-    folded = rows.where(F.col("__size") <= most).groupBy(*keys, "__run").agg(F.array_sort(F.collect_list(F.struct("__at", tie))).alias("__e"))
-    zero = F.struct(F.lit(-(1 << 62)).cast("long").alias("last"), F.array().cast(f"array<{dict(events.dtypes)[tie]}>").alias("ok"))
-    take = lambda acc, e: F.when(e["__at"] - acc["last"] >= apart, F.struct(e["__at"].alias("last"), F.concat(acc["ok"], F.array(e[tie])).alias("ok"))).otherwise(acc)
-    accepted = folded.select(*keys, F.explode(F.aggregate("__e", zero, take)["ok"]).alias(tie))
-    accepted = accepted.unionByName(_sliced(rows.where(F.col("__size") > most), keys, tie, apart))
-    return join_on(events, accepted, [*keys, tie], "left_semi")
+    short = rows.where(F.col("__size") <= most).select(*keys, "__run", tie, "__at")
+    accepted = _folded(short, keys, [*keys, "__run"], tie, apart).select(*keys, tie)
+    return accepted.unionByName(_sliced(rows.where(F.col("__size") > most), keys, tie, apart))
 
 
 def _sliced(rows: DataFrame, keys: list[str], tie: str, apart: int) -> DataFrame:
@@ -123,9 +142,9 @@ def content_dedup(files: DataFrame, scope: list[str], content: Column, order: li
 
 
 def split_known(new: DataFrame, known: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(rows whose content is indexed already, rows to ingest)."""
+    """(rows whose content is indexed already, rows to ingest); null keys are keys."""
     seen = known.select(*keys).distinct()
-    return new.join(seen, keys, "left_semi"), new.join(seen, keys, "left_anti")
+    return join_on(new, seen, keys, "left_semi"), join_on(new, seen, keys, "left_anti")
 
 
 def in_flight(events: DataFrame, scope: list[str], file_id: str, url: str, name: str, size: str, order: str) -> DataFrame:
@@ -208,11 +227,18 @@ def budget_admission(files: DataFrame, session: str, order: list[str], size: str
     """files with admitted: taken in order while they still fit into what the session has left; a rejected one takes no room.
 
     Room only shrinks, so what exceeds it once is out for good.  A round takes, of what is small enough, all before the
-    first that does not fit; running sums are built by slots (which must not fall along the order, such as a date), so that
-    one task adds up a slot, not a session.  Once few candidates are left in every session, a fold decides them in a row each.
+    first that does not fit; running sums are built by slots, so that one task adds up a slot, not a session.  Without a given slot (which must
+    not fall along the order) rows are range-sorted and each range is one.  Once few candidates are left in every session, a fold decides them in a row each.
     """
-    rows = files.select(session, F.struct(*order).alias("__o"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("__n"), (F.lit(0) if slot is None else slot).alias("__slot"))
+    rows = files.select(session, F.struct(*order).alias("__o"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("__n"), *([] if slot is None else [slot.alias("__slot")]))
     kind = rows.schema["__o"].dataType.simpleString()
+    most = rows.groupBy(session).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if most <= MOST_FOLDED:  # every session is short: one fold
+        rounds = rows.select(session).limit(0).select(session, F.lit(None).cast(kind).alias("__from"), F.lit(None).cast(kind).alias("__to"), F.lit(0).cast("long").alias("__room"))
+        return _admitted(files, session, order, size, rounds, rows.withColumn("__room", F.lit(budget).cast("long")), kind)
+    if slot is None:
+        rows = rows.repartitionByRange(session, "__o").withColumn("__slot", F.spark_partition_id())
+    rows = written(rows, "budget")
     state = written(rows.select(session).distinct().select(session, F.lit(None).cast(kind).alias("__from"), F.lit(budget).cast("long").alias("__room")), "budget")
     rounds = None
     while True:
@@ -229,6 +255,11 @@ def budget_admission(files: DataFrame, session: str, order: list[str], size: str
         done = written(join_on(state, misfit, [session], "left").withColumn("__to", F.col("m.__o")), "budget")
         rounds = done if rounds is None else rounds.unionByName(done)
         state = done.where("m is not null").select(session, F.col("__to").alias("__from"), (F.col("__room") - F.col("m.used")).alias("__room"))
+    return _admitted(files, session, order, size, rounds, left, kind)
+
+
+def _admitted(files: DataFrame, session: str, order: list[str], size: str, rounds: DataFrame, left: DataFrame, kind: str) -> DataFrame:
+    """files with admitted, by the rounds (session, __from, __to, __room) and a fold of what is left (session, __o, __n, __room)."""
     spans = rounds.groupBy(session).agg(F.collect_list(F.struct("__from", "__to", "__room")).alias("__spans"))  # a round each
 
     used = left.groupBy(session).agg(F.array_sort(F.collect_list(F.struct("__o", "__n"))).alias("__e"), F.first("__room").alias("__room"))
@@ -240,5 +271,5 @@ def budget_admission(files: DataFrame, session: str, order: list[str], size: str
     out = join_on(join_on(out, spans, [session], "left"), late, [session, "__o"], "left")
     o, n = F.col("__o"), F.col("__n")
     within = lambda s: (s["__from"].isNull() | (o > s["__from"])) & (s["__to"].isNull() | (o < s["__to"])) & (n <= s["__room"])
-    taken = F.exists("__spans", within) | F.col("__late").isNotNull()
+    taken = F.coalesce(F.exists("__spans", within), F.lit(False)) | F.col("__late").isNotNull()
     return out.withColumn("admitted", taken).drop("__o", "__n", "__spans", "__late")

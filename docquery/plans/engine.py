@@ -1,15 +1,15 @@
 """The engine: tables of one store under a folder, and what a chat service asks of them.
 
-Files come in as DataFrames and are parsed, deduplicated by content, chunked,
-indexed and embedded into Parquet tables partitioned by session; questions are
-batches.  A model (embedder) is any function from texts to vectors.  Every
-write makes a new snapshot folder, so readers never see half of one.
+Files come in as DataFrames and are parsed, deduplicated by content, chunked, indexed and embedded; questions are
+batches.  A model (embedder) is any function from texts to vectors.  The store keeps a partition per session: a write replaces the
+partitions of the sessions it touches and leaves all other files alone, and an engine opened on the folder later sees what is there.
+A search opens one session's partitions; its postings are sorted by token, so only the asked tokens' pages are read, and no text is.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,95 +18,130 @@ from docquery.config import EngineConfig
 from docquery.functions import media, urls
 from docquery.functions import text as T
 from docquery.operators import chunk, index, retrieve, session, state
+from docquery.operators.keys import join_on
+from docquery.operators.store import Store, partition_name
+from docquery.plans.scratch import written
 from docquery.sources import formats
 
 FILE_KEYS = ["session_id", "conversation_id", "file_name"]
 CHUNK_KEYS = [*FILE_KEYS, "chunk_index"]
-FILES = "session_id string, conversation_id string, file_name string, text string, total_chars int, sha256 string, upload_time timestamp, last_used timestamp, rounds int, notes array<string>"
-CHUNKS = "session_id string, conversation_id string, file_name string, chunk_index int, text string, n_tokens int, n_postings int"
+CONTENT_KEYS = ["session_id", "conversation_id", "sha256"]
+FILES = (
+    "session_id string, conversation_id string, file_name string, text string, total_chars int, sha256 string, upload_time timestamp, last_used timestamp, rounds int, notes array<string>, "
+    "n_bytes long, n_chunks long, n_tokens long, n_postings long"
+)
+CHUNKS = "session_id string, conversation_id string, file_name string, chunk_index int, text string, dl int"
+POSTINGS = "session_id string, conversation_id string, file_name string, chunk_index int, token string, tf long, dl int"
 ERRORS = "session_id string, conversation_id string, file_name string, error string, upload_time timestamp"
 MEMO = "session_id string, query string, mode string, context string, at timestamp"
 ROUNDS = "session_id string, query_key string, at timestamp"
+VECTORS = "session_id string, conversation_id string, file_name string, chunk_index int, embedding array<float>"
+TABLES = {"files": FILES, "chunks": CHUNKS, "postings": POSTINGS, "vectors": VECTORS, "errors": ERRORS, "memo": MEMO, "counted": ROUNDS}
+ORDER = {
+    "files": ["file_name"], "chunks": ["file_name", "chunk_index"], "postings": ["token", "file_name", "chunk_index"], "vectors": ["file_name", "chunk_index"],
+    "errors": ["file_name"], "memo": ["query"], "counted": ["query_key"],
+}
+CONTENT = ("files", "chunks", "postings", "vectors")
 #: Refusals that another attempt may mend.
 PASSING = ("unavailable", "data_budget")
-VECTORS = "session_id string, conversation_id string, file_name string, chunk_index int, embedding array<float>"
+#: Up to so many asked tokens are handed to the scan one by one; more are cut by a join.
+MOST_PUSHED = 200
+
+
+def of_tokens(postings: DataFrame, tokens: list[str]) -> DataFrame:
+    """The postings of some tokens; as equalities they reach the scan one by one, and skip what lies between them."""
+    return postings.where(reduce(lambda a, b: a | b, (F.col("token") == t for t in tokens)))
 
 
 class Engine:
-    """One store. `path` must be a folder that all executors see."""
+    """One store. `path` must be a folder that all executors see; a folder with a store in it is opened as it is."""
 
     def __init__(self, spark: SparkSession, path: str, config: EngineConfig | None = None, embedder: Callable[[list[str]], list] = index.character_histogram):
-        self.spark, self.path, self.config, self.embedder = spark, path.rstrip("/"), config or EngineConfig(), embedder
-        empty = lambda ddl: spark.createDataFrame([], ddl)
-        self.files, self.chunks, self.vectors = empty(FILES), empty(CHUNKS), empty(VECTORS)
-        self.errors, self.memo, self.counted = empty(ERRORS), empty(MEMO), empty(ROUNDS)
+        self.spark, self.config, self.embedder = spark, config or EngineConfig(), embedder
+        self.store = Store(spark, path, TABLES, ORDER)
 
-    def _write(self, name: str, df: DataFrame) -> DataFrame:
-        at = f"{self.path}/{name}/{uuid.uuid4().hex}"
-        df.write.partitionBy("session_id").parquet(at)
-        return self.spark.read.schema(df.schema).parquet(at)
+    def __getattr__(self, name: str) -> DataFrame:
+        """A whole table by its name: files, chunks, postings, vectors, errors, memo, counted."""
+        if name in TABLES:
+            return self.store.table(name)
+        raise AttributeError(name)
 
     def ingest(self, incoming: DataFrame) -> DataFrame:
         """incoming: session_id, conversation_id, file_name, content, upload_time. Returns the refused files with their errors.
 
-        Files whose bytes the conversation has already are only touched; equal names replace.
+        Files whose bytes the conversation has already, or gets from an earlier file of the batch, are only touched; equal names replace. Null keys are keys.
         """
         c = self.config
-        keyed = index.latest(incoming, FILE_KEYS, "upload_time").withColumn("sha256", F.sha2("content", 256))
-        known, new = state.split_known(keyed, self.files, ["session_id", "conversation_id", "sha256"])
+        keyed = written(index.latest(incoming, FILE_KEYS, "upload_time").withColumn("sha256", F.sha2("content", 256)), "incoming")
+        touched = keyed.select("session_id").distinct()
+        old = dict(zip((*CONTENT, "errors"), self.store.touched(touched, *CONTENT, "errors")))
+        known, new = state.split_known(keyed, old["files"], CONTENT_KEYS)
+        new = state.content_dedup(new, ["session_id", "conversation_id"], F.col("content"), ["upload_time", "file_name"])
+        twins, new = new.where("reused").drop("reused"), new.where("not reused").drop("reused")
         big = (F.length("content") > c.max_file_bytes) & F.lit(c.max_file_bytes > 0)
         small = new.where(~F.coalesce(big, F.lit(False)))
         limits = formats.Limits(member_bytes=c.unzip_bytes, text_chars=c.text_chars)
         parsed = formats.parse_files(small, [*FILE_KEYS, "sha256", "upload_time"], limits=limits)
         blank = T.strip(F.coalesce("text", F.lit(""))) == ""
-        parsed = self._write("parsed", parsed.withColumn("error", F.when(blank, F.coalesce("error", F.lit("no text"))).otherwise(F.col("error"))))
+        parsed = written(parsed.withColumn("error", F.when(blank, F.coalesce("error", F.lit("no text"))).otherwise(F.col("error"))), "parsed")
         good = parsed.where("error is null")
+        refusal = [*FILE_KEYS, "sha256", "error", "upload_time"]
+        refused = parsed.where("error is not null").select(*refusal)
         if c.data_budget_bytes:
-            good = self._write("admitted", self._within_data_budget(good))
-            refused = good.where("not admitted").select(*FILE_KEYS, F.lit("data_budget").alias("error"), "upload_time")
+            good = written(self._within_data_budget(good, old["files"]), "admitted")
+            refused = refused.unionByName(good.where("not admitted").withColumn("error", F.lit("data_budget")).select(*refusal))
             good = good.where("admitted")
-        else:
-            refused = self.errors.limit(0)
-        refused = refused.unionByName(parsed.where("error is not null").select(*FILE_KEYS, "error", "upload_time"))
-        refused = refused.unionByName(new.where(big).select(*FILE_KEYS, F.lit("too_large").alias("error"), "upload_time"))
-        rows = good.select(
-            *FILE_KEYS, "text", F.length("text").alias("total_chars"), "sha256", "upload_time", F.col("upload_time").alias("last_used"), F.lit(0).alias("rounds"), "notes"
-        )
-        chunks = chunk.chunked(good, FILE_KEYS, c.chunk_size, c.chunk_overlap, c.chunk_merge).withColumn("__t", T.tokens(F.col("text")))
-        chunks = self._write("new-chunks", chunks.select(*CHUNK_KEYS, "text", F.size("__t").alias("n_tokens"), F.size(F.array_distinct("__t")).alias("n_postings")))
+        refused = refused.unionByName(new.where(big).withColumn("error", F.lit("too_large")).select(*refusal))
+        alike = refused.groupBy(*CONTENT_KEYS).agg(F.min("error").alias("error"))
+        refused = written(refused.unionByName(join_on(twins, alike, CONTENT_KEYS).select(*refusal)).drop("sha256"), "refused")
+
+        tokenised = chunk.chunked(good, FILE_KEYS, c.chunk_size, c.chunk_overlap, c.chunk_merge).withColumn("__t", T.tokens(F.col("text")))
+        chunks = written(tokenised.withColumn("dl", F.size("__t")), "chunks")
+        posted = written(T.term_counts(chunks.withColumnRenamed("__t", "tokens"), "tokens").select(*CHUNK_KEYS, "token", "tf", "dl"), "postings")
+        chunks = chunks.drop("__t")
         vectors = index.embed(chunks, CHUNK_KEYS, self.embedder, batch=c.embed_batch)
-        seen = known.groupBy("session_id", "conversation_id", "sha256").agg(F.max("upload_time").alias("__seen"))
-        files = index.replace_files(self.files, rows, FILE_KEYS).join(seen, ["session_id", "conversation_id", "sha256"], "left")
+        sizes = chunks.groupBy(*FILE_KEYS).agg(F.count("*").alias("n_chunks"), F.sum("dl").alias("n_tokens"))
+        rows = good.select(
+            *FILE_KEYS, "text", F.length("text").alias("total_chars"), "sha256", "upload_time", F.col("upload_time").alias("last_used"), F.lit(0).alias("rounds"), "notes",
+            F.octet_length("text").cast("long").alias("n_bytes"),
+        )
+        rows = join_on(rows, sizes, FILE_KEYS, "left")
+        rows = join_on(rows, posted.groupBy(*FILE_KEYS).agg(F.count("*").alias("n_postings")), FILE_KEYS, "left").na.fill(0, ["n_chunks", "n_tokens", "n_postings"])
+        seen = known.select(*CONTENT_KEYS, "upload_time").unionByName(twins.select(*CONTENT_KEYS, "upload_time")).groupBy(*CONTENT_KEYS).agg(F.max("upload_time").alias("__seen"))
+        files = join_on(index.replace_files(old["files"], rows.select(*old["files"].columns), FILE_KEYS), seen, CONTENT_KEYS, "left")
         files = files.withColumn("last_used", F.greatest("last_used", "__seen")).drop("__seen")
-        self.chunks, self.vectors = (self._write(n, index.replace_files(old, df, FILE_KEYS)) for n, old, df in (("chunks", self.chunks, chunks), ("vectors", self.vectors, vectors)))
-        self.files = self._write("files", files.select(*self.files.columns))
-        self.errors = self._write("errors", index.replace_files(index.remove_files(self.errors, rows, FILE_KEYS), refused, FILE_KEYS))
-        self._forget(keyed)
+        changed = {n: index.replace_files(old[n], df, FILE_KEYS) for n, df in (("chunks", chunks), ("postings", posted), ("vectors", vectors))}
+        errors = index.replace_files(index.remove_files(old["errors"], rows, FILE_KEYS), refused, FILE_KEYS)
+        # answers of sessions whose files changed no longer hold
+        self.store.replace(touched, {"files": files, **changed, "errors": errors, "memo": self._none("memo")})
         return refused.select(*FILE_KEYS, "error")
 
-    def _within_data_budget(self, good: DataFrame) -> DataFrame:
-        """good with admitted: the store's texts are bounded in sum; a file that replaces one of its name frees that one's room."""
-        held = index.remove_files(self.files, good, FILE_KEYS).agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-        rows = good.withColumns({"__all": F.lit(0), "__bytes": F.octet_length("text")})
-        room = max(0, self.config.data_budget_bytes - int(held))
-        return state.budget_admission(rows, "__all", ["upload_time", *FILE_KEYS], "__bytes", room, slot=F.date_trunc("hour", "upload_time")).drop("__all", "__bytes")
+    def _none(self, name: str) -> DataFrame:
+        return self.spark.createDataFrame([], TABLES[name])
 
-    def _forget(self, changed: DataFrame) -> None:
-        """Answers of sessions whose files changed no longer hold."""
-        self.memo = self._write("memo", index.remove_files(self.memo, changed, ["session_id"]))
+    def _within_data_budget(self, good: DataFrame, old: DataFrame) -> DataFrame:
+        """good with admitted: the store's texts are bounded in sum; a file that replaces one of its name frees that one's room.
+
+        What is held comes from the counts that the store keeps of each partition.
+        """
+        held = self.store.live().where("name = 'files'").agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+        freed = join_on(old, good.select(*FILE_KEYS).distinct(), FILE_KEYS, "left_semi").agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+        rows = good.withColumns({"__all": F.lit(0), "__bytes": F.octet_length("text")})
+        room = max(0, self.config.data_budget_bytes - int(held) + int(freed))
+        return state.budget_admission(rows, "__all", ["upload_time", *FILE_KEYS], "__bytes", room).drop("__all", "__bytes")
 
     def clear(self, gone: DataFrame) -> None:
         """Remove sessions (gone: session_id) or files (gone: the file keys)."""
+        gone = written(gone, "gone")
         keys = [k for k in FILE_KEYS if k in gone.columns]
-        for name in ("files", "chunks", "vectors"):
-            setattr(self, name, self._write(name, index.remove_files(getattr(self, name), gone, keys)))
-        self._forget(gone)
+        left = {n: index.remove_files(df, gone, keys) for n, df in zip(CONTENT, self.store.touched(gone, *CONTENT))}
+        self.store.replace(gone, left | {"memo": self._none("memo")})
 
     def expire(self, now) -> DataFrame:
         """Remove what is idle, used up or old at a time; returns the removed files with the reason."""
         c = self.config
         aged = state.expired(self.files, F.lit(now), retention=60 * c.retention_minutes, max_rounds=c.max_rounds, absolute_ttl=60 * c.absolute_ttl_minutes)
-        gone = self._write("expired", aged.where("expiry is not null").select(*FILE_KEYS, "expiry"))
+        gone = written(aged.where("expiry is not null").select(*FILE_KEYS, "expiry"), "expired")
         self.clear(gone.drop("expiry"))
         return gone
 
@@ -116,42 +151,59 @@ class Engine:
         used may have query_key: one question counts a round at most every `round_seconds`; without it every call counts.
         """
         at = F.lit(now).cast("timestamp")
-        keyed = used.select(*FILE_KEYS, (F.col("query_key") if "query_key" in used.columns else F.lit(None).cast("string")).alias("query_key"))
-        late = self.counted.where(F.unix_seconds("at") > F.unix_seconds(at) - self.config.round_seconds)
-        again = keyed.join(late.select("session_id", "query_key"), ["session_id", "query_key"], "left_semi").select(*FILE_KEYS, "query_key")
-        fresh = self._write("rounds", keyed.exceptAll(again).distinct())
+        keyed = written(used.select(*FILE_KEYS, (F.col("query_key") if "query_key" in used.columns else F.lit(None).cast("string")).alias("query_key")), "used")
+        files, counted = self.store.touched(keyed, "files", "counted")
+        late = counted.where(F.unix_seconds("at") > F.unix_seconds(at) - self.config.round_seconds)
+        again = late.where("query_key is not null").select("session_id", "query_key").distinct()
+        fresh = written(join_on(keyed, again, ["session_id", "query_key"], "left_anti").distinct(), "rounds")
         hit = keyed.select(*FILE_KEYS).distinct().withColumn("__hit", F.lit(True))
         counts = fresh.select(*FILE_KEYS).distinct().withColumn("__counts", F.lit(1))
-        rows = self.files.join(hit, FILE_KEYS, "left").join(counts, FILE_KEYS, "left")
+        rows = join_on(join_on(files, hit, FILE_KEYS, "left"), counts, FILE_KEYS, "left")
         rows = rows.withColumn("rounds", F.col("rounds") + F.coalesce("__counts", F.lit(0)))
         rows = rows.withColumn("last_used", F.when(F.col("__hit"), at).otherwise(F.col("last_used")))
-        self.files = self._write("files", rows.select(*self.files.columns))
         new = fresh.where("query_key is not null").select("session_id", "query_key", at.alias("at")).distinct()
-        self.counted = self._write("counted", late.unionByName(new))
+        self.store.replace(keyed, {"files": rows.select(*files.columns), "counted": late.unionByName(new)})
 
     def embed_queries(self, queries: DataFrame) -> DataFrame:
         return queries.join(index.embed(queries, ["query_id"], self.embedder, batch=self.config.embed_batch), "query_id")
 
-    def search(self, queries: DataFrame, session_id: str, use_vector: bool = True) -> DataFrame:
+    def search(self, queries: DataFrame, session_id: str | None, use_vector: bool = True) -> DataFrame:
         """query_id, file_name, chunk_index, text, score, source, rank of questions (query_id, text) to one session."""
-        c, mine = self.config, F.col("session_id") == session_id
-        asked = self.embed_queries(queries)
-        use_lexical = (c.hybrid or not use_vector) and self._lexical_fits(session_id)
-        hits = retrieve.hybrid(
-            self.chunks.where(mine), self.vectors.where(mine), CHUNK_KEYS, asked, candidates=c.candidates, rrf_k=c.rrf_k, min_score=c.min_score,
-            min_ratio=c.min_ratio, top_k=c.top_k, use_lexical=use_lexical, use_vector=use_vector,
-        )
-        return hits.join(self.chunks.where(mine), CHUNK_KEYS)
-
-    def _lexical_fits(self, session_id: str) -> bool:
-        """Whether the session's tokens and postings are within its own limits and what others leave of the overall one."""
-        c, own = self.config, F.col("session_id") == session_id
-        sums = self.chunks.agg(
-            *(F.coalesce(F.sum(F.when(who, F.col(n))), F.lit(0)).alias(a) for who, n, a in ((own, "n_tokens", "mine"), (~own, "n_tokens", "others"), (own, "n_postings", "postings")))
-        )
-        most = index.lexical_allowance(F.col("mine"), F.col("others"), c.lexical_tokens, c.lexical_global_tokens)
-        fits = (F.lit(not (c.lexical_tokens or c.lexical_global_tokens)) | (F.col("mine") <= most)) & (F.lit(not c.lexical_postings) | (F.col("postings") <= c.lexical_postings))
-        return sums.select(fits).first()[0]
+        c = self.config
+        files, chunks, vectors, postings = self.store.of_sessions([session_id], "files", "chunks", "vectors", "postings")
+        lists = self._none("chunks").select(F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"), *CHUNK_KEYS, F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
+        vec = retrieve.cosine_top_k(vectors, CHUNK_KEYS, self.embed_queries(queries), c.candidates) if use_vector else lists
+        lex = lists
+        if c.hybrid or not use_vector:
+            n, total, allowed = self._lexical_sizes(files, session_id)
+            if allowed:
+                lex = self._lexical(queries, postings, n, total)
+        hits = retrieve.fused(vec, lex, CHUNK_KEYS, rrf_k=c.rrf_k, min_score=c.min_score, min_ratio=c.min_ratio, top_k=c.top_k)
+        return join_on(hits, chunks.drop("dl"), CHUNK_KEYS)
+
+    def _lexical(self, queries: DataFrame, postings: DataFrame, n: int, total: int) -> DataFrame:
+        """Hits by BM25 from the stored postings: the scan gets the asked tokens, and skips pages without them."""
+        asked = written(retrieve.query_tokens(queries), "asked")
+        tokens = [r.token for r in asked.select("token").distinct().limit(MOST_PUSHED + 1).collect()]
+        if not tokens or not n:
+            return self._none("chunks").select(F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"), *CHUNK_KEYS, F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
+        if len(tokens) <= MOST_PUSHED:
+            postings = of_tokens(postings, tokens)
+        return retrieve.ranked(retrieve.bm25_of_postings(postings, CHUNK_KEYS, asked, n, total / n), CHUNK_KEYS, self.config.candidates)
+
+    def _lexical_sizes(self, files: DataFrame, session_id: str | None) -> tuple[int, int, bool]:
+        """Chunks and tokens of the session, and whether these and its postings are within its own limits and what others leave of the overall one.
+
+        The other sessions' tokens come from the counts that the store keeps of each partition.
+        """
+        c, none = self.config, F.lit(0)
+        n, mine, postings = files.agg(*(F.coalesce(F.sum(x), none) for x in ("n_chunks", "n_tokens", "n_postings"))).first()
+        fits = not c.lexical_postings or postings <= c.lexical_postings
+        if fits and (c.lexical_tokens or c.lexical_global_tokens):
+            others = self.store.live().where((F.col("name") == "files") & (F.col("p") != partition_name(session_id))).agg(F.coalesce(F.sum("n_tokens"), none).alias("others"))
+            most = others.select(index.lexical_allowance(F.lit(mine), F.col("others"), c.lexical_tokens, c.lexical_global_tokens)).first()[0]
+            fits = mine <= most
+        return int(n), int(mine), fits
 
     def resolve(self, requests: DataFrame) -> DataFrame:
         """request_id, asked, session_id: the asked session if it has files, else the only one that has."""
@@ -164,7 +216,7 @@ class Engine:
         said = retrieve.rewritten(turns.where("role = 'user'"), conversation)
         return said.groupBy(F.col(conversation).alias("query_id")).agg(F.max_by("query", "turn").alias("text"))
 
-    def context(self, queries: DataFrame, session_id: str, now=None, injected: DataFrame | None = None) -> DataFrame:
+    def context(self, queries: DataFrame, session_id: str | None, now=None, injected: DataFrame | None = None) -> DataFrame:
         """query_id, mode, context: all texts where they fit, else the hits by file.
 
         With `now`, answers of the last `memo_seconds` are given again, and new ones are kept.  injected (query_id, item_id,
@@ -175,22 +227,27 @@ class Engine:
             queries = queries.join(had, "query_id", "left_anti")
         if now is None or not self.config.memo_seconds:
             return self._context(queries, session_id)
-        at = F.lit(now).cast("timestamp")
-        young = self.memo.where((F.col("session_id") == session_id) & (F.unix_seconds(at) - F.unix_seconds("at") <= self.config.memo_seconds))
+        at, keep = F.lit(now).cast("timestamp"), self.config.memo_seconds
+        (memo,) = self.store.of_sessions([session_id], "memo")
+        young = memo.where(F.unix_seconds(at) - F.unix_seconds("at") <= keep)
         asked = queries.select("query_id", F.col("text").alias("query"))
         known = asked.join(young.select("query", "mode", "context"), "query")
-        new = self._context(queries.join(known.select("query_id"), "query_id", "left_anti"), session_id).join(asked, "query_id")
-        out = self._write("answers", known.select("query_id", "query", "mode", "context", F.lit(False).alias("new")).unionByName(new.select("query_id", "query", "mode", "context", F.lit(True).alias("new"))).withColumn("session_id", F.lit(session_id)))
-        fresh = out.where("new").groupBy("session_id", "query").agg(F.min("mode").alias("mode"), F.min("context").alias("context")).withColumn("at", at)
-        old = self.memo.where(F.unix_seconds(at) - F.unix_seconds("at") <= self.config.memo_seconds)
-        self.memo = self._write("memo", old.unionByName(fresh.select(*self.memo.columns)))
+        left = queries.join(known.select("query_id"), "query_id", "left_anti")
+        answers = known.select("query_id", "query", "mode", "context", F.lit(False).alias("new"))
+        if left.isEmpty():
+            return answers.select("query_id", "mode", "context")
+        new = self._context(left, session_id).join(asked, "query_id")
+        out = written(answers.unionByName(new.select("query_id", "query", "mode", "context", F.lit(True).alias("new"))), "answers")
+        fresh = out.where("new").groupBy("query").agg(F.min("mode").alias("mode"), F.min("context").alias("context"))
+        one = self.spark.createDataFrame([(session_id,)], "session_id string")
+        self.store.replace(one, {"memo": young.unionByName(fresh.select(F.lit(session_id).alias("session_id"), "query", "mode", "context", at.alias("at")))})
         return out.select("query_id", "mode", "context")
 
-    def _context(self, queries: DataFrame, session_id: str) -> DataFrame:
-        mine = self.files.where(F.col("session_id") == session_id)
-        whole = session.direct_text(mine, "session_id", self.config.direct_limit).limit(1)
-        if whole.count():
-            return queries.select("query_id").crossJoin(F.broadcast(whole)).select("query_id", F.lit("direct").alias("mode"), "context")  # one row
+    def _context(self, queries: DataFrame, session_id: str | None) -> DataFrame:
+        (mine,) = self.store.of_sessions([session_id], "files")
+        whole = session.direct_text(mine, "session_id", self.config.direct_limit).limit(1).collect()  # bounded by the limit
+        if whole:
+            return queries.select("query_id", F.lit("direct").alias("mode"), F.lit(whole[0].context).alias("context"))
         files = retrieve.grouped_by_file(self.search(queries, session_id), "file_name")
         block = F.concat(F.lit("《"), F.col("file_name"), F.lit("》\n"), F.col("text"))
         items = F.array_sort(F.collect_list(F.struct("first_rank", block.alias("t"))))
@@ -228,8 +285,10 @@ class Engine:
         """session_id, file_name, error: the newest refusals of each session, young enough; what is given once is not given again."""
         c = self.config
         new = state.notices(self.errors, "session_id", "file_name", "upload_time", "conversation_id", F.lit(now), ttl=c.notice_seconds, most=c.notices_per_session)
-        given = self._write("notices", new.select(*self.errors.columns))
-        self.errors = self._write("errors", index.remove_files(self.errors, given.where(~F.col("error").isin(*PASSING)), FILE_KEYS))
+        given = written(new.select(*FILE_KEYS, "error", "upload_time"), "notices")
+        if not given.isEmpty():
+            (errors,) = self.store.touched(given, "errors")
+            self.store.replace(given, {"errors": index.remove_files(errors, given.where(~F.col("error").isin(*PASSING)), FILE_KEYS)})
         return given.select("session_id", "file_name", "error")
 
     def due_retries(self, now) -> DataFrame:

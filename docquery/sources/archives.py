@@ -44,3 +44,26 @@ def build(text: str, kind: str) -> bytes:
         mail.set_content(body)
         return mail.as_bytes()
     return gzip.compress(text.encode(), mtime=0)
+
+
+def _ogg_page(serial: int, position: int, body: bytes) -> bytes:
+    return b"OggS\0\0" + position.to_bytes(8, "little") + serial.to_bytes(4, "little") + bytes(8) + bytes([1, len(body)]) + body
+
+
+def sound(kind: str, n: int) -> bytes:
+    """A silent sound file of n frames (or pages): mp3 without and with a count in its head, AAC, Ogg with Vorbis or Opus, M4A."""
+    frame = bytes([0xFF, 0xFB, 0x90, 0x44]) + bytes(413)  # 128 kbit/s, 44.1 kHz
+    if kind == "mp3":
+        return b"ID3\x04\0\0\0\0\0\x05extra" + frame * n + b"TAG" + bytes(125)
+    if kind == "xing":
+        return frame[:36] + b"Xing\0\0\0\x01" + n.to_bytes(4, "big") + frame[48:] + frame * 3
+    if kind == "vbri":
+        return frame[:36] + b"VBRI" + bytes(10) + n.to_bytes(4, "big") + frame[54:] + frame
+    if kind == "aac":
+        return (bytes([0xFF, 0xF1, 0x50, 0x80, 0x02, 0x1F, 0xFC]) + bytes(9)) * n  # 16 bytes a frame, 44.1 kHz
+    if kind == "vorbis":
+        head = b"\x01vorbis" + bytes(5) + (22_050).to_bytes(4, "little") + bytes(14)
+        return _ogg_page(7, 0, head) + b"".join(_ogg_page(7, 4096 * (k + 1), b"x") for k in range(n)) + _ogg_page(8, 1 << 40, b"OggS")
+    if kind == "opus":
+        return _ogg_page(7, 0, b"OpusHead\x01\x02" + (312).to_bytes(2, "little") + bytes(7)) + _ogg_page(7, 312 + 960 * n, b"x") + _ogg_page(7, -1 % (1 << 64), b"x")
+    return b"\0\0\0\x10ftypM4A \0\0\0\0\0\0\0\x24moov\0\0\0\x1cmvhd" + bytes(12) + (1000).to_bytes(4, "big") + (250 * n).to_bytes(4, "big")
