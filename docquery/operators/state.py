@@ -23,6 +23,8 @@ from docquery.plans.scratch import written
 MOST_FOLDED = 2000
 #: Slots of a slice.
 SLICE = 64
+#: Requests of a slice of a bounded cache.
+SLICE_ROWS = 20_000
 
 
 def micros(ts: Column) -> Column:
@@ -188,6 +190,69 @@ def memo(requests: DataFrame, keys: list[str], time: str, ttl_seconds: float, ti
     return marked.withColumn("hit", F.col("__m").isNull()).drop("__m")
 
 
+def bounded_cache(requests: DataFrame, keys: list[str], item: list[str], time: str, tie: str, capacity: int, ttl_seconds: float | None = None, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """requests with hit: a cache per key of at most `capacity` items, first in first out, replayed in order of time (null times last) and tie.
+
+    A miss puts its item at the end and, if the cache is full, drops the oldest; a hit changes nothing.  With a lifetime, an item
+    older than that is a miss and is put anew.  keys may be empty: one cache for all.
+
+    Whether a request hits depends on all before it, yet no key is gathered: its requests are cut into slices by their place, and each slice is
+    replayed from the cache that the one before is believed to leave, at first an empty one.  Slices whose belief was wrong are
+    replayed again until none is.  The first slice starts right, so what is left when nothing changes is the replay in order.  A cache
+    forgets what came before once it has taken in `capacity` new items, so few rounds are needed; the worst case is one round a slice.
+    """
+    named = F.to_json(F.struct(*(F.col(k).alias(f"k{n}") for n, k in enumerate(keys)))) if keys else F.lit("")
+    held = F.to_json(F.struct(*(F.col(i).alias(f"i{n}") for n, i in enumerate(item))))
+    at = micros(F.col(time))
+    rows = requests.select(named.alias("__k"), held.alias("__i"), F.coalesce(at, F.lit((1 << 63) - 1)).alias("__at"), F.col(tie).alias("__tie"))
+    rows = written(rows.repartitionByRange("__k", "__at", "__tie").withColumn("__range", F.spark_partition_id()), "cache-ranges")
+    placed_rows = placed(rows, ["__k"], F.col("__range"), ["__at", "__tie"], "__place")
+    rows = written(placed_rows.select("__k", "__i", "__at", "__tie", F.floor((F.col("__place") - 1) / slice_rows).cast("long").alias("__slice")), "cache-slices")
+    life = None if ttl_seconds is None else round(ttl_seconds * 1_000_000)
+    kind = dict(rows.dtypes)["__tie"]
+    state = "__k string, __slice long, items array<string>, times array<long>"
+
+    def start(caches: pd.DataFrame) -> dict[str, int]:
+        return dict(zip(caches["items"].iloc[0], caches["times"].iloc[0])) if len(caches) else {}
+
+    def step(cache: dict[str, int], i: str, t: int) -> bool:
+        if i in cache and (life is None or t - cache[i] <= life):
+            return True
+        cache.pop(i, None)
+        if len(cache) >= capacity:
+            del cache[next(iter(cache))]
+        cache[i] = t
+        return False
+
+    def left(part: pd.DataFrame, caches: pd.DataFrame) -> pd.DataFrame:
+        part, cache = part.sort_values(["__at", "__tie"]), start(caches)
+        for i, t in zip(part["__i"], part["__at"]):
+            step(cache, i, t)
+        return pd.DataFrame({"__k": [part["__k"].iloc[0]], "__slice": [part["__slice"].iloc[0] + 1], "items": [[*cache]], "times": [[*cache.values()]]})
+
+    def answered(part: pd.DataFrame, caches: pd.DataFrame) -> pd.DataFrame:
+        part, cache = part.sort_values(["__at", "__tie"]), start(caches)
+        return part.assign(hit=[step(cache, i, t) for i, t in zip(part["__i"], part["__at"])])[["__k", "__tie", "hit"]]
+
+    slices = ["__k", "__slice"]
+    both = lambda some, caches, f, out: some.groupBy(*slices).cogroup(caches.groupBy(*slices)).applyInPandas(f, out)
+    sizes = written(rows.groupBy("__k").agg(F.max("__slice").alias("__last")), "cache-keys")
+    caches = believed = rows.sparkSession.createDataFrame([], state)
+    active = rows.join(sizes.where("__last > 0").select("__k"), "__k", "left_semi")
+    while sizes.agg(F.max("__last")).first()[0]:
+        told = written(both(active, believed, left, state).join(sizes, "__k").where(F.col("__slice") <= F.col("__last")).drop("__last"), "cache-states")
+        had = caches.select("__k", "__slice", F.col("items").alias("__had"), F.col("times").alias("__when"))
+        wrong = told.join(had, slices, "left").where(F.col("__had").isNull() | (F.col("__had") != F.col("items")) | (F.col("__when") != F.col("times")))
+        believed = wrong = written(wrong.select(*slices, "items", "times"), "cache-wrong")
+        if wrong.isEmpty():
+            break
+        caches = written(caches.join(wrong.select(*slices), slices, "left_anti").unionByName(wrong), "cache-states")
+        active = rows.join(wrong.select(*slices), slices, "left_semi")
+    hits = both(rows, caches, answered, f"__k string, __tie {kind}, hit boolean")
+    keyed = requests.withColumn("__k", named).withColumn("__tie", F.col(tie))
+    return join_on(keyed, hits, ["__k", "__tie"]).drop("__k", "__tie")
+
+
 def tumbling_rounds(touches: DataFrame, keys: list[str], time: str, width_seconds: int) -> DataFrame:
     """keys, slot, touches: one round per slot of fixed width (for touches without a query)."""
     slot = F.floor(seconds(F.col(time)) / width_seconds)

@@ -397,6 +397,28 @@ def memo_hits(spark, sf_dir):
     return state.memo(table(spark, sf_dir, "events"), ["user_id"], "ts", 7200, "event_id").select("event_id", "hit")
 
 
+def _cache_sql(key, item, capacity, life=None):
+    fresh = f" AND e.t - list_extract(w.times, list_position(w.items, e.i)) <= {life}" if life else ""
+    return f"""WITH RECURSIVE e AS MATERIALIZED (SELECT event_id, {key} AS k, {item} AS i, epoch_us(ts) AS t, row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id) AS r FROM events),
+w AS (SELECT k, r, event_id, [i] AS items, [t] AS times, false AS hit FROM e WHERE r = 1 UNION ALL
+ SELECT k, r, event_id, CASE WHEN hit THEN items ELSE list_append(old, i)[-{capacity}:] END, CASE WHEN hit THEN times ELSE list_append(old_times, t)[-{capacity}:] END, hit FROM (
+  SELECT e.k, e.r, e.event_id, e.i, e.t, w.items, w.times, list_contains(w.items, e.i){fresh} AS hit, list_filter(w.items, lambda x: x <> e.i) AS old,
+   list_filter(w.times, lambda x, n: w.items[n] <> e.i) AS old_times FROM w JOIN e ON e.k = w.k AND e.r = w.r + 1))
+SELECT event_id, hit FROM w"""
+
+
+@query(_cache_sql("event_type", "user_id", 40))
+def cache_fifo(spark, sf_dir):
+    """Contents (users stand for them) known to a cache of the last forty of each type of event, first in first out: five keys hold all events."""
+    return state.bounded_cache(table(spark, sf_dir, "events"), ["event_type"], ["user_id"], "ts", "event_id", 40).select("event_id", "hit")
+
+
+@query(_cache_sql("1", "user_id || ':' || event_type", 128, 172_800_000_000))
+def cache_memo(spark, sf_dir):
+    """Requests answered from one cache of 128 answers that live two days, for all users and types."""
+    return state.bounded_cache(table(spark, sf_dir, "events"), [], ["user_id", "event_type"], "ts", "event_id", 128, 172_800).select("event_id", "hit")
+
+
 @query(f"SELECT user_id, floor({_T} / 120)::BIGINT AS slot, count(*) AS touches FROM events GROUP BY ALL")
 def tumbling_rounds(spark, sf_dir):
     return state.tumbling_rounds(table(spark, sf_dir, "events"), ["user_id"], "ts", 120)

@@ -91,6 +91,35 @@ def test_keys_of_several_rows(spark):
     assert got == {1: (b"a", 0), 2: (b"z", 1), 3: (None, None)} and files.acquired(records, "k", twice, last).count() == 3
 
 
+def replayed(rows, capacity, life):
+    caches, hits = {}, {}
+    for k, i, item, t in sorted(rows, key=lambda r: (r[3] is None, r[3] or T0, r[1])):
+        cache = caches.setdefault(k, {})
+        t = t or dt.datetime(9000, 1, 1)
+        hits[i] = item in cache and (life is None or (t - cache[item]).total_seconds() <= life)
+        if not hits[i]:
+            cache.pop(item, None)
+            if len(cache) >= capacity:
+                del cache[next(iter(cache))]
+            cache[item] = t
+    return hits
+
+
+def test_bounded_caches(spark):
+    """A key of half of all requests over many slices, with evictions and lifetimes, equals the plain replay; null keys, items and times count."""
+    rng = random.Random(8)
+    draw = lambda n: int(n * rng.random() ** 2)
+    rows = [(rng.choice(["hot", "hot", "a", None]), i, rng.choice([f"x{draw(40)}", f"x{draw(90)}", None]), T0 + dt.timedelta(seconds=rng.randint(0, 4000))) for i in range(1500)]
+    rows += [("late", 5000 + i, f"x{i % 3}", None) for i in range(9)]
+    df = spark.createDataFrame(rows, "k string, id int, item string, ts timestamp")
+    for capacity, life, each in ((12, None, 100), (3, 30, 64), (500, 600, 10_000)):
+        got = {r.id: r.hit for r in state.bounded_cache(df, ["k"], ["item"], "ts", "id", capacity, life, each).collect()}
+        assert got == replayed(rows, capacity, life)
+    one = {r.id: r.hit for r in state.bounded_cache(df, [], ["k", "item"], "ts", "id", 20, 900, 150).collect()}
+    assert one == replayed([(0, i, (k, x), t) for k, i, x, t in rows], 20, 900)
+    assert state.bounded_cache(df.where("false"), ["k"], ["item"], "ts", "id", 3).count() == 0
+
+
 def test_quota_and_spells_of_one_day(spark):
     rows = [(i, T0 + dt.timedelta(seconds=37 * i % 5000)) for i in range(400)]
     df = spark.createDataFrame(rows, "id int, ts timestamp")
