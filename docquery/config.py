@@ -35,12 +35,17 @@ class EngineConfig:
     lexical_tokens: int = 2_000_000
     lexical_postings: int = 200_000
     lexical_global_tokens: int = 400_000
+    retry_disk_bytes: int = 128 * 1024 * 1024
     summary_chars: int = 12_000
+    summary_most_chars: int = 500
+    summary_retry_seconds: float = 600
+    summary_claim_seconds: float = 300
     audio_bytes: int = 7 * 1024 * 1024
     audio_seconds: float = 3600
     video_bytes: int = 20 * 1024 * 1024
     video_seconds: float = 600
     video_per_day: int = 20
+    enable_group: bool = True
     hybrid: bool = True
     rewrite_queries: bool = True
     download_policy: str = "whitelist"

@@ -84,8 +84,11 @@ def normalised(vectors: DataFrame, keys: list[str], vector_col: str = "embedding
     return vectors.select(*keys, V.normalise(F.col(vector_col)).alias("vec"), V.norm(F.col(vector_col)).alias("norm"))
 
 
-def embed(chunks: DataFrame, keys: list[str], embedder: Callable[[list[str]], list], text_col: str = "text", batch: int = 64) -> DataFrame:
-    """keys, embedding: the embedder gets lists of up to `batch` texts, in order; a failure fails the task, so no file is half embedded."""
+def embed(chunks: DataFrame, keys: list[str], embedder: Callable[[list[str]], list], text_col: str = "text", batch: int = 64, tolerant: bool = False) -> DataFrame:
+    """keys, embedding: the embedder gets lists of up to `batch` texts, in order.
+
+    A failure fails the task, so no file is half embedded; with `tolerant` the texts of a failed call get null instead.
+    """
 
     @F.pandas_udf("array<float>")
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -93,10 +96,15 @@ def embed(chunks: DataFrame, keys: list[str], embedder: Callable[[list[str]], li
             got: list = []
             for at in range(0, len(texts), batch):
                 part = [x or "" for x in texts.iloc[at : at + batch]]
-                made = list(embedder(part))
-                if len(made) != len(part):
-                    raise ValueError(f"{len(made)} vectors for {len(part)} texts")
-                got += [np.asarray(v, "f4") for v in made]
+                try:
+                    made = list(embedder(part))
+                    if len(made) != len(part):
+                        raise ValueError(f"{len(made)} vectors for {len(part)} texts")
+                except Exception:
+                    if not tolerant:
+                        raise
+                    made = None
+                got += [None] * len(part) if made is None else [np.asarray(v, "f4") for v in made]
             yield pd.Series(got)
 
     return chunks.select(*keys, vectors(F.col(text_col)).alias("embedding"))

@@ -16,6 +16,7 @@ import uuid
 from collections.abc import Iterable
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -39,6 +40,10 @@ def partition_name(session: str | None) -> str:
     return hashlib.md5(b"" if session is None else f"={session}".encode()).hexdigest()
 
 
+class Taken(RuntimeError):
+    """Another writer has made the commit that this one was to be."""
+
+
 class Store:
     """Tables (name -> DDL with session_id), and how each partition is ordered for pruned reads (name -> columns)."""
 
@@ -107,11 +112,21 @@ class Store:
 
     # -- writing -----------------------------------------------------------------------------------
 
-    def replace(self, sessions: DataFrame, tables: dict[str, DataFrame]) -> int:
-        """All rows of the sessions in these tables are now the given ones (rows of other sessions are not allowed). Returns the commit's number."""
+    def next_number(self) -> int:
+        """The number of the next commit: what is read now and written as that commit has seen all before it."""
+        done = self.commits()
+        return done[-1] + 1 if done else 0
+
+    def replace(self, sessions: DataFrame, tables: dict[str, DataFrame], number: int | None = None) -> int:
+        """All rows of the sessions in these tables are now the given ones (rows of other sessions are not allowed). Returns the commit's number.
+
+        With a number, the commit must be that one; if another writer was faster, Taken is raised and nothing has changed.
+        """
         touched = sessions.select(partition_of(F.col(self.session)).alias("p")).distinct()
         done = self.commits()
         n, v = (done[-1] + 1 if done else 0), uuid.uuid4().hex
+        if number is not None and n != number:
+            raise Taken(f"commit {number} is there already")
         full = n % FULL_EVERY == 0
         names = []
         for name, rows in tables.items():
@@ -125,7 +140,10 @@ class Store:
         if full and done:
             new = new.unionByName(join_on(self.live(), new.select("name", "p"), ["name", "p"], "left_anti"))
         new = new.select(F.lit(n).cast("long").alias("n"), F.lit(full).alias("full"), *(c for c in new.columns))
-        new.coalesce(1).write.mode("error").parquet(f"{self.path}/commits/{n:012d}")
+        try:
+            new.coalesce(1).write.mode("error").parquet(f"{self.path}/commits/{n:012d}")
+        except AnalysisException as e:
+            raise Taken(f"commit {n} is there already") from e
         return n
 
     def _counted(self, name: str, root: str, v: str, touched: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ A search opens one session's partitions; its postings are sorted by token, so on
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,9 +20,10 @@ from docquery.functions import media, urls
 from docquery.functions import text as T
 from docquery.operators import chunk, index, retrieve, session, state
 from docquery.operators.keys import join_on
-from docquery.operators.store import Store, partition_name
+from docquery.operators.store import Store, Taken, partition_name
 from docquery.plans.scratch import written
 from docquery.sources import formats
+from docquery.sources.messages import from_group
 
 FILE_KEYS = ["session_id", "conversation_id", "file_name"]
 CHUNK_KEYS = [*FILE_KEYS, "chunk_index"]
@@ -36,14 +38,24 @@ ERRORS = "session_id string, conversation_id string, file_name string, error str
 MEMO = "session_id string, query string, mode string, context string, at timestamp"
 ROUNDS = "session_id string, query_key string, at timestamp"
 VECTORS = "session_id string, conversation_id string, file_name string, chunk_index int, embedding array<float>"
-TABLES = {"files": FILES, "chunks": CHUNKS, "postings": POSTINGS, "vectors": VECTORS, "errors": ERRORS, "memo": MEMO, "counted": ROUNDS}
+BUNDLES = "session_id string, conversation_id string, file_name string, text string, sha256 string, upload_time timestamp, notes array<string>, attempts int, next_at timestamp, n_bytes long"
+SUMMARIES = "session_id string, conversation_id string, file_name string, sha256 string, state string, worker string, at timestamp, summary string"
+TABLES = {
+    "files": FILES, "chunks": CHUNKS, "postings": POSTINGS, "vectors": VECTORS, "errors": ERRORS, "memo": MEMO, "counted": ROUNDS, "bundles": BUNDLES, "summaries": SUMMARIES,
+}
 ORDER = {
     "files": ["file_name"], "chunks": ["file_name", "chunk_index"], "postings": ["token", "file_name", "chunk_index"], "vectors": ["file_name", "chunk_index"],
-    "errors": ["file_name"], "memo": ["query"], "counted": ["query_key"],
+    "errors": ["file_name"], "memo": ["query"], "counted": ["query_key"], "bundles": ["file_name"], "summaries": ["file_name"],
 }
 CONTENT = ("files", "chunks", "postings", "vectors")
+#: What is told of a refusal, by its code; parse errors speak for themselves.
+REPLIES = {
+    "too_large": "the file is larger than allowed", "data_budget": "there is no room for the file now", "no text": "the file has no text",
+    "missing_dependency": "files of this kind cannot be read here", "embed_queued": "the file was read, and will be searchable once the model answers again",
+    "embed_failed": "the model did not answer, please send the file again", "retry_disk_full": "the model does not answer, and no more files can wait for it",
+}
 #: Refusals that another attempt may mend.
-PASSING = ("unavailable", "data_budget")
+PASSING = ("unavailable", "data_budget", "embed_queued")
 #: Up to so many asked tokens are handed to the scan one by one; more are cut by a join.
 MOST_PUSHED = 200
 
@@ -94,12 +106,27 @@ class Engine:
         refused = refused.unionByName(new.where(big).withColumn("error", F.lit("too_large")).select(*refusal))
         alike = refused.groupBy(*CONTENT_KEYS).agg(F.min("error").alias("error"))
         refused = written(refused.unionByName(join_on(twins, alike, CONTENT_KEYS).select(*refusal)).drop("sha256"), "refused")
+        made, failed = self._indexed(good)
+        queued, told = self._queued(good, failed, touched)
+        seen = known.select(*CONTENT_KEYS, "upload_time").unionByName(twins.select(*CONTENT_KEYS, "upload_time")).groupBy(*CONTENT_KEYS).agg(F.max("upload_time").alias("__seen"))
+        files = join_on(index.replace_files(old["files"], made["files"], FILE_KEYS), seen, CONTENT_KEYS, "left")
+        made["files"] = files.withColumn("last_used", F.greatest("last_used", "__seen")).drop("__seen").select(*old["files"].columns)
+        changed = {n: index.replace_files(old[n], made[n], FILE_KEYS) for n in ("chunks", "postings", "vectors")} | {"files": made["files"]}
+        refused = refused.unionByName(told)
+        errors = index.replace_files(index.remove_files(old["errors"], good, FILE_KEYS), refused, FILE_KEYS)
+        # answers of sessions whose files changed no longer hold
+        self.store.replace(touched, {**changed, "errors": errors, "memo": self._none("memo"), "bundles": queued})
+        return refused.select(*FILE_KEYS, "error")
 
+    def _indexed(self, good: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+        """New rows of the content tables for files (FILE_KEYS, text, sha256, upload_time, notes), and the keys of files that the model gave no vectors for."""
+        c = self.config
         tokenised = chunk.chunked(good, FILE_KEYS, c.chunk_size, c.chunk_overlap, c.chunk_merge).withColumn("__t", T.tokens(F.col("text")))
         chunks = written(tokenised.withColumn("dl", F.size("__t")), "chunks")
+        vectors = written(index.embed(chunks, CHUNK_KEYS, self.embedder, batch=c.embed_batch, tolerant=True), "vectors")
+        failed = written(vectors.where("embedding is null").select(*FILE_KEYS).distinct(), "failed")
+        chunks, vectors, good = (join_on(df, failed, FILE_KEYS, "left_anti") for df in (chunks, vectors, good))
         posted = written(T.term_counts(chunks.withColumnRenamed("__t", "tokens"), "tokens").select(*CHUNK_KEYS, "token", "tf", "dl"), "postings")
-        chunks = chunks.drop("__t")
-        vectors = index.embed(chunks, CHUNK_KEYS, self.embedder, batch=c.embed_batch)
         sizes = chunks.groupBy(*FILE_KEYS).agg(F.count("*").alias("n_chunks"), F.sum("dl").alias("n_tokens"))
         rows = good.select(
             *FILE_KEYS, "text", F.length("text").alias("total_chars"), "sha256", "upload_time", F.col("upload_time").alias("last_used"), F.lit(0).alias("rounds"), "notes",
@@ -107,14 +134,60 @@ class Engine:
         )
         rows = join_on(rows, sizes, FILE_KEYS, "left")
         rows = join_on(rows, posted.groupBy(*FILE_KEYS).agg(F.count("*").alias("n_postings")), FILE_KEYS, "left").na.fill(0, ["n_chunks", "n_tokens", "n_postings"])
-        seen = known.select(*CONTENT_KEYS, "upload_time").unionByName(twins.select(*CONTENT_KEYS, "upload_time")).groupBy(*CONTENT_KEYS).agg(F.max("upload_time").alias("__seen"))
-        files = join_on(index.replace_files(old["files"], rows.select(*old["files"].columns), FILE_KEYS), seen, CONTENT_KEYS, "left")
-        files = files.withColumn("last_used", F.greatest("last_used", "__seen")).drop("__seen")
-        changed = {n: index.replace_files(old[n], df, FILE_KEYS) for n, df in (("chunks", chunks), ("postings", posted), ("vectors", vectors))}
-        errors = index.replace_files(index.remove_files(old["errors"], rows, FILE_KEYS), refused, FILE_KEYS)
-        # answers of sessions whose files changed no longer hold
-        self.store.replace(touched, {"files": files, **changed, "errors": errors, "memo": self._none("memo")})
-        return refused.select(*FILE_KEYS, "error")
+        return {"files": rows, "chunks": chunks.drop("__t"), "postings": posted, "vectors": vectors}, failed
+
+    def _queued(self, good: DataFrame, failed: DataFrame, touched: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(retry bundles of the touched sessions, what is told of new ones): files without vectors wait with their text, as far as the room for that goes.
+
+        A file that comes again replaces its bundle; the room that bundles take is counted by the store.
+        """
+        c = self.config
+        (old,) = self.store.touched(touched, "bundles")
+        kept = index.remove_files(old, good, FILE_KEYS)
+        first = F.col("upload_time") + F.make_dt_interval(secs=F.lit(c.retry_first_seconds))
+        new = join_on(good, failed, FILE_KEYS, "left_semi").select(
+            *FILE_KEYS, "text", "sha256", "upload_time", "notes", F.lit(0).alias("attempts"), first.alias("next_at"), F.octet_length("text").cast("long").alias("n_bytes")
+        )
+        fits = F.lit(True)
+        if c.retry_disk_bytes and not failed.isEmpty():
+            held = self.store.live().where("name = 'bundles'").agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+            freed = join_on(old, good.select(*FILE_KEYS).distinct(), FILE_KEYS, "left_semi").agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+            room = max(0, c.retry_disk_bytes - int(held) + int(freed))
+            new = state.budget_admission(new.withColumn("__all", F.lit(0)), "__all", ["upload_time", *FILE_KEYS], "n_bytes", room).drop("__all")
+            fits = F.col("admitted")
+        new = written(new.withColumn("error", F.when(fits, "embed_queued").otherwise("retry_disk_full")), "bundles")
+        return kept.unionByName(new.where("error = 'embed_queued'").select(*old.columns)), new.select(*FILE_KEYS, "error", "upload_time")
+
+    def retry(self, now) -> DataFrame:
+        """Ask the model again for the bundles that are due; FILE_KEYS with outcome: stored, waiting or embed_failed.
+
+        What it answers for enters the store and its bundle goes; after the last attempt the bundle goes too.
+        """
+        c, at = self.config, F.lit(now).cast("timestamp")
+        due = written(self.bundles.where(F.col("next_at") <= at), "due")
+        if due.isEmpty():
+            return due.select(*FILE_KEYS, F.lit("stored").alias("outcome"))
+        old = dict(zip((*CONTENT, "errors", "bundles"), self.store.touched(due, *CONTENT, "errors", "bundles")))
+        made, failed = self._indexed(due)
+        tried = join_on(due, failed.withColumn("__failed", F.lit(True)), FILE_KEYS, "left").withColumn("attempts", F.col("attempts") + 1)
+        outcome = F.when(F.col("__failed").isNull(), "stored").when(F.col("attempts") >= max(1, c.retry_max), "embed_failed").otherwise("waiting")
+        wait = F.make_dt_interval(secs=F.lit(int(max(0.5, c.retry_minutes) * 60)))
+        tried = written(tried.withColumn("outcome", outcome).withColumn("next_at", at + wait).drop("__failed"), "tried")
+        changed = {n: index.replace_files(old[n], made[n].select(*old[n].columns), FILE_KEYS) for n in CONTENT}
+        changed["bundles"] = index.remove_files(old["bundles"], tried, FILE_KEYS).unionByName(tried.where("outcome = 'waiting'").select(*old["bundles"].columns))
+        lost = tried.where("outcome = 'embed_failed'").select(*FILE_KEYS, F.col("outcome").alias("error"), "upload_time")
+        changed["errors"] = index.remove_files(old["errors"], tried.where("outcome <> 'waiting'"), FILE_KEYS).unionByName(lost)
+        self.store.replace(due, changed | {"memo": self._none("memo")})
+        return tried.select(*FILE_KEYS, "outcome")
+
+    def replies(self, refused: DataFrame) -> DataFrame:
+        """refused (with error) and the reply for the sender."""
+        texts = F.create_map(*(F.lit(x) for pair in REPLIES.items() for x in pair))
+        return refused.withColumn("reply", F.coalesce(texts[F.col("error")], F.col("error")))
+
+    def with_settings(self, **changes) -> Engine:
+        """An engine on the same store with other settings."""
+        return Engine(self.spark, self.store.path, replace(self.config, **changes), self.embedder)
 
     def _none(self, name: str) -> DataFrame:
         return self.spark.createDataFrame([], TABLES[name])
@@ -134,7 +207,8 @@ class Engine:
         """Remove sessions (gone: session_id) or files (gone: the file keys)."""
         gone = written(gone, "gone")
         keys = [k for k in FILE_KEYS if k in gone.columns]
-        left = {n: index.remove_files(df, gone, keys) for n, df in zip(CONTENT, self.store.touched(gone, *CONTENT))}
+        tables = (*CONTENT, "bundles", "summaries")
+        left = {n: index.remove_files(df, gone, keys) for n, df in zip(tables, self.store.touched(gone, *tables))}
         self.store.replace(gone, left | {"memo": self._none("memo")})
 
     def expire(self, now) -> DataFrame:
@@ -165,7 +239,8 @@ class Engine:
         self.store.replace(keyed, {"files": rows.select(*files.columns), "counted": late.unionByName(new)})
 
     def embed_queries(self, queries: DataFrame) -> DataFrame:
-        return queries.join(index.embed(queries, ["query_id"], self.embedder, batch=self.config.embed_batch), "query_id")
+        """queries with embedding, null where the model failed."""
+        return queries.join(written(index.embed(queries, ["query_id"], self.embedder, batch=self.config.embed_batch, tolerant=True), "embedded"), "query_id")
 
     def search(self, queries: DataFrame, session_id: str | None, use_vector: bool = True) -> DataFrame:
         """query_id, file_name, chunk_index, text, score, source, rank of questions (query_id, text) to one session."""
@@ -248,11 +323,30 @@ class Engine:
         whole = session.direct_text(mine, "session_id", self.config.direct_limit).limit(1).collect()  # bounded by the limit
         if whole:
             return queries.select("query_id", F.lit("direct").alias("mode"), F.lit(whole[0].context).alias("context"))
+        heads = self._summary_heads(session_id)
         files = retrieve.grouped_by_file(self.search(queries, session_id), "file_name")
         block = F.concat(F.lit("《"), F.col("file_name"), F.lit("》\n"), F.col("text"))
         items = F.array_sort(F.collect_list(F.struct("first_rank", block.alias("t"))))
         out = files.groupBy("query_id").agg(F.array_join(F.transform(items, lambda x: x["t"]), "\n").alias("context"))
-        return out.select("query_id", F.lit("retrieved").alias("mode"), "context")
+        found = F.concat(F.lit(heads + "\n"), F.col("context")) if heads else F.col("context")
+        out = out.select("query_id", F.lit("retrieved").alias("mode"), found.alias("context"))
+        # summaries take the place of hits only where neither arm could look: no vector of the question, and no index
+        if not heads or self.config.hybrid and self._lexical_sizes(mine, session_id)[2]:
+            return out
+        blind = self.embed_queries(queries).where("embedding is null").select("query_id", F.lit("summary").alias("mode"), F.lit(heads).alias("context"))
+        return out.unionByName(blind.join(out.select("query_id"), "query_id", "left_anti"))
+
+    def _summary_heads(self, session_id: str | None) -> str:
+        """The session's summaries by file; each is short, and a session has one a file."""
+        (rows,) = self.store.of_sessions([session_id], "summaries")
+        held = rows.where("state = 'done'").select("file_name", F.left("summary", F.lit(self.config.summary_most_chars)).alias("summary")).orderBy("file_name").collect()
+        return "\n".join(f"《{r.file_name}》概要：\n{r.summary}" for r in held)
+
+    def items(self, contexts: DataFrame) -> DataFrame:
+        """A system item for each context (query_id, mode, context): item_id, kind and text; the id tells later calls that it was given."""
+        kind = F.when(F.col("mode") == "summary", "summary").otherwise("context")
+        ident = F.concat_ws(":", F.lit("docquery"), kind, F.md5(F.concat_ws(":", F.col("query_id").cast("string"), F.col("context"))))
+        return contexts.select("query_id", F.lit("system").alias("item_type"), ident.alias("item_id"), kind.alias("kind"), F.col("context").alias("text"))
 
     def accepted(self, triggers: DataFrame, tie: str = "event_id") -> DataFrame:
         """triggers (session_id, ident, ts) that start work: none within `dedup_seconds` of the last that did."""
@@ -281,6 +375,51 @@ class Engine:
         rows = self.files.join(large, "session_id", "left_semi")
         return rows.select(*FILE_KEYS, T.sample_for_summary(F.col("text"), self.config.summary_chars).alias("sample"))
 
+    def claim_summaries(self, worker: str, now, attempts: int = 5) -> DataFrame:
+        """FILE_KEYS and sample of the files that this worker is to summarise; each is claimed by one worker until its claim expires.
+
+        A file is up for a claim if its session doesn't fit in full, its bytes have no summary, no claim is young enough and
+        no failure is within its cooldown.  Of two workers who claim at once the store lets one commit; the other looks again.
+        """
+        c, at = self.config, F.lit(now).cast("timestamp")
+        for turn in range(attempts):
+            base = self.store.next_number()
+            wanted = self.summary_inputs().join(self.files.select(*(F.col(k).alias(f"__{k}") for k in FILE_KEYS), "sha256"), self._same_file()).drop(*(f"__{k}" for k in FILE_KEYS))
+            age = F.unix_seconds(at) - F.unix_seconds("at")
+            busy = ((F.col("state") == "claimed") & (age < c.summary_claim_seconds)) | ((F.col("state") == "failed") & (age < c.summary_retry_seconds)) | (F.col("state") == "done")
+            mine = written(join_on(wanted, self.summaries.where(busy).select(*FILE_KEYS, "sha256"), [*FILE_KEYS, "sha256"], "left_anti"), "claims")
+            if mine.isEmpty() or self._put_summaries(mine.select(*FILE_KEYS, "sha256", F.lit("claimed").alias("state"), F.lit(worker).alias("worker"), at.alias("at"), F.lit(None).cast("string").alias("summary")), base):
+                return mine.drop("sha256")
+        return mine.drop("sha256").limit(0)
+
+    @staticmethod
+    def _same_file():
+        return reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in FILE_KEYS))
+
+    def _put_summaries(self, rows: DataFrame, base: int | None = None) -> bool:
+        """Replace rows of these files; False if base is given and another commit came first."""
+        (old,) = self.store.touched(rows, "summaries")
+        try:
+            self.store.replace(rows, {"summaries": index.replace_files(old, rows, FILE_KEYS)}, base)
+        except Taken:
+            return False
+        return True
+
+    def store_summaries(self, made: DataFrame, worker: str, now) -> None:
+        """made: FILE_KEYS, summary (null or blank: it failed, and waits for its cooldown). Only what the worker has claimed, of the bytes it claimed, is taken."""
+        at = F.lit(now).cast("timestamp")
+        given = made.select(*FILE_KEYS, F.col("summary").alias("__summary"))
+        claims = join_on(self.summaries.where((F.col("state") == "claimed") & (F.col("worker") == worker)), given, FILE_KEYS)
+        fine = F.length(F.trim(F.coalesce("__summary", F.lit("")))) > 0
+        rows = claims.select(*FILE_KEYS, "sha256", F.when(fine, "done").otherwise("failed").alias("state"), "worker", at.alias("at"), F.when(fine, F.col("__summary")).alias("summary"))
+        rows = written(join_on(rows, self.files.select(*FILE_KEYS, "sha256"), [*FILE_KEYS, "sha256"], "left_semi"), "summaries")
+        if not rows.isEmpty():
+            self._put_summaries(rows)
+
+    def wanted(self, messages: DataFrame, body: str = "body") -> DataFrame:
+        """messages that files are taken from: all, or those outside groups."""
+        return messages if self.config.enable_group else messages.where(~from_group(F.col(body)))
+
     def failures(self, now) -> DataFrame:
         """session_id, file_name, error: the newest refusals of each session, young enough; what is given once is not given again."""
         c = self.config

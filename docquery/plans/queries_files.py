@@ -295,6 +295,18 @@ def parse_archives(spark, sf_dir):
 # -- messages --------------------------------------------------------------------------------------
 
 
+@query("SELECT doc_id, doc_id % 6 IN (1, 2, 3, 5) AS from_group FROM documents")
+def group_filter(spark, sf_dir):
+    """Which messages, made of each document's source and number, come from a group."""
+    n, src = F.col("doc_id"), F.coalesce("source", F.lit("x"))
+    info = (
+        F.when(n % 6 == 1, F.concat(F.lit('{"group_id": "'), src, F.lit('"}'))).when(n % 6 == 2, F.concat(F.lit('{"group_info": {"group_name": "'), src, F.lit('"}}')))
+        .when(n % 6 == 3, F.lit('{"group_info": {"group_all": true}}')).when(n % 6 == 4, F.lit('{"group_id": "", "group_info": {"group_all": false}}')).otherwise(F.lit("null"))
+    )
+    body = F.concat(F.lit('{"message_info": '), info, F.when(n % 6 == 5, F.lit(', "is_group": 1}')).otherwise(F.lit("}")))
+    return table(spark, sf_dir, "documents").select("doc_id", messages.from_group(body).alias("from_group"))
+
+
 @query("SELECT doc_id, 0 AS line, 'doc ' || doc_id || '.txt' AS name, n_chars AS size_hint, CASE WHEN doc_id % 2 = 0 THEN 'https://files.example.org/' || doc_id || '?a=1' END AS url FROM documents UNION ALL SELECT doc_id, 2, 'clip' || doc_id || '.mp4', 0, NULL FROM documents WHERE doc_id % 3 = 0")
 def parse_hints(spark, sf_dir):
     """Plain-text messages made of each document's number and length."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -145,6 +146,13 @@ def context(messages: DataFrame, keys: list[str], body: str = "body") -> DataFra
     )
 
 
+def from_group(body: Column) -> Column:
+    """Whether a JSON message comes from a group: an id, or the group's own id, name or all-flag."""
+    spots = ("$.message_info.group_id", "$.message_info.group_info.group_id", "$.message_info.group_info.group_name", "$.message_info.group_info.group_all", "$.is_group")
+    said = lambda p: F.lower(F.coalesce(F.get_json_object(body, p), F.lit("")))
+    return reduce(Column.__or__, (~said(p).isin("", "0", "false", "null") for p in spots))
+
+
 def session_key(body: Column, *paths: str) -> Column:
     """First filled of the given JSON paths."""
     usual = paths or ("$.session_id", "$.stream_id", "$.chat_id", "$.message_info.session_id")
