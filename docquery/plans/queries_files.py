@@ -37,6 +37,26 @@ def chunk_documents(spark, sf_dir):
     return rows.select("doc_id", "chunk_index", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
+@query("SELECT doc_id, 0::BIGINT AS too_long, 0::BIGINT AS blank, true AS covered FROM documents WHERE trim(text, ' \t\n\r') <> ''")
+def chunk_cover(spark, sf_dir):
+    """What holds for the chunks of every document: none is longer than 1024 or blank, and in order they cover the stripped text, each starting in the last 128 characters of the one before or right behind it."""
+    text = T.strip(F.col("text"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", text.alias("t"), chunk.chunks_of(F.col("text")).alias("c")).where(F.size("c") > 0)
+    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("end"), F.lit(True).alias("ok"))
+
+    def step(acc, x):
+        found = F.call_function("locate", x, F.col("t"), F.greatest(acc["at"] + 1, acc["end"] - 127))
+        gap = F.col("t").substr(acc["end"] + 1, F.greatest(found - acc["end"] - 1, F.lit(0)))
+        return F.struct(found.alias("at"), (found + F.length(x) - 1).alias("end"), (acc["ok"] & (found > 0) & (T.strip(gap) == "")).alias("ok"))
+
+    last = F.aggregate("c", zero, step)
+    out = rows.select("doc_id", "t", "c", last.alias("s"))
+    return out.select(
+        "doc_id", F.size(F.filter("c", lambda x: F.length(x) > 1024)).cast("long").alias("too_long"), F.size(F.filter("c", lambda x: T.strip(x) == "")).cast("long").alias("blank"),
+        (F.col("s.ok") & (F.col("s.end") == F.length("t"))).alias("covered"),
+    )
+
+
 @query("SELECT doc_id, md5(trim(text, ' \t\n\r')) AS text_md5 FROM documents WHERE trim(text, ' \t\n\r') <> ''")
 def chunk_roundtrip(spark, sf_dir):
     """Chunks without overlap, joined again: the stripped text."""
@@ -132,7 +152,15 @@ def store_stats(spark, sf_dir):
 # -- pages and links -------------------------------------------------------------------------------
 
 
-@query()
+#: Tags as marks (1: any, 1 2 1: a block), then each text between marks is read and stripped on its own, as a parser's texts are.
+_HTML_SQL = r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<head>.*?</head>', chr(1), 'g'), '(?s)<!--.*?-->', chr(1), 'g') AS h FROM pages),
+b AS (SELECT page_id, regexp_replace(regexp_replace(h, '(?i)</?(p|div|li|tr|br|h[1-6]|section|article|table)([\s/][^>]*)?>', chr(1) || chr(2) || chr(1), 'g'), '<[^>]*>', chr(1), 'g') AS h FROM a),
+c AS (SELECT page_id, array_to_string(list_transform(string_split(h, chr(1)), lambda x: trim(replace(replace(replace(replace(x, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), ' ' || chr(9) || chr(10) || chr(13))), '') AS h FROM b),
+d AS (SELECT page_id, trim(regexp_replace(regexp_replace(replace(h, chr(2), chr(10)), '[ \t\r\f\v]+', ' ', 'g'), '\n\s*\n\s*', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13)) AS t FROM c)
+SELECT page_id, 'html' AS format, NULL::VARCHAR AS error, length(t)::INT AS n_chars, md5(t) AS text_md5 FROM d"""
+
+
+@query(_HTML_SQL)
 def html_to_text(spark, sf_dir):
     rows = table(spark, sf_dir, "pages").select("page_id", F.encode("html", "utf-8").alias("content"), F.lit("page.html").alias("file_name"))
     out = formats.parse_files(rows, ["page_id"])
