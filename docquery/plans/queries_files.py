@@ -10,7 +10,7 @@ from docquery.functions import text as T
 from docquery.operators import chunk, session, state
 from docquery.plans.queries_index import table
 from docquery.plans.scratch import new_folder
-from docquery.sources import archives, files, formats, messages
+from docquery.sources import archives, files, formats, messages, pages
 from docquery.streaming import stateful
 
 QUERIES: dict = {}
@@ -320,6 +320,22 @@ def parse_archives(spark, sf_dir):
     return formats.parse_files(rows, ["doc_id"]).select("doc_id", "format", F.md5("text").alias("text_md5"), "error")
 
 
+@query(f"""WITH d AS (SELECT doc_id, list_transform(string_split(regexp_replace(text, '[^ -~\\n]', '_', 'g'), chr(10)), lambda x: trim(x, ' ')) AS ls FROM documents WHERE text IS NOT NULL),
+b AS (SELECT doc_id, array_to_string(list_filter(ls, lambda x: x <> ''), chr(10)) AS body, len(list_filter(ls, lambda x: x <> '')) AS n FROM d)
+SELECT doc_id, CASE WHEN n > 0 THEN md5(body) END AS text_md5, CASE WHEN n = 0 THEN 'no text layer; the pages are scanned' END AS error FROM b""")
+def parse_pdf_pages(spark, sf_dir):
+    """Documents as PDF files with a page for each line, read by ranges of four pages."""
+
+    @F.pandas_udf("binary")
+    def built(lines: pd.Series) -> pd.Series:
+        return pd.Series([archives.pdf([*x] or [""]) for x in lines], dtype=object)
+
+    lines = F.filter(F.transform(F.split(F.regexp_replace("text", "[^ -~\\n]", "_"), "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    rows = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", built(lines).alias("content"))
+    out = pages.parse_pdfs(rows, ["doc_id"], most_pages=0, pages_each=4)
+    return out.select("doc_id", F.md5("text").alias("text_md5"), "error")
+
+
 # -- messages --------------------------------------------------------------------------------------
 
 

@@ -7,6 +7,7 @@ import gzip
 import io
 import json
 import zipfile
+import zlib
 from email.message import EmailMessage
 from xml.sax.saxutils import escape
 
@@ -67,3 +68,16 @@ def sound(kind: str, n: int) -> bytes:
     if kind == "opus":
         return _ogg_page(7, 0, b"OpusHead\x01\x02" + (312).to_bytes(2, "little") + bytes(7)) + _ogg_page(7, 312 + 960 * n, b"x") + _ogg_page(7, -1 % (1 << 64), b"x")
     return b"\0\0\0\x10ftypM4A \0\0\0\0\0\0\0\x24moov\0\0\0\x1cmvhd" + bytes(12) + (1000).to_bytes(4, "big") + (250 * n).to_bytes(4, "big")
+
+
+def pdf(pages: list[str], deflate: bool = True) -> bytes:
+    """A simple PDF with a page for each text, a line of it on each line."""
+    shown = lambda x: x.replace("\\", r"\\").replace("(", r"\(").replace(")", r"\)").encode("cp1252", "replace")
+    out = [b"%PDF-1.4\n1 0 obj\n<< /Type /Catalog /Pages 2 0 R >>\nendobj\n"]
+    kids = " ".join(f"{3 + 2 * n} 0 R" for n in range(len(pages)))
+    out.append(f"2 0 obj\n<< /Type /Pages /Count {len(pages)} /Kids [{kids}] >>\nendobj\n".encode())
+    for n, text in enumerate(pages):
+        body = b"BT /F1 12 Tf\n" + b"".join(b"(" + shown(x) + b") Tj T*\n" for x in text.split("\n")) + b"ET"
+        body, kind = (zlib.compress(body), "/Filter /FlateDecode ") if deflate else (body, "")
+        out.append(f"{3 + 2 * n} 0 obj\n<< /Type /Page /Parent 2 0 R /Contents {4 + 2 * n} 0 R >>\nendobj\n{4 + 2 * n} 0 obj\n<< {kind}/Length {len(body)} >>\nstream\n".encode() + body + b"\nendstream\nendobj\n")
+    return b"".join([*out, b"trailer << /Root 1 0 R >>\n%%EOF"])

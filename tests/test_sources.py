@@ -237,3 +237,30 @@ def test_parsing_notice(spark):
     rows = spark.createDataFrame([("s", "a", 1000), ("s", "b", 1050), (None, "c", 100), ("old", "d", -20_000)], "session_id string, file_name string, started long")
     got = {r.session_id: (r.listed, r.waited) for r in session.parsing_notice(rows, F.lit(1080)).collect()}
     assert got == {"s": ("《a》、《b》", "80 秒"), None: ("《c》", "16 分钟")}
+
+
+def test_pdf_by_ranges(spark):
+    """One large file is read by several tasks, in order; where an engine breaks the next one reads, and all errors are kept."""
+    from pyspark.sql import functions as F
+
+    from docquery.sources import archives, formats, pages
+
+    texts = [f"page {n} (of \\ many)\nsecond line" for n in range(500)]
+    broken = [("first", lambda data: (_ for _ in ()).throw(RuntimeError("cannot open"))), ("plain", pages.plain)]
+
+    def half(data):
+        return [lambda n=n: texts[n] if n < 60 else 1 / 0 for n in range(500)]
+
+    rows = [("big", archives.pdf(texts)), ("small", archives.pdf(["one"], deflate=False)), ("scan", archives.pdf([""])), ("bad", b"%PDF-1.7 nothing"), (None, archives.pdf(["no name"]))]
+    df = spark.createDataFrame([(k, bytearray(v)) for k, v in rows], "k string, content binary")
+    got = {r.k: r for r in pages.parse_pdfs(df, ["k"], pages_each=50, engines=broken).collect()}
+    assert got["big"].text == "\n".join(texts) and got["big"].error is None and got["big"].notes == ["first RuntimeError: cannot open"]
+    assert got["small"].text == "one" and got[None].text == "no name" and got["scan"].error == "no text layer; the pages are scanned"
+    assert got["bad"].error == "first RuntimeError: cannot open; plain ValueError: no plain page objects"
+    cut = {r.k: r for r in pages.parse_pdfs(df.where("k = 'big'"), ["k"], most_pages=120, pages_each=50, engines=[("half", half), ("plain", pages.plain)]).collect()}["big"]
+    assert cut.text == "\n".join(texts[:120]) and cut.notes == ["read 120 of 500 pages", "half ZeroDivisionError: division by zero"]
+    none = pages.parse_pdfs(df.where("k = 'big'"), ["k"], engines=[("half", half)]).first()
+    assert none.text is None and none.error == "half ZeroDivisionError: division by zero"
+    whole = formats.parse_files(df.withColumn("file_name", F.lit("x.pdf")), ["k"])
+    assert {r.k: r.text for r in whole.collect()}["big"] == "\n".join(texts)
+    assert formats.parse(archives.pdf(["inside"]), "x.bin")[:3] == ("inside", "pdf", None)
