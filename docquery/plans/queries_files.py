@@ -320,6 +320,31 @@ def parse_archives(spark, sf_dir):
     return formats.parse_files(rows, ["doc_id"]).select("doc_id", "format", F.md5("text").alias("text_md5"), "error")
 
 
+_RICH = ("xlsx", "pptx", "ipynb", "ods", "odp", "odt", "epub", "docx")
+
+
+@query(f"""WITH d AS (SELECT doc_id, list_transform({_LINES}, lambda x: regexp_replace(x, '[ \t]+', ' ', 'g')) AS ls, doc_id % 8 AS k FROM documents WHERE trim(text, ' \t\n\r') <> ''),
+p AS (SELECT doc_id, k, CASE WHEN k = 0 THEN ['=== One ==='] WHEN k = 3 THEN ['=== One ==='] ELSE [] END
+ || list_transform(ls, lambda x, i: CASE k WHEN 0 THEN x || chr(9) || i WHEN 1 THEN '=== 幻灯片 ' || i || ' ===' || chr(10) || x WHEN 2 THEN CASE WHEN i % 2 = 0 THEN '[code] ' ELSE '[md] ' END || x
+  WHEN 3 THEN x || chr(9) || (i - 1) WHEN 4 THEN '=== 幻灯片 ' || i || ' ===' || chr(10) || x WHEN 7 THEN x || chr(9) || 'end' ELSE x END)
+ || CASE k WHEN 0 THEN ['=== Two ===', '7'] WHEN 5 THEN ['left' || chr(9) || 'right'] WHEN 7 THEN ['top'] ELSE [] END AS parts FROM d)
+SELECT doc_id, ['xlsx', 'pptx', 'ipynb', 'ods', 'odp', 'odt', 'epub', 'docx'][(k + 1)::INT] AS format, md5(CASE WHEN k IN (2, 6) THEN array_to_string(parts, chr(10) || chr(10)) ELSE array_to_string(parts, chr(10)) END) AS text_md5, NULL::VARCHAR AS error FROM p""")
+def parse_rich_archives(spark, sf_dir):
+    """Documents' lines as sheets with shared strings, slides, notebook cells, chapters, tables and headers of eight formats, and read back."""
+
+    @F.pandas_udf("binary")
+    def built(lines: pd.Series, kinds: pd.Series) -> pd.Series:
+        return pd.Series([archives.build_rich([*x], k) for x, k in zip(lines, kinds)], dtype=object)
+
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x, F.lit(" \t\r"))), lambda x: x != "")
+    lines = F.transform(lines, lambda x: F.regexp_replace(x, "[ \t]+", " "))
+    kind = _pick(_RICH, F.col("doc_id"))
+    docs = table(spark, sf_dir, "documents").where(F.trim("text", F.lit(" \t\n\r")) != "")
+    rows = docs.select("doc_id", built(lines, kind).alias("content"), F.concat(F.lit("f."), kind).alias("file_name"))
+    out = formats.parse_files(rows, ["doc_id"], limits=formats.Limits(text_chars=0, epub_items=0))
+    return out.select("doc_id", "format", F.md5("text").alias("text_md5"), "error")
+
+
 @query(f"""WITH d AS (SELECT doc_id, list_transform(string_split(regexp_replace(text, '[^ -~\\n]', '_', 'g'), chr(10)), lambda x: trim(x, ' ')) AS ls FROM documents WHERE text IS NOT NULL),
 b AS (SELECT doc_id, array_to_string(list_filter(ls, lambda x: x <> ''), chr(10)) AS body, len(list_filter(ls, lambda x: x <> '')) AS n FROM d)
 SELECT doc_id, CASE WHEN n > 0 THEN md5(body) END AS text_md5, CASE WHEN n = 0 THEN 'no text layer; the pages are scanned' END AS error FROM b""")
@@ -508,11 +533,11 @@ def expiry_sliding(spark, sf_dir):
     return out.select("user_id", "rounds", "expiry")
 
 
-@query(f"SELECT user_id, a::INT AS attempt, floor(max({_T}) + 30 + (a - 1) * 120)::BIGINT AS due FROM events, range(1, 31) r(a) WHERE event_type = 'error' GROUP BY user_id, a")
+@query(f"SELECT user_id, event_type, a::INT AS attempt, floor(max({_T}) + 30 + (a - 1) * 120)::BIGINT AS due FROM events, range(1, 31) r(a) GROUP BY user_id, event_type, a")
 def retry_schedule(spark, sf_dir):
-    """When a user's last error is tried again."""
-    rows = state.retry_schedule(table(spark, sf_dir, "events").where("event_type = 'error'"), ["user_id"], "ts")
-    return rows.select("user_id", "attempt", F.floor(state.seconds(F.col("due"))).alias("due"))
+    """When the last event of a user and type, taken as a failure, is tried again."""
+    rows = state.retry_schedule(table(spark, sf_dir, "events"), ["user_id", "event_type"], "ts")
+    return rows.select("user_id", "event_type", "attempt", F.floor(state.seconds(F.col("due"))).alias("due"))
 
 
 @query(f"""WITH x AS (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1),

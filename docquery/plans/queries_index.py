@@ -267,7 +267,7 @@ def hits_grouped(spark, sf_dir):
     """Hits joined by file, the source standing for the file."""
     docs, vectors, asked = _inputs(spark, sf_dir)
     hits = retrieve.hybrid(docs, vectors, ["doc_id"], asked).select("query_id", "doc_id", "rank")
-    rows = docs.select("doc_id", F.col("source").alias("file"), "text").join(F.broadcast(hits), "doc_id")  # six rows a query
+    rows = docs.select("doc_id", F.col("source").alias("file"), "text").join(hits, "doc_id")
     return retrieve.grouped_by_file(rows, "file").select("query_id", "file", "first_rank", F.md5("text").alias("text_md5"))
 
 

@@ -81,3 +81,37 @@ def pdf(pages: list[str], deflate: bool = True) -> bytes:
         body, kind = (zlib.compress(body), "/Filter /FlateDecode ") if deflate else (body, "")
         out.append(f"{3 + 2 * n} 0 obj\n<< /Type /Page /Parent 2 0 R /Contents {4 + 2 * n} 0 R >>\nendobj\n{4 + 2 * n} 0 obj\n<< {kind}/Length {len(body)} >>\nstream\n".encode() + body + b"\nendstream\nendobj\n")
     return b"".join([*out, b"trailer << /Root 1 0 R >>\n%%EOF"])
+
+
+def build_rich(lines: list[str], kind: str) -> bytes:
+    """Lines as a file of several parts: sheets with shared strings, slides, cells, chapters, headers, tables."""
+    if kind == "xlsx":
+        shared = "".join(f"<si><t>{escape(x)}</t></si>" for x in lines)
+        rows = "".join(f'<row><c r="B{n}"><v>{n}</v></c><c r="A{n}" t="s"><v>{n - 1}</v></c></row>' for n in range(1, len(lines) + 1))
+        return _zip({
+            "xl/workbook.xml": '<workbook><sheet name="One"/><sheet name="Two"/></workbook>', "xl/sharedStrings.xml": f"<sst>{shared}</sst>",
+            "xl/worksheets/sheet1.xml": f"<worksheet>{rows}</worksheet>", "xl/worksheets/sheet2.xml": "<worksheet><row><c><v>7</v></c></row></worksheet>",
+        })
+    if kind == "pptx":
+        return _zip({f"ppt/slides/slide{n}.xml": f'<s xmlns:a="urn:a"><a:p><a:r><a:t>{escape(x)}</a:t></a:r></a:p></s>' for n, x in enumerate(lines, 1)})
+    if kind == "ipynb":
+        cells = [{"cell_type": "code" if n % 2 else "markdown", "source": [x[:3], x[3:]], "outputs": [{"text": "left out"}]} for n, x in enumerate(lines)]
+        return json.dumps({"cells": cells}).encode()
+    odf, head = "application/vnd.oasis.opendocument.", '<d xmlns:t="urn:t" xmlns:b="urn:b" xmlns:d="urn:d" xmlns:o="urn:o">'
+    if kind == "ods":
+        rows = "".join(f'<b:table-row><b:table-cell><t:p>{escape(x)}</t:p></b:table-cell><b:table-cell o:value="{n}"/></b:table-row>' for n, x in enumerate(lines))
+        return _zip({"mimetype": f"{odf}spreadsheet", "content.xml": f'{head}<b:table b:name="One">{rows}</b:table></d>'})
+    if kind == "odp":
+        return _zip({"mimetype": f"{odf}presentation", "content.xml": head + "".join(f"<d:page><t:p>{escape(x)}</t:p></d:page>" for x in lines) + "</d>"})
+    if kind == "odt":
+        table = "<b:table><b:table-row><b:table-cell><t:p>left</t:p></b:table-cell><b:table-cell><t:p>right</t:p></b:table-cell></b:table-row></b:table>"
+        return _zip({"mimetype": f"{odf}text", "content.xml": head + table + "".join(f"<t:h>{escape(x)}</t:h>" for x in lines) + "</d>"})
+    if kind == "epub":
+        items = "".join(f'<item id="c{n}" href="c{n}.xhtml" media-type="application/xhtml+xml"/>' for n in range(len(lines)))
+        spine = "".join(f'<itemref idref="c{n}"/>' for n in range(len(lines)))
+        return _zip({
+            "mimetype": "application/epub+zip", "META-INF/container.xml": '<c><rootfile full-path="OPS/book.opf"/></c>', "OPS/book.opf": f"<p><manifest>{items}</manifest><spine>{spine}</spine></p>",
+            **{f"OPS/c{n}.xhtml": f"<html><head><title>no</title></head><body><p>{escape(x)}</p></body></html>" for n, x in enumerate(lines)},
+        })
+    body = "".join(f"<w:p><w:r><w:t>{escape(x)}</w:t><w:tab/><w:t>end</w:t></w:r></w:p>" for x in lines)
+    return _zip({"word/header1.xml": '<w:h xmlns:w="urn:w"><w:p><w:t>top</w:t></w:p></w:h>', "word/document.xml": f'<w:document xmlns:w="urn:w">{body}</w:document>'})
