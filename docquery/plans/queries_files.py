@@ -608,3 +608,15 @@ def stream_spells(spark, sf_dir):
     spells = stateful.replay(stateful.spell_stream(_event_stream(spark, sf_dir), "user_id", "ts", 3600), f"{at}/state", f"{at}/out")
     length = F.unix_micros("ended") - F.unix_micros("started")
     return spells.select("user_id", "touches", F.round(length / 1e6, 3).alias("seconds"))
+
+
+@query(f"""WITH e AS (SELECT user_id, {_T} AS t, event_type IN ('error', 'click') AS bad, lead({_T}) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events)
+SELECT user_id, a::INT AS attempt, round(t + 30 + (a - 1) * 7200, 3) AS due FROM e, range(1, 6) r(a)
+WHERE bad AND t + 30 + (a - 1) * 7200 < coalesce(nxt, (SELECT max({_T}) FROM events) - 600)""")
+def stream_retries(spark, sf_dir):
+    """Attempts after each user's errors and clicks (taken as failures) as a stream with timers: up to five, every two hours, until the next event."""
+    at = new_folder(spark, "stream")
+    events = _event_stream(spark, sf_dir).withColumn("failed", F.col("event_type").isin("error", "click"))
+    given = stateful.retry_stream(events, "user_id", "ts", "event_id", "failed", every=7200, most=5)
+    rows = stateful.replay(given, f"{at}/state", f"{at}/out")
+    return rows.select("user_id", "attempt", F.round(F.unix_micros("due") / 1e6, 3).alias("due"))

@@ -86,6 +86,72 @@ class IdleSpells(StatefulProcessor):
         pass
 
 
+class RetryQueue(StatefulProcessor):
+    """Times in microseconds.  A failure waits: after `first` seconds, then every `every` seconds, an attempt is given, `most` of them at most.
+
+    A newer failure of the key starts anew, a success ends the wait.  Attempts that are due before the next event of the key are given
+    with it; the last event's wait in the state, each under a timer, and are given as the watermark passes them, also after a restart.
+    """
+
+    def __init__(self, key: str, time: str, tie: str, failed: str, first: float, every: float, most: int):
+        self.key, self.time, self.tie, self.failed = key, time, tie, failed
+        self.first, self.every, self.most = round(first * 1e6), round(every * 1e6), most
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.wait = handle.getValueState("wait", "since long, given int")
+
+    def _due(self, since: int, given: int, before: int) -> list[tuple[int, int, int]]:
+        """(since, attempt, due) of the attempts after `given` that are due before a time."""
+        out = []
+        while given < self.most and (due := since + self.first + given * self.every) < before:
+            given += 1
+            out.append((since, given, due))
+        return out
+
+    def _rows(self, key, given: list[tuple[int, int, int]]) -> Iterator[pd.DataFrame]:
+        if given:
+            at = pd.to_datetime([d for *_, d in given], unit="us").astype("datetime64[us]")
+            yield pd.DataFrame({self.key: [key[0]] * len(given), "attempt": [a for _, a, _ in given], "due": at})
+
+    def _keep(self, since: int | None, given: int) -> None:
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer)
+        if since is None or given >= self.most:
+            self.wait.clear()
+        else:
+            self.wait.update((since, given))
+            self.handle.registerTimer((since + self.first + given * self.every) // 1000 + 1)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        parts = [pd.DataFrame({"t": f[self.time].astype("datetime64[us]").astype("int64"), "tie": f[self.tie], "bad": f[self.failed]}) for f in rows]
+        since, given = self.wait.get() if self.wait.exists() else (None, 0)
+        out: list[tuple[int, int, int]] = []
+        for t, bad in pd.concat(parts).sort_values(["t", "tie"])[["t", "bad"]].itertuples(index=False):
+            if since is not None:
+                out += self._due(since, given, t)
+            since, given = (int(t), 0) if bad else (None, 0)
+        self._keep(since, given)
+        yield from self._rows(key, out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.wait.exists():
+            since, given = self.wait.get()
+            out = self._due(since, given, timerValues.getCurrentWatermarkInMs() * 1000)
+            self._keep(since, given + len(out))
+            yield from self._rows(key, out)
+
+    def close(self) -> None:
+        pass
+
+
+def retry_stream(events: DataFrame, key: str, time: str, tie: str, failed: str, *, first: float = 30, every: float = 120, most: int = 30, late: str = "10 minutes") -> DataFrame:
+    """(key, attempt, due) of a stream of failures and successes (failed: boolean), by event time; rows later than the watermark are dropped."""
+    out = f"{key} {dict(events.dtypes)[key]}, attempt int, due timestamp"
+    marked = events.select(key, time, tie, failed).withWatermark(time, late)
+    return marked.groupBy(key).transformWithStateInPandas(RetryQueue(key, time, tie, failed, first, every, most), out, "Append", "EventTime")
+
+
 def dedup_stream(events: DataFrame, key: str, time: str, tie: str, apart: float) -> DataFrame:
     """Streaming events that pass the greedy window of their key."""
     return events.groupBy(key).transformWithStateInPandas(GreedyWindow(apart, time, tie), events.schema, "Append", "None")

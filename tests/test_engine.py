@@ -204,3 +204,27 @@ def test_settings_act(spark, tmp_path):
     mp4 = bytes.fromhex("00000010") + b"ftypisom" + bytes(4) + bytes.fromhex("00000024") + b"moov" + bytes.fromhex("0000001c") + b"mvhd" + bytes(12) + (600).to_bytes(4, "big") + (6000).to_bytes(4, "big")
     clips = incoming(spark, ("s", "a.mp4", mp4, 0), ("s", "b.mp4", mp4, 1), ("s", "c.mp4", b"", 2), ("s", "d.txt", b"x", 3))
     assert {r.file_name: (r.seconds, r.reason) for r in plain.checked_media(clips).collect()} == {"a.mp4": (10.0, None), "b.mp4": (10.0, "quota"), "c.mp4": (None, "empty")}
+
+
+def test_retries_survive_a_restart(spark, tmp_path):
+    """Half of the events, a restart from the checkpoint, and the other half give the attempts of all: waits and their timers are in the state."""
+    from docquery.streaming import stateful
+
+    rng = random.Random(4)
+    times = sorted(rng.uniform(0, 40_000) for _ in range(60))
+    rows = [(i, rng.choice(["a", "b", None]), T0 + dt.timedelta(seconds=t), rng.random() < 0.7) for i, t in enumerate(times)]
+    rows += [(100, "end", T0 + dt.timedelta(seconds=60_000), False)]
+    want, last = set(), {}
+    for i, k, t, bad in [*rows, *((1000, k, T0 + dt.timedelta(seconds=60_000 - 600), False) for k in ("a", "b", None))]:
+        if k in last:
+            want |= {(k, a, last[k] + dt.timedelta(seconds=30 + 600 * (a - 1))) for a in range(1, 5) if last[k] + dt.timedelta(seconds=30 + 600 * (a - 1)) < t}
+        last[k] = t
+        if not bad:
+            last.pop(k)
+    schema = "event_id int, k string, ts timestamp, failed boolean"
+    got = []
+    for part in (rows[:31], rows[31:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = stateful.retry_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "k", "ts", "event_id", "failed", every=600, most=4)
+        got.append({(r.k, r.attempt, r.due) for r in stateful.replay(stream, str(tmp_path / "state"), str(tmp_path / "out")).collect()})
+    assert got[1] == want and got[0] < want and len(want) > 40
