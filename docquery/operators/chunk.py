@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docquery.operators.keys import spread
+
 #: Separators in order (fixed values).
 SEPARATORS = ("\n\n", "\n", "。", "！", "？", "；", ".", "!", "?", ";", "，", ",", " ")
 #: A leading run of separators joins the first piece; every piece takes the run behind it.
@@ -79,5 +81,5 @@ def chunks_of(text: Column, size: int = 1024, overlap: int = 128, merge: bool =
 
 def chunked(files: DataFrame, keys: list[str], size: int = 1024, overlap: int = 128, merge: bool = True, text_col: str = "text") -> DataFrame:
     """keys, chunk_index, text: one row per chunk."""
-    rows = files.select(*keys, F.posexplode(chunks_of(F.col(text_col), size, overlap, merge)).alias("chunk_index", "text"))
-    return rows
+    held = spread(files.select(*keys, F.col(text_col).alias("__text")))
+    return held.select(*keys, F.posexplode(chunks_of(F.col("__text"), size, overlap, merge)).alias("chunk_index", "text"))

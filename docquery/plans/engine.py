@@ -23,7 +23,7 @@ from docquery.operators.keys import join_on
 from docquery.operators.store import Store, Taken, partition_name
 from docquery.plans.scratch import written
 from docquery.sources import formats
-from docquery.sources.messages import from_group
+from docquery.sources.messages import from_group, session_key
 
 FILE_KEYS = ["session_id", "conversation_id", "file_name"]
 CHUNK_KEYS = [*FILE_KEYS, "chunk_index"]
@@ -417,8 +417,14 @@ class Engine:
             self._put_summaries(rows)
 
     def wanted(self, messages: DataFrame, body: str = "body") -> DataFrame:
-        """messages that files are taken from: all, or those outside groups."""
-        return messages if self.config.enable_group else messages.where(~from_group(F.col(body)))
+        """messages that files are taken from (all, or those outside groups) with the session_id that each names."""
+        kept = messages if self.config.enable_group else messages.where(~from_group(F.col(body)))
+        return kept.withColumn("session_id", session_key(F.col(body)))
+
+    def waiting(self, now) -> DataFrame:
+        """session_id, listed, waited: a line for each session on the files that are read but not searchable yet."""
+        started = self.bundles.select("session_id", "file_name", F.unix_seconds("upload_time").alias("started"))
+        return session.parsing_notice(started, F.unix_seconds(F.lit(now).cast("timestamp")))
 
     def failures(self, now) -> DataFrame:
         """session_id, file_name, error: the newest refusals of each session, young enough; what is given once is not given again."""

@@ -44,6 +44,7 @@ def test_bundles(spark, tmp_path):
     assert {r.file_name: r.error for r in refused.collect()} == {"p.txt": "embed_queued", "q.txt": "retry_disk_full"}
     assert {r.file_name for r in e.files.collect()} == {"c.txt"} and {(r.file_name, r.attempts, r.n_bytes) for r in e.bundles.collect()} == {("p.txt", 0, 39)}
     assert {r.reply for r in e.replies(refused).collect()}.isdisjoint({"embed_queued", "retry_disk_full"})
+    assert [(r.session_id, r.listed, r.waited) for r in e.waiting(at(1)).collect()] == [("s", "《p.txt》", "60 秒")]
     assert e.retry(T0).count() == 0  # not due
     assert [r.outcome for r in e.retry(at(1)).collect()] == ["waiting"] and e.retry(at(2)).count() == 0
     later = Engine(spark, path, c, moody(flag))
@@ -114,7 +115,7 @@ def test_claims_at_once(spark, tmp_path, monkeypatch):
 
 
 def test_groups(spark, tmp_path):
-    rows = spark.createDataFrame([(1, '{"message_info": {"group_id": 7}}'), (2, '{"message_info": {}}'), (3, None), (4, "no json")], "k int, body string")
+    rows = spark.createDataFrame([(1, '{"message_info": {"group_id": 7}}'), (2, '{"session_id": "s", "message_info": {}}'), (3, None), (4, "no json")], "k int, body string")
     e = Engine(spark, str(tmp_path), EngineConfig(enable_group=False))
-    assert sorted(r.k for r in e.wanted(rows).collect()) == [2, 3, 4] and e.with_settings(enable_group=True).wanted(rows).count() == 4
+    assert sorted((r.k, r.session_id) for r in e.wanted(rows).collect()) == [(2, "s"), (3, ""), (4, "")] and e.with_settings(enable_group=True).wanted(rows).count() == 4
     assert e.with_settings(top_k=3).config.top_k == 3 and F is not None
