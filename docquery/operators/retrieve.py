@@ -62,14 +62,14 @@ def asked_postings(chunks: DataFrame, keys: list[str], asked: DataFrame, text_co
 def bm25_of_postings(posted: DataFrame, keys: list[str], asked: DataFrame, n: int, avgdl: float | None) -> DataFrame:
     """query_id, keys, score of asked (query_id, token) from postings (keys, token, tf, dl) that hold all rows of these tokens; n, avgdl: of all chunks.
 
-    Frequencies combine before their shuffle, and the sum over a question's tokens is shuffled once, by question and chunk.
+    Frequencies combine before their shuffle; postings are shuffled once, by chunk, which serves the sum over a question's tokens too.
     """
     found = posted.where(F.col("token") != "")
     df = F.broadcast(found.groupBy("token").agg(F.count("*").alias("df")))  # asked tokens only
     idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = asked.join(df, "token").select("query_id", "token", idf.alias("idf"))
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(avgdl or 1))))
-    return found.join(F.broadcast(weights), "token").groupBy("query_id", *keys).agg(F.sum(F.col("idf") * weight).alias("score"))
+    return found.repartition(*keys).join(F.broadcast(weights), "token").groupBy("query_id", *keys).agg(F.sum(F.col("idf") * weight).alias("score"))
 
 
 def bm25(chunks: DataFrame, keys: list[str], queries: DataFrame, k: int | None = 20, text_col: str = "text") -> DataFrame:
