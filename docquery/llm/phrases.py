@@ -36,9 +36,9 @@ from docquery.llm.common import materialise, small_side
 #: Longest phrase, in words.
 DEPTH = 4
 #: Suffixes that a task gathers before it counts equal ones, and that a partition is to have.
-BUFFER, PER_PARTITION = 2_000_000, 1_000_000
-#: A word is very common above this count (a partition's own size), or above this part of all words: so there are at most that many such words.
-COMMON, COMMON_PART = PER_PARTITION, 4096
+BUFFER, PER_PARTITION = 1_000_000, 500_000
+#: A word is very common above this count (two partitions' size), or above this part of all words: so there are at most that many such words.
+COMMON, COMMON_PART = 2 * PER_PARTITION, 4096
 #: Most bits of the table of frequent words (16 MB), and bits a word as long as there are fewer.
 MOST_BITS, BITS_EACH = 27, 32
 
