@@ -32,9 +32,12 @@ def placed(rows: DataFrame, group: list[str], slot: Column, order: list[str], ou
 def spread(rows: DataFrame) -> DataFrame:
     """rows dealt over all cores where their scan makes no more tasks than there are cores (a table of one row group): for costly work on each row.
 
-    Plans with a shuffle stay as they are: that has dealt the rows, and counting its partitions would run it.
+    Plans with a shuffle stay as they are: that has dealt the rows, and counting its partitions would run it. Rows are dealt by a
+    hash of their place, in parts for several rounds of tasks: dealing them round robin would sort each scanned part, texts and all, in its task first.
     """
     if rows._jdf.queryExecution().executedPlan().toString().startswith("AdaptiveSparkPlan"):
         return rows
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() > cores else rows.repartition(cores)
+    if rows.rdd.getNumPartitions() > cores:
+        return rows
+    return rows.withColumn("__place", F.monotonically_increasing_id()).repartition(4 * cores, "__place").drop("__place")

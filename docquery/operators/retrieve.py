@@ -24,6 +24,8 @@ K1, B = 1.2, 0.75
 #: A block of queries is broadcast: at most so many tokens, or bytes of vectors.  More queries go in several blocks.
 MOST_TOKENS = 100_000
 MOST_VECTOR_BYTES = 8 << 20
+#: Pairs of a posting and a question that a task sums.
+MEETING_ROWS = 1_000_000
 #: Queries that are multiplied with a batch of vectors at a time.
 AT_ONCE = 256
 
@@ -63,13 +65,17 @@ def bm25_of_postings(posted: DataFrame, keys: list[str], asked: DataFrame, n: in
     """query_id, keys, score of asked (query_id, token) from postings (keys, token, tf, dl) that hold all rows of these tokens; n, avgdl: of all chunks.
 
     Frequencies combine before their shuffle; postings are shuffled once, by chunk, which serves the sum over a question's tokens too.
+    They tell how many rows meet, so a task sums a bounded number, however many chunks there are.
     """
     found = posted.where(F.col("token") != "")
-    df = F.broadcast(found.groupBy("token").agg(F.count("*").alias("df")))  # asked tokens only
+    df = written(found.groupBy("token").agg(F.count("*").alias("df")), "asked-frequencies")  # asked tokens only
+    meet = asked.join(F.broadcast(df), "token").agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    tasks = max(posted.sparkSession.sparkContext.defaultParallelism, -(-int(meet) // MEETING_ROWS))
+    df = F.broadcast(df)
     idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = asked.join(df, "token").select("query_id", "token", idf.alias("idf"))
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(avgdl or 1))))
-    return found.repartition(*keys).join(F.broadcast(weights), "token").groupBy("query_id", *keys).agg(F.sum(F.col("idf") * weight).alias("score"))
+    return found.repartition(tasks, *keys).join(F.broadcast(weights), "token").groupBy("query_id", *keys).agg(F.sum(F.col("idf") * weight).alias("score"))
 
 
 def bm25(chunks: DataFrame, keys: list[str], queries: DataFrame, k: int | None = 20, text_col: str = "text") -> DataFrame:
