@@ -11,10 +11,11 @@ import re
 import zlib
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docquery.functions.parts import mapped
 from docquery.operators.keys import join_on
 from docquery.plans.scratch import written
 
@@ -76,6 +77,8 @@ def _strings(content: bytes) -> str:
     return "\n".join(b"".join(x).decode("cp1252", "replace") for x in lines if x)
 
 
+#: Ranges of one file are read together up to so many bytes, the file's being counted for each.
+TOGETHER_BYTES = 4 << 20
 #: Engines in the order in which they are tried.
 ENGINES: list[tuple[str, Engine]] = [("pypdfium2", pdfium), ("plain", plain)]
 
@@ -94,47 +97,74 @@ def opened(data: bytes, engines: list[tuple[str, Engine]], errors: list[str]) ->
     return -1, []
 
 
+def ranges_text(data: bytes, ranges: list[tuple[int, int]], engines: list[tuple[str, Engine]]) -> list[tuple[str | None, list[str]]]:
+    """(text, errors) of each range (first, n) of pages: by the first engine that can read all of its pages; an engine opens the file once."""
+    held: dict[str, list | Exception] = {}
+
+    def pages_of(name: str, engine: Engine) -> list:
+        if name not in held:
+            try:
+                held[name] = engine(data)
+            except Exception as e:  # noqa: BLE001
+                held[name] = e
+        if isinstance(held[name], Exception):
+            raise held[name]
+        return held[name]
+
+    out = []
+    for first, n in ranges:
+        errors: list[str] = []
+        text = None
+        for name, engine in engines:
+            try:
+                text = "\n".join(page() for page in pages_of(name, engine)[first : first + n])
+                break
+            except Exception as e:  # noqa: BLE001
+                errors.append(_told(name, e))
+        out.append((text, errors))
+    return out
+
+
 def range_text(data: bytes, first: int, n: int, engines: list[tuple[str, Engine]]) -> tuple[str | None, list[str]]:
     """(text of pages first to first + n - 1, errors): by the first engine that can read all of them."""
-    errors: list[str] = []
-    for name, engine in engines:
-        try:
-            return "\n".join(page() for page in engine(data)[first : first + n]), errors
-        except Exception as e:  # noqa: BLE001
-            errors.append(_told(name, e))
-    return None, errors
+    return ranges_text(data, [(first, n)], engines)[0]
 
 
 def parse_pdfs(files: DataFrame, keys: list[str], content: str = "content", *, most_pages: int = 500, pages_each: int = 50, engines: list[tuple[str, Engine]] | None = None) -> DataFrame:
-    """keys, text, format, error, notes of PDF files; a task reads `pages_each` pages of one file.
+    """keys, text, format, error, notes of PDF files; `pages_each` pages of one file are read at a time, those of a large file in tasks of their own.
 
     A file has an error if no engine opens it, if a range of it can't be read by any, or if it has no text; the
     engines' own errors are in the notes where another one took over.  Pages above most_pages are left out, with a note (0: none are).
     """
     chain = engines or list(ENGINES)
 
-    @F.pandas_udf("pages int, errors array<string>")
-    def probed(contents: pd.Series) -> pd.DataFrame:
+    def probed(contents: list) -> list[dict]:
         rows = []
         for c in contents:
             errors: list[str] = []
-            place, pages = opened(bytes(c or b""), chain, errors)
-            rows.append((len(pages) if place >= 0 else None, errors))
-        return pd.DataFrame(rows, columns=["pages", "errors"]).astype({"pages": "Int32"})
+            place, found = opened(bytes(c or b""), chain, errors)
+            rows.append({"pages": len(found) if place >= 0 else None, "errors": errors})
+        return rows
 
-    @F.pandas_udf("text string, errors array<string>")
-    def read(contents: pd.Series, firsts: pd.Series, counts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([range_text(bytes(c), int(a), int(n), chain) for c, a, n in zip(contents, firsts, counts)], columns=["text", "errors"])
+    def read(contents: list, ranges: list) -> list[list[dict]]:
+        made = (zip(r, ranges_text(bytes(c), [(x["first"], x["n"]) for x in r], chain)) for c, r in zip(contents, ranges))
+        return [[{"first": x["first"], "text": text, "errors": errors} for x, (text, errors) in file] for file in made]
 
+    told_kind = pa.list_(pa.string())
     held = written(files.select(*keys, F.col(content).alias("__content")).withColumn("__file", F.monotonically_increasing_id()), "pdf-files")
-    seen = written(held.select("__file", probed("__content").alias("p")).select("__file", "p.*"), "pdf-pages")
+    seen = written(held.select("__file", mapped(probed, "pages int, errors array<string>", pa.struct([("pages", pa.int32()), ("errors", told_kind)]), F.col("__content")).alias("p")).select("__file", "p.*"), "pdf-pages")
     most = F.least("pages", F.lit(most_pages)) if most_pages else F.col("pages")
-    starts = F.explode(F.sequence(F.lit(0), F.greatest(most - 1, F.lit(0)), F.lit(pages_each)))
-    ranges = seen.where("pages is not null").select("__file", most.alias("__most"), starts.alias("__first"))
-    ranges = ranges.select("__file", "__first", F.least(F.lit(pages_each), F.col("__most") - F.col("__first")).alias("__n"))
-    # a file's bytes go to each of its ranges; these are dealt over all tasks
-    texts = held.select("__file", "__content").join(ranges, "__file").repartition("__file", "__first").select("__file", "__first", read("__content", "__first", "__n").alias("r"))
-    parts = F.array_sort(F.collect_list(F.struct("__first", F.col("r.text").alias("text"), F.col("r.errors").alias("errors"))))  # most_pages / pages_each at most
+    starts = F.sequence(F.lit(0), F.greatest(most - 1, F.lit(0)), F.lit(pages_each))
+    ranges = F.transform(starts, lambda a: F.struct(a.alias("first"), F.least(F.lit(pages_each), most - a).alias("n")))
+    ranges = seen.where("pages is not null").select("__file", ranges.alias("__ranges"))
+    # a small file's ranges are read together, for each reading opens the file; of a large one each is dealt to a task of its own, with the file's bytes
+    each = F.greatest(F.lit(1), F.floor(F.lit(TOGETHER_BYTES) / F.greatest(F.octet_length("__content"), F.lit(1)))).cast("int")
+    dealt = F.transform(F.sequence(F.lit(1), F.size("__ranges"), each), lambda a: F.slice("__ranges", a, each))
+    texts = held.select("__file", "__content").join(ranges, "__file").select("__file", "__content", F.explode(dealt).alias("__some"))
+    texts = texts.repartition("__file", F.col("__some")[0]["first"])
+    kind = pa.list_(pa.struct([("first", pa.int32()), ("text", pa.string()), ("errors", told_kind)]))
+    texts = texts.select("__file", mapped(read, "array<struct<first: int, text: string, errors: array<string>>>", kind, F.col("__content"), F.col("__some")).alias("r"))
+    parts = F.array_sort(F.flatten(F.collect_list("r")))  # most_pages / pages_each at most
     joined = texts.groupBy("__file").agg(parts.alias("parts"))
     joined = joined.select(
         "__file", F.array_join(F.transform("parts", lambda p: p["text"]), "\n").alias("text"), F.exists("parts", lambda p: p["text"].isNull()).alias("broken"),
