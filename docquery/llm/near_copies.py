@@ -1,10 +1,12 @@
 """Edited copies: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-SimHash keys for two bits miss these: at similarity 0.8 about ten of 64 bits
-differ.  So each text gets 16 seeded fingerprints, each the hash of four seeded
-minima over its shingles (MinHash).  Texts that share one are candidates: at
-similarity 0.8 a pair is one with probability 1 - (1 - 0.8^4)^16 = 0.9998, more above.
-Every candidate pair is verified on the whole shingle sets in a join.
+SimHash fingerprints meet first: those at two or fewer differing bits, found by
+Golay keys as in simhash.py, are candidates.  Keys for two bits can't find all: at similarity 0.8 about ten of 64 bits
+differ.  So each text also gets 16 seeded fingerprints, each the hash of four seeded
+minima over its shingles (MinHash).  Texts that share one are candidates if SimHash has not put them into one component: at
+similarity 0.8 a pair shares one with probability 1 - (1 - 0.8^4)^16 = 0.9998, more above.
+Every candidate pair is verified on the whole shingle sets in a join.  Sets are large, so counts of their
+hashes by bucket meet before: the lesser counts add up to no less than the common shingles, and a pair that can't reach the similarity goes.
 
 Texts of equal shingle sets are one node throughout.  Only components are asked for, so links inside one don't matter:
 first every node meets the hub of its most common fingerprint; then nodes that share a fingerprint are compared by pairs
@@ -31,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docquery.llm.common import connected_components, materialise, small_side
-from docquery.llm.simhash import keep_least
+from docquery.llm.simhash import keep_least, links, majority
 
 #: Fingerprints of a text, and minima in each.
 BANDS, MINIMA = 16, 4
@@ -77,6 +79,22 @@ def _keys(hashes: np.ndarray, factors: np.ndarray, minima: int = MINIMA) -> np.n
     return np.array(made, np.uint64).view(np.int64)
 
 
+def _counts(hashes: np.ndarray) -> bytes:
+    """Numbers of hashes by their low bits, one or two in each bucket on average; empty if one doesn't fit a byte."""
+    buckets = 1 << max(4, (len(hashes) // 2).bit_length())
+    counts = np.bincount((hashes & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def _may_reach(a: bytes, b: bytes, similarity: float) -> bool:
+    """False only if sets of these counts can't be that similar."""
+    if not a or not b:
+        return True
+    a, b = (np.frombuffer(x, np.uint8).reshape(-1, min(len(a), len(b))).sum(axis=0, dtype=np.int64) for x in (a, b))
+    common = np.minimum(a, b).sum()
+    return bool(common >= similarity * (a.sum() + b.sum() - common) - 1e-9)
+
+
 def node(text: Column, shingle: int = 5, seed: int = 42) -> Column:
     """A hash of the set of shingles; 0 for texts without a word."""
 
@@ -91,44 +109,59 @@ def node(text: Column, shingle: int = 5, seed: int = 42) -> Column:
 def _signature(text: Column, shingle: int, seed: int) -> Column:
     factors = _factors(seed)
 
-    @F.pandas_udf("fp long, size int, keys array<long>")
+    @F.pandas_udf("fp long, bits long, size int, keys array<long>")
     def signed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             sets = [_shingles(x, shingle, seed) for x in texts]
             fps, sizes = np.array([_node(s) for s in sets], np.int64), np.array([len(s) for s in sets], np.int32)
-            yield pd.DataFrame({"fp": fps, "size": sizes, "keys": [_keys(s, factors) for s in sets]})
+            bits = np.array([majority(s) for s in sets], np.int64)
+            yield pd.DataFrame({"fp": fps, "bits": bits, "size": sizes, "keys": [_keys(s, factors) for s in sets]})
 
     return signed(text)
 
 
 def _sets(texts: DataFrame, shingle: int, seed: int) -> DataFrame:
-    """(fp, shingles) of a column of texts, made a few hundred at a time: a set is larger than its text."""
+    """(fp, counts, shingles) of a column of texts, made a few hundred at a time: a set is larger than its text."""
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 256):
                 sets = [_shingles(x, shingle, seed) for x in batch.iloc[at : at + 256, 0]]
-                yield pd.DataFrame({"fp": np.array([_node(s) for s in sets], np.int64), "shingles": [s.view(np.int64) for s in sets]})
+                fps, shingles = np.array([_node(s) for s in sets], np.int64), [s.view(np.int64) for s in sets]
+                yield pd.DataFrame({"fp": fps, "counts": [_counts(s) for s in sets], "shingles": shingles})
 
-    return texts.mapInPandas(made, "fp long, shingles array<long>")
+    return texts.mapInPandas(made, "fp long, counts binary, shingles array<long>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame | None:
-    """The pairs (u, v) whose shingle sets are that similar, None if there are no pairs; a set that many pairs need as v is copied to several tasks."""
-    pairs = materialise(pairs, "copies-pairs")
-    if pairs.isEmpty():
-        return None
+def _both(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    """The pairs (u, v) with that column of their sets as a and b; a set that many pairs need as v is copied to several tasks."""
     often = pairs.groupBy("v").agg(F.count("*").alias("n")).where(F.col("n") > _SALT)
     often = small_side(often.select(F.col("v").alias("__v"), F.ceil(F.col("n") / _SALT).cast("int").alias("salts")))
     salts = F.coalesce("salts", F.lit(1))
     left = pairs.join(often, F.col("v") == F.col("__v"), "left").select("u", "v", F.pmod(F.xxhash64("u"), salts).cast("int").alias("salt"))
-    left = left.join(sets.select(F.col("fp").alias("u"), F.col("shingles").alias("a")), "u")
-    right = sets.join(pairs.select(F.col("v").alias("fp")).distinct(), "fp", "left_semi").join(often, F.col("fp") == F.col("__v"), "left")
-    right = right.select(F.col("fp").alias("v"), F.col("shingles").alias("b"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-    both = left.join(right, ["v", "salt"])
+    left = left.join(sets.select(F.col("fp").alias("u"), F.col(column).alias("a")), "u")
+    right = sets.select("fp", column).join(pairs.select(F.col("v").alias("fp")).distinct(), "fp", "left_semi")
+    right = right.join(often, F.col("fp") == F.col("__v"), "left")
+    right = right.select(F.col("fp").alias("v"), F.col(column).alias("b"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    return left.join(right, ["v", "salt"])
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame | None:
+    """The pairs (u, v) whose shingle sets are that similar, None if there are no pairs; only those whose counts allow it meet as sets."""
+
+    @F.pandas_udf("boolean")
+    def may_reach(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([_may_reach(x, y, similarity) for x, y in zip(a, b)], dtype="bool")
+
+    pairs = materialise(pairs, "copies-pairs")
+    if pairs.isEmpty():
+        return None
+    pairs = materialise(_both(pairs, sets, "counts").where(may_reach("a", "b")).select("u", "v"), "copies-possible")
+    if pairs.isEmpty():
+        return None
     common = F.size(F.array_intersect("a", "b"))
     enough = common >= similarity * (F.size("a") + F.size("b") - common) - 1e-9
-    return materialise(both.where(enough).select("u", "v"), "copies-verified")
+    return materialise(_both(pairs, sets, "shingles").where(enough).select("u", "v"), "copies-verified")
 
 
 class _Components:
@@ -137,26 +170,39 @@ class _Components:
     def __init__(self):
         self.roots: DataFrame | None = None  # (node, root) of all nodes with a link
 
-    def link(self, rows: DataFrame, found: DataFrame | None) -> DataFrame:
-        """rows (fp, key, root, ...) after the links found: with their new roots, at keys that still have several."""
+    def grow(self, found: DataFrame | None) -> DataFrame | None:
+        """Takes in the links found; (root, now) of the roots that moved, None if none did."""
         if found is None:
-            return rows
+            return None
         if self.roots is not None:
             ends = {c: self.roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "uv"}
             found = found.join(ends["u"], "u", "left").join(ends["v"], "v", "left").select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v"))
             found = materialise(found.where("u <> v").distinct(), "copies-contracted")
             if found.isEmpty():
-                return rows
+                return None
         moved = materialise(connected_components(found, "copies-roots"), "copies-moved")
+        new = small_side(moved.select(F.col("node").alias("root"), F.col("root").alias("now")))
         if self.roots is None:
             self.roots = moved
         else:
-            new = moved.select(F.col("node").alias("root"), F.col("root").alias("now"))
-            kept = self.roots.join(small_side(new), "root", "left").select("node", F.coalesce("now", "root").alias("root"))
+            kept = self.roots.join(new, "root", "left").select("node", F.coalesce("now", "root").alias("root"))
             self.roots = materialise(kept.unionByName(moved.join(self.roots, "node", "left_anti")), "copies-roots")
-        new = small_side(moved.select(F.col("node").alias("root"), F.col("root").alias("now")))
-        rows = rows.join(new, "root", "left").withColumn("root", F.coalesce("now", "root")).drop("now")
-        return _several(rows)
+        return new
+
+    def link(self, rows: DataFrame, found: DataFrame | None) -> DataFrame:
+        """rows (fp, key, root, ...) after the links found: with their new roots, at keys that still have several."""
+        new = self.grow(found)
+        if new is None:
+            return rows
+        return _several(rows.join(new, "root", "left").withColumn("root", F.coalesce("now", "root")).drop("now"))
+
+    def rooted(self, rows: DataFrame) -> DataFrame:
+        """rows (fp, ...) with the roots of now."""
+        rows = rows.drop("root")
+        if self.roots is None:
+            return rows.withColumn("root", F.col("fp"))
+        roots = self.roots.select(F.col("node").alias("fp"), "root")
+        return rows.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
 def _several(rows: DataFrame) -> DataFrame:
@@ -170,12 +216,25 @@ def _near_sizes(a: str, b: str, similarity: float) -> Column:
     return F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
 
 
+def _near_bits(nodes: DataFrame, similarity: float) -> DataFrame:
+    """Candidates (u, v) of the nodes (fp, bits, size): equal SimHash fingerprints, and by Golay keys those at up to two differing bits."""
+    hubs = materialise(nodes.groupBy("bits").agg(F.min(F.struct("fp", "size")).alias("h")), "copies-bits")
+    ends = {c: hubs.select(F.col("bits").alias(c), F.col("h.fp").alias(f"{c}_fp"), F.col("h.size").alias(f"{c}_size")) for c in "uv"}
+    far = links(hubs.select(F.col("bits").alias("fp"))).join(ends["u"], "u").join(ends["v"], "v")
+    equal = nodes.join(ends["v"].withColumnRenamed("v", "bits"), "bits").where("fp <> v_fp")
+    equal = equal.select(F.col("fp").alias("u_fp"), F.col("size").alias("u_size"), "v_fp", "v_size")
+    pairs = far.select("u_fp", "u_size", "v_fp", "v_size").unionByName(equal).where(_near_sizes("u_size", "v_size", similarity))
+    return materialise(pairs.select(F.col("u_fp").alias("u"), F.col("v_fp").alias("v")), "copies-near-bits")
+
+
 def roots_of(docs: DataFrame, nodes: DataFrame, *, shingle: int, similarity: float, seed: int, id_col: str, text_col: str) -> DataFrame | None:
-    """(node, root) of the nodes (fp, least, size, keys) with a link, None if there is no link; `least` is an id in docs."""
+    """(node, root) of the nodes (fp, least, bits, size, keys) with a link, None if there is no link; `least` is an id in docs."""
+    close = _near_bits(nodes.select("fp", "bits", "size"), similarity)
     met = _shared(nodes.select("fp", "size", F.explode("keys").alias("key")))
 
     # sets of the candidates only
-    wanted = met.select("fp").distinct().join(nodes.select("fp", "least"), "fp").select(F.col("fp").alias("__fp"), F.col("least").alias("__id"))
+    wanted = met.select("fp").unionByName(close.select(F.explode(F.array("u", "v")).alias("fp"))).distinct()
+    wanted = wanted.join(nodes.select("fp", "least"), "fp").select(F.col("fp").alias("__fp"), F.col("least").alias("__id"))
     wanted = materialise(wanted, "copies-wanted")
     texts = docs.join(wanted.select("__id").where("__id is not null").distinct(), F.col(id_col) == F.col("__id"), "left_semi").select(text_col)
     texts = texts.unionByName(docs.where(F.col(id_col).isNull()).select(text_col))
@@ -183,7 +242,8 @@ def roots_of(docs: DataFrame, nodes: DataFrame, *, shingle: int, similarity: flo
     sets = materialise(sets, "copies-sets")
 
     grown = _Components()
-    crowd = _compared(met.withColumn("root", F.col("fp")), grown, sets, similarity)
+    grown.grow(_verified(close, sets, similarity))
+    crowd = _compared(materialise(grown.rooted(met), "copies-rooted"), grown, sets, similarity)
     if not crowd.isEmpty():
         members = materialise(sets.join(crowd.select("fp", "root").distinct(), "fp"), "copies-members")
         crowd = _compared(_shared(_finer(members, seed)), grown, members, similarity)
@@ -219,13 +279,12 @@ def _compared(rows: DataFrame, grown: _Components, sets: DataFrame, similarity:
     hubs = tops.groupBy("key").agg(F.max(F.struct("weight", "fp", "size", "root")).alias("h"))
     hubs = hubs.select("key", F.col("h.fp").alias("hub"), F.col("h.size").alias("hub_size"), F.col("h.root").alias("hub_root"))
     pairs = tops.join(hubs, "key").where((F.col("root") != F.col("hub_root")) & near).select(F.col("fp").alias("u"), F.col("hub").alias("v"))
-    rows = grown.link(rows, _verified(pairs, sets, similarity))
+    few = grown.link(rows.where(F.col("n") <= MOST_SHARED), _verified(pairs, sets, similarity))
 
-    few = rows.where(F.col("n") <= MOST_SHARED)
     other = few.select("key", F.col("fp").alias("hub"), F.col("size").alias("hub_size"), F.col("root").alias("hub_root"))
     pairs = few.join(other, "key").where((F.col("fp") > F.col("hub")) & (F.col("root") != F.col("hub_root")) & near)
-    rows = grown.link(rows, _verified(pairs.select(F.col("fp").alias("u"), F.col("hub").alias("v")).distinct(), sets, similarity))
-    return rows.where(F.col("n") > MOST_SHARED)
+    grown.grow(_verified(pairs.select(F.col("fp").alias("u"), F.col("hub").alias("v")).distinct(), sets, similarity))
+    return _several(grown.rooted(rows.where(F.col("n") > MOST_SHARED)))
 
 
 def _in_blocks(rows: DataFrame, grown: _Components, members: DataFrame, similarity: float) -> None:
@@ -303,7 +362,7 @@ def near_copies(
     """(doc_id, fp, root, component_id), one row per row of docs; component_id is the smallest id reachable over links."""
     rows = docs.select(F.col(id_col).alias("doc_id"), _signature(F.col(text_col), shingle, seed).alias("s")).select("doc_id", "s.*")
     rows = materialise(rows, "copies-rows")
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("bits").alias("bits"), F.first("size").alias("size"), F.first("keys").alias("keys"))
     nodes = materialise(nodes, "copies-nodes")
     roots = roots_of(docs, nodes, shingle=shingle, similarity=similarity, seed=seed, id_col=id_col, text_col=text_col)
     named = nodes.select("fp", "least", F.col("fp").alias("root"))

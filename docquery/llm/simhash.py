@@ -64,8 +64,12 @@ def _simhash(text: str | None, shingle: int, seed: int) -> int:
         ends.append(at)
     n, digest = max(1, len(words) - shingle + 1), xxhash.xxh64_intdigest
     starts = [0, *(e + 1 for e in ends[: n - 1])]
-    hashes = np.fromiter((digest(line[a:b], seed) for a, b in zip(starts, ends[-n:])), np.uint64, n)
-    ones = np.zeros(64, np.int64)
+    return majority(np.fromiter((digest(line[a:b], seed) for a, b in zip(starts, ends[-n:])), np.uint64, n))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes; 0 if there are none."""
+    n, ones = len(hashes), np.zeros(64, np.int64)
     for some in range(0, n, 65_536):  # memory stays small for very long texts
         bits = np.unpackbits(hashes[some : some + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int64)

@@ -3,8 +3,10 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from against import SF
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from docquery.llm import near_copies
@@ -110,3 +112,59 @@ def test_components_grow(spark):
     roots = {i: whole.get(i, i) for i in range(200)}
     open_ = {k for k in range(40) if len({roots[i] for i in range(k, 200, 40)}) > 1}
     assert {(r.fp, r.root) for r in rows.collect()} == {(i, roots[i]) for i in range(200) if i % 40 in open_}
+
+
+def test_simhash_meets_first(spark, docs_of):
+    """Without any MinHash key, what SimHash has within two bits is linked if it is similar, and only then."""
+    rng, rows = random.Random(7), []
+    for k in range(12):
+        words = [f"w{rng.randrange(5000)}" for _ in range(1500)]
+        rows += [(10 * k + n, " ".join(edited(rng, words, n))) for n in (0, 1, 2, 3)]
+    docs = docs_of(rows)
+    nodes = docs.select(F.col("doc_id").alias("least"), near_copies._signature(F.col("text"), 5, 42).alias("s")).select("least", "s.*")
+    nodes = nodes.withColumn("keys", F.array().cast("array<long>"))
+    bits = {r.fp: (r.bits, r.least) for r in nodes.collect()}
+    near = [(u, v) for u, v in itertools.combinations(bits, 2) if (bits[u][0] ^ bits[v][0]) & (2**64 - 1) and ((bits[u][0] ^ bits[v][0]) & (2**64 - 1)).bit_count() <= 2]
+    same = [(u, v) for u, v in itertools.combinations(bits, 2) if bits[u][0] == bits[v][0]]
+    options = {"shingle": 5, "seed": 42, "id_col": "doc_id", "text_col": "text"}
+    roots = {r.node: r.root for r in near_copies.roots_of(docs, nodes, similarity=0.8, **options).collect()}
+    assert near and all(roots[u] == roots[v] for u, v in near + same)
+    assert all(bits[u][1] // 10 == bits[v][1] // 10 for u, v in roots.items())
+    assert near_copies.roots_of(docs, nodes, similarity=0.9999, **options) is None
+
+
+def test_counts_bound_what_is_common():
+    """Counts refuse no pair that reaches the similarity, at sizes with different buckets too, and most of the others."""
+    rng, refused = np.random.default_rng(8), 0
+    for size in (1, 5, 16, 31, 33, 200, 1000, 5000):
+        for share in (0.0, 0.3, 0.8, 0.88, 0.95, 1.0):
+            a = rng.integers(0, 2**64, size, np.uint64)
+            b = np.concatenate([a[: round(share * size)], rng.integers(0, 2**64, round((1 - share) * size * 1.2), np.uint64)])
+            one, other = (near_copies._counts(np.unique(x)) for x in (a, b))
+            if jaccard(set(a.tolist()), set(b.tolist())) >= 0.8:
+                assert near_copies._may_reach(one, other, 0.8) and near_copies._may_reach(other, one, 0.8)
+            elif size >= 200 and share <= 0.3:
+                refused += not near_copies._may_reach(one, other, 0.8)
+    assert refused == 6
+    same = np.arange(400, dtype=np.uint64) << np.uint64(32)  # more in one bucket than a byte counts
+    assert near_copies._may_reach(near_copies._counts(same), near_copies._counts(same), 0.8)
+
+
+def test_a_passage_moves_no_sets(spark, docs_of, monkeypatch):
+    """Texts with a passage in common meet by their counts only, and a crowd's keys are looked through once in each round of fingerprints."""
+    made, write = {}, near_copies.materialise
+
+    def recorded(df, name):
+        out = write(df, name)
+        made.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(near_copies, "materialise", recorded)
+    rng = random.Random(9)
+    passage = [f"p{k}" for k in range(150)]
+    rows = [(i, " ".join(passage + [f"w{rng.randrange(10**6)}" for _ in range(100)])) for i in range(80)]
+    rows += [(100 + i, " ".join(edited(rng, rows[i][1].split(), 1))) for i in range(20)]
+    got = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs_of(rows), "").collect()}
+    assert got == set(range(80)) == kept_by_brute_force(rows)
+    assert sum(made["copies-pairs"]) > 4 * sum(made["copies-possible"]) > 0
+    assert sum(made["copies-open"]) <= 1.5 * sum(made["copies-met"])
